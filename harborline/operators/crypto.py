@@ -20,13 +20,13 @@ def assign_zone(paths: DataFrame, zones: DataFrame, path: str = "path") -> DataF
     return longest_prefix_join(paths, path, zones, "zone_path", ["key_name"])
 
 
-def data_key(secret: Column, path: Column) -> Column:
+def data_key(secret: bytes, path: Column) -> Column:
     """32-byte data key of one path, derived from the job's secret.
 
     Derived rather than random, so that a task retried after an executor loss arrives at the same
     key for the payload and for its header.
     """
-    return F.unhex(F.sha2(F.concat(secret, F.encode(path, "UTF-8")), 256))
+    return F.unhex(F.sha2(F.concat(F.lit(secret), F.encode(path, "UTF-8")), 256))
 
 
 def wrap_key(plain_key: Column, master: Column) -> Column:
@@ -82,7 +82,7 @@ def roll_keys(keys: DataFrame, material: DataFrame, created_at: Column) -> tuple
 
 
 def encrypt_rows(
-    rows: DataFrame, zones: DataFrame, keys: DataFrame, secret: Column,
+    rows: DataFrame, zones: DataFrame, keys: DataFrame, secret: bytes,
     path: str = "path", payload: str = "payload",
 ) -> DataFrame:
     """Encrypt ``payload`` of the rows whose path lies in a zone, under the zone's latest key.

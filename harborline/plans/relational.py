@@ -11,8 +11,10 @@ from harborline.operators.ordered import (
     peer_ranks,
     row_index,
     rows_frame,
+    running,
     trailing_sum,
 )
+from harborline.operators.sets import except_all, intersect_all
 from harborline.operators.sql import run_sql, service_stats
 from harborline.plans.registry import Tables, query
 
@@ -586,8 +588,6 @@ def b20_range_frame(t: Tables):
     """,
 )
 def b20_running_total(t: Tables):
-    from harborline.operators.ordered import running
-
     totals = running(
         t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice"),
         ["o_orderstatus"], ["o_orderdate", "o_orderkey"],
@@ -675,8 +675,7 @@ def b22_except(t: Tables):
     """,
 )
 def b22_intersect_all(t: Tables):
-    """``INTERSECT ALL`` by counting: each row as often as it is in both inputs."""
-    return _counted_overlap(t, F.least("a", "b"))
+    return intersect_all(*_early_and_late_roles(t))
 
 
 @query(
@@ -686,17 +685,11 @@ def b22_intersect_all(t: Tables):
     """,
 )
 def b22_except_all(t: Tables):
-    return _counted_overlap(t, F.col("a") - F.col("b"))
+    return except_all(*_early_and_late_roles(t))
 
 
-def _counted_overlap(t: Tables, copies):
-    counted = (
-        t.conversations.select(
-            "role", (F.col("turn") < 2).cast("bigint").alias("a"), (F.col("turn") >= 1).cast("bigint").alias("b"))
-        .groupBy("role").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .withColumn("copies", copies).where("copies > 0")
-    )
-    return counted.select("role", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("role")
+def _early_and_late_roles(t: Tables):
+    return t.conversations.where("turn < 2").select("role"), t.conversations.where("turn >= 1").select("role")
 
 
 @query(
@@ -765,25 +758,30 @@ def b24_cte(t: Tables):
     return t.sql(_CTE, "orders", "customer")
 
 
-@query(
-    "b24_recursive_ancestors",
-    """
-    WITH RECURSIVE up(page_id, path, steps) AS (
-        SELECT page_id, rtrim(regexp_replace(url, '^[a-z]+://', ''), '/'), 0 FROM pages
-        UNION ALL
-        SELECT page_id, regexp_replace(path, '/[^/]*$', ''), steps + 1 FROM up WHERE contains(path, '/'))
-    SELECT page_id, path, CAST(steps AS BIGINT) AS steps FROM up
-    """,
-)
-def b24_recursive_ancestors(t: Tables):
-    """Every ancestor of each page's path.
+_ANCESTORS = """
+WITH RECURSIVE up(page_id, path, steps) AS (
+    SELECT page_id, rtrim({strip}, '/'), 0 FROM {pages}
+    UNION ALL
+    SELECT page_id, regexp_replace(path, '/[^/]*$', ''), steps + 1 FROM up WHERE contains(path, '/'))
+SELECT page_id, path, CAST(steps AS BIGINT) AS steps FROM up
+"""
+_ANCESTORS_SQL = _ANCESTORS.format(strip="regexp_replace(url, '^[a-z]+://', '')", pages="pages")
 
-    The recursion takes one path component off per step.  As the steps do not depend on other rows
-    they are spelled out per row, which has no driver-run loop and no limit on recursion.
-    """
+
+@query("b24_recursive_cte", _ANCESTORS_SQL)
+def b24_recursive_cte(t: Tables):
+    """Ancestors of each page by recursion; the steps are bounded by the depth of a path."""
+    # The default allows a million rows over all steps, which any large table exceeds.
+    t.spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    stripped = "rtrim('/', regexp_replace(url, '^[a-z]+://', ''))"
+    return t.sql(_ANCESTORS.replace("rtrim({strip}, '/')", stripped), "pages")
+
+
+@query("b24_ancestors_without_recursion", _ANCESTORS_SQL)
+def b24_ancestors_without_recursion(t: Tables):
+    """The same rows in one pass: the steps depend on no other row, so each is spelled out in place."""
     site = F.rtrim(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"))
-    prefixes = path_prefixes(site)
-    return t.pages.select("page_id", F.posexplode(F.reverse(prefixes)).alias("steps", "path")).select(
+    return t.pages.select("page_id", F.posexplode(F.reverse(path_prefixes(site))).alias("steps", "path")).select(
         "page_id", "path", F.col("steps").cast("bigint").alias("steps")
     )
 

@@ -42,12 +42,9 @@ def storage_bytes(files: DataFrame, by: str | Column, length: str = "length") ->
 
 def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files as text, one row per file, with malformed bytes replaced."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
-    )
+    return spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob
+    ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
