@@ -70,29 +70,52 @@ def path_prefixes(path: Column) -> Column:
     )
 
 
+# Zones above this number are no longer sent to every executor.
+BROADCAST_ZONES = 50_000
+
+
 def longest_prefix_join(
-    paths: DataFrame, path: str, zones: DataFrame, zone: str, carry: Sequence[str] = ()
+    paths: DataFrame, path: str, zones: DataFrame, zone: str, carry: Sequence[str] = (),
+    broadcast_zones: int = BROADCAST_ZONES,
 ) -> DataFrame:
     """Add the most specific zone that covers each path, and the zone's ``carry`` columns.
 
-    Each distinct path is spelled out as its ancestors and equi-joined, so the number of zones may
-    grow with the data.  Paths outside every zone keep nulls.
+    A zone of ``d`` components can only match the first ``d`` components of a path, so there is one
+    equi join per depth that zones have.  Up to ``broadcast_zones`` zones are broadcast, and the rows
+    of ``paths`` stay where they are.  With more, only the distinct paths are shuffled to find their
+    zone.  Paths outside every zone keep nulls.
     """
-    stems = zones.select(
-        F.rtrim(F.col(zone), F.lit("/")).alias("__prefix"),
-        F.struct(F.length(F.rtrim(F.col(zone), F.lit("/"))).alias("__len"), zone, *carry).alias("__zone"),
+    stem = F.rtrim(F.col(zone), F.lit("/"))
+    known = zones.groupBy(stem.alias("__stem")).agg(F.first(F.struct(zone, *carry)).alias("__zone")).withColumn(
+        "__depth", F.size(F.split("__stem", "/"))
     )
+    sizes = {r["__depth"]: r["count"] for r in known.groupBy("__depth").count().collect()}
+    trimmed = F.rtrim(F.col(path), F.lit("/"))
+    if sum(sizes.values()) <= broadcast_zones:
+        found = paths
+        for depth in sizes:
+            side = known.where(F.col("__depth") == depth).select(
+                F.col("__stem").alias(f"__stem{depth}"), F.col("__zone").alias(f"__zone{depth}")
+            )
+            found = found.join(
+                F.broadcast(side), F.substring_index(trimmed, "/", depth) == F.col(f"__stem{depth}"), "left"
+            )
+        deepest_first = [F.col(f"__zone{d}") for d in sorted(sizes, reverse=True)]
+        best = F.coalesce(*deepest_first) if deepest_first else F.lit(None)
+        picked = [best[c] if deepest_first else F.lit(None).cast(zones.schema[c].dataType) for c in (zone, *carry)]
+        return found.select(
+            *[F.col(c) for c in paths.columns], *[v.alias(c) for v, c in zip(picked, (zone, *carry))]
+        )
+    prefixes = F.array(*[F.substring_index(F.rtrim("__path", F.lit("/")), "/", d) for d in sizes])
     best = (
         paths.select(F.col(path).alias("__path")).distinct()
-        .withColumn("__prefix", F.explode(path_prefixes(F.col("__path"))))
-        .join(stems, "__prefix")
+        .withColumn("__stem", F.explode(F.array_distinct(prefixes)))
+        .join(known, "__stem")
         .groupBy("__path")
-        .agg(F.max("__zone").alias("__zone"))
+        .agg(F.max(F.struct("__depth", "__zone")).alias("__best"))
     )
-    return (
-        paths.join(best, F.col(path) == F.col("__path"), "left")
-        .select(*[paths[c] for c in paths.columns],
-                *[F.col("__zone")[c].alias(c) for c in (zone, *carry)])
+    return paths.join(best, F.col(path) == F.col("__path"), "left").select(
+        *[paths[c] for c in paths.columns], *[F.col("__best")["__zone"][c].alias(c) for c in (zone, *carry)]
     )
 
 

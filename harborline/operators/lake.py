@@ -98,12 +98,13 @@ def reclaimed(orphans: DataFrame, length: str = "length") -> DataFrame:
 
 def cleanup_report(classified: DataFrame, orphans: DataFrame, length: str = "length") -> DataFrame:
     """One row of counts.  The ids and paths stay in the long tables they are counted from."""
-    snapshots = classified.agg(
+    files = reclaimed(orphans, length).select(F.struct("*")).scalar()
+    return classified.agg(
         F.count_if("expired").alias("expired_snapshots"),
         F.count_if(~F.col("expired")).alias("retained_snapshots"),
-    ).withColumn("__one", F.lit(1))
-    files = reclaimed(orphans, length).withColumn("__one", F.lit(1))
-    return snapshots.join(files, "__one").drop("__one")
+    ).select(
+        "*", files["orphan_files"].alias("orphan_files"), files["reclaimed_bytes"].alias("reclaimed_bytes")
+    )
 
 
 def compaction_groups(

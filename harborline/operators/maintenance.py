@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from harborline.operators import lake
 from harborline.operators.ordered import asof_join, running
-from harborline.session import stage
+from harborline.session import literal_table, stage
 from harborline.sources.files import delete_files, list_files
 
 SNAPSHOT_SCHEMA = (
@@ -66,7 +66,7 @@ class LakeTable:
             return self.spark.read.schema(schema).parquet(f"{self.location}/metadata/{part}")
         except AnalysisException as err:
             if err.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], schema)
+                return literal_table(self.spark, [], schema)
             raise
 
     def _append(self, part: str, rows: DataFrame) -> None:
@@ -188,10 +188,11 @@ class LakeTable:
         row = (
             self.name, commit, head["snapshot_id"] if head else None,
             (head["version"] if head else 0) + 1, now, operation, totals["r"], totals["f"],
-            summary, schema.json(),
+            list(summary.items()), schema.json(),
         )
-        self._append("snapshots", self.spark.createDataFrame([row], SNAPSHOT_SCHEMA))
-        return self.spark.createDataFrame([row], SNAPSHOT_SCHEMA)
+        snapshot = literal_table(self.spark, [row], SNAPSHOT_SCHEMA)
+        self._append("snapshots", snapshot)
+        return snapshot
 
     def append(self, rows: DataFrame, now: dt.datetime) -> DataFrame:
         """Write ``rows`` (with a ``dt`` column) as a new snapshot; returns its row."""

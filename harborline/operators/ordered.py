@@ -27,8 +27,12 @@ def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+_GROUP = "group_"
+
+
 def _fold(kind: str, column: Column, order: Column) -> Column:
     """Aggregate of one chunk."""
+    kind = kind.removeprefix(_GROUP)
     if kind in ("sum", "count"):
         return F.sum(column)
     if kind == "min":
@@ -40,7 +44,10 @@ def _fold(kind: str, column: Column, order: Column) -> Column:
     raise ValueError(f"unknown running aggregate: {kind}")
 
 
-def _scan(kind: str, column: Column, window: WindowSpec) -> Column:
+def _scan(kind: str, column: Column, window: WindowSpec, whole: WindowSpec) -> Column:
+    """Running aggregate, or for ``group_`` kinds the aggregate of the whole key."""
+    if kind.startswith(_GROUP):
+        kind, window = kind.removeprefix(_GROUP), whole
     if kind in ("sum", "count"):
         return F.sum(column).over(window)
     if kind == "min":
@@ -50,6 +57,15 @@ def _scan(kind: str, column: Column, window: WindowSpec) -> Column:
     return F.last(column, ignorenulls=True).over(window)
 
 
+def with_group_columns(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a per-key table; a null key is a key like any other, as in ``GROUP BY``."""
+    renamed = groups.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+    return df.join(renamed, condition).drop(*[f"__g_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,12 +76,14 @@ def running(
     """Add running aggregates, up to and including the current row, per key.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind ``sum``, ``count`` (non-null
-    values), ``min``, ``max`` or ``last`` (latest non-null value).
+    values), ``min``, ``max`` or ``last`` (latest non-null value).  ``group_sum``, ``group_count``,
+    ``group_min`` and ``group_max`` are taken over all rows of the key, which saves a join with a
+    table of totals.
     """
     keys, order_by = list(keys), list(order_by)
     inputs = {
         f"__in_{name}": F.when(col.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-        if kind == "count" else col
+        if kind.endswith("count") else col
         for name, (kind, col) in aggs.items()
     }
     kinds = {name: kind for name, (kind, _) in aggs.items()}
@@ -77,8 +95,9 @@ def running(
             Window.partitionBy(*keys).orderBy(*order_by)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
+        whole = Window.partitionBy(*keys)
         return ready.select(
-            *columns, *[_scan(k, F.col(f"__in_{n}"), window).alias(n) for n, k in kinds.items()]
+            *columns, *[_scan(k, F.col(f"__in_{n}"), window, whole).alias(n) for n, k in kinds.items()]
         )
 
     chunked = stage(
@@ -93,9 +112,10 @@ def running(
         Window.partitionBy(*keys).orderBy(_CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    every = Window.partitionBy(*keys)
     carry = folded.select(
         *keys, _CHUNK,
-        *[_scan(k, F.col(f"__in_{n}"), before).alias(f"__in_{n}") for n, k in kinds.items()],
+        *[_scan(k, F.col(f"__in_{n}"), before, every).alias(f"__in_{n}") for n, k in kinds.items()],
         F.lit(0).alias(_IS_ROW),
     )
     within = (
@@ -107,7 +127,11 @@ def running(
         .unionByName(carry, allowMissingColumns=True)
         .select(
             *columns, _IS_ROW,
-            *[_scan(k, F.col(f"__in_{n}"), within).alias(n) for n, k in kinds.items()],
+            *[
+                (F.first(f"__in_{n}").over(within) if k.startswith(_GROUP)
+                 else _scan(k, F.col(f"__in_{n}"), within, within)).alias(n)
+                for n, k in kinds.items()
+            ],
         )
         .where(F.col(_IS_ROW) == 1)
         .drop(_IS_ROW)
@@ -172,12 +196,12 @@ def peer_ranks(
     """
     keys, order_by = list(keys), list(order_by)
     peers = df.groupBy(*keys, *order_by).agg(F.count(F.lit(1)).alias("peers"))
-    ranked = running(
+    joined = running(
         peers, keys, order_by,
-        {"__upto": ("sum", F.col("peers")), "dense_rank": ("count", F.lit(1))}, max_group_rows,
+        {"__upto": ("sum", F.col("peers")), "dense_rank": ("count", F.lit(1)),
+         "__total": ("group_sum", F.col("peers"))},
+        max_group_rows,
     )
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    joined = ranked.join(totals, keys) if keys else ranked.withColumn("__total", totals.scalar())
     rank = F.col("__upto") - F.col("peers") + 1
     return joined.select(
         *keys, *order_by, "peers",
@@ -197,9 +221,10 @@ def exact_quantiles(
     keys = list(keys)
     valued = df.where(F.col(value).isNotNull())
     counts = valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running(counts, keys, [value], {"__upto": ("sum", F.col("__n"))}, max_group_rows)
-    totals = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    positioned = placed.join(totals, keys)
+    positioned = running(
+        counts, keys, [value],
+        {"__upto": ("sum", F.col("__n")), "__total": ("group_sum", F.col("__n"))}, max_group_rows,
+    )
 
     def value_at(position: Column) -> Column:
         hit = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.operators.ordered import MAX_GROUP_ROWS, row_index
+from harborline.operators.ordered import MAX_GROUP_ROWS, running
 from harborline.operators.topn import newest_per_key
+from harborline.session import literal_table
 
 # Points kept per series; drawing area width, height and padding.
 RETAINED_POINTS = 720
@@ -34,9 +35,7 @@ def query_series(spark: SparkSession, points: DataFrame, targets: Sequence[str])
     The result is long: one row per point, and one row with null ``value`` for an unknown key.
     The target list is the caller's own argument, so the join side holds just those names.
     """
-    wanted = spark.createDataFrame(
-        [(i, t) for i, t in enumerate(targets)], "pos bigint, target string"
-    )
+    wanted = literal_table(spark, list(enumerate(targets)), "pos bigint, target string")
     found = wanted.join(points, F.col("target") == F.col("key"), "left")
     return found.select("pos", "target", "ts", "value")
 
@@ -55,11 +54,11 @@ def scale_series(points: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
 
     A single point sits at the left edge, and a flat series is drawn with a range of 1.
     """
-    bounds = points.groupBy(F.col("key").alias("__key")).agg(
-        F.min("value").alias("__min"), F.max("value").alias("__max"), F.count(F.lit(1)).alias("__n")
-    )
-    placed = row_index(points, ["key"], ["ts", "id"], "idx", max_group_rows).join(
-        bounds, F.col("key").eqNullSafe(F.col("__key"))
+    placed = running(
+        points, ["key"], ["ts", "id"],
+        {"idx": ("count", F.lit(1)), "__n": ("group_count", F.lit(1)),
+         "__min": ("group_min", F.col("value")), "__max": ("group_max", F.col("value"))},
+        max_group_rows,
     )
     spread = F.col("__max") - F.col("__min")
     share = F.when(F.col("__n") > 1, (F.col("idx") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 
 def newest_per_key(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n: int, salts: int = 32
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n: int, salts: int = 64
 ) -> DataFrame:
     """The last ``n`` rows of each key by ``order_by``, exact under any key skew.
 
-    The first ranking is per (key, salt): map tasks cut their share to ``n`` rows per group before
-    the shuffle, and a hot key is spread over ``salts`` tasks.  The second one sees at most
-    ``n * salts`` rows of a key.
+    A tree of three cuts.  Each input task keeps its own newest ``n`` rows per key before the
+    shuffle.  The survivors of a key meet in up to ``salts`` groups of input tasks, each cut to
+    ``n`` again, so that the last step sees at most ``n * salts`` rows of a key however many tasks
+    read it.
     """
     keys = list(keys)
     newest_first = [F.col(c).desc() for c in order_by]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+    salted = df.withColumn("__salt", F.spark_partition_id() % salts)
     partial = (
         salted.withColumn(
             "__rn", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*newest_first))

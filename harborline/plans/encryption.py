@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from harborline.operators import crypto
 from harborline.plans.registry import Tables, query
-from harborline.session import stage
+from harborline.session import spread, stage
 
 SECRET = b"a job secret given by the caller"
 
 
 def order_keys(t: Tables):
-    """One key per order priority, one version per year in which it was used."""
-    return (
+    """One key per order priority, one version per year in which it was used; a stored table."""
+    keys = (
         t.orders.select(
             F.col("o_orderpriority").alias("key_name"), (F.year("o_orderdate") - 1994).cast("bigint").alias("version_number")
         )
@@ -24,19 +24,20 @@ def order_keys(t: Tables):
             F.unhex(F.sha2(F.concat_ws("#", "key_name", F.col("version_number").cast("string")), 256)).alias("key_bytes"),
         )
     )
+    return stage(keys, "keys")
 
 
 _KEYS_SQL = "SELECT DISTINCT o_orderpriority AS key_name, CAST(year(o_orderdate) - 1994 AS BIGINT) AS version_number FROM orders"
 
 
-def order_headers(t: Tables):
+def order_headers(t: Tables, keys):
     """A header per order: its data key wrapped under the version of the order's year."""
-    placed = t.orders.select(
+    placed = spread(t.orders, "o_orderkey").select(
         F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
         F.col("o_orderpriority").alias("key_name"),
         F.concat(F.lit("v"), (F.year("o_orderdate") - 1994).cast("string")).alias("key_version"),
     )
-    masters = order_keys(t).select("key_name", F.col("version").alias("key_version"), "key_bytes")
+    masters = keys.select("key_name", F.col("version").alias("key_version"), "key_bytes")
     return placed.join(masters, ["key_name", "key_version"]).select(
         "path", "key_name", "key_version",
         crypto.wrap_key(crypto.data_key(SECRET, F.col("path")), F.col("key_bytes")).alias("wrapped_key"),
@@ -72,7 +73,7 @@ def e1_assign_zone(t: Tables):
 
 
 def _document_rows(t: Tables):
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         "doc_id", F.concat_ws("/", F.lit(""), "lang", "source", F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("payload"),
     )
@@ -85,17 +86,18 @@ def _document_zones(t: Tables):
     french = lang.where("lang = 'fr'").select(
         F.concat(F.lit("/fr/"), "source").alias("zone_path"), F.concat(F.lit("french-"), "source").alias("key_name")
     )
-    return english.union(french).distinct()
+    return stage(english.union(french).distinct(), "zones")
 
 
-def _document_keys(t: Tables):
-    names = _document_zones(t).select("key_name").distinct()
-    return names.select(
+def _document_keys(zones):
+    names = zones.select("key_name").distinct()
+    keys = names.select(
         "key_name", F.explode(F.expr("array(9L, 10L)")).alias("version_number")
     ).select(
         "key_name", "version_number", F.concat(F.lit("v"), F.col("version_number").cast("string")).alias("version"),
         F.unhex(F.sha2(F.concat_ws("#", "key_name", F.col("version_number").cast("string")), 256)).alias("key_bytes"),
     )
+    return stage(keys, "keys")
 
 
 @query(
@@ -108,9 +110,10 @@ def _document_keys(t: Tables):
 )
 def e2_encrypt_and_decrypt_rows(t: Tables):
     """Texts are encrypted, written, read back and decrypted; stored bytes differ from the text."""
-    keys = _document_keys(t)
+    zones = _document_zones(t)
+    keys = _document_keys(zones)
     sealed = stage(
-        crypto.encrypt_rows(_document_rows(t), _document_zones(t), keys, SECRET)
+        crypto.encrypt_rows(_document_rows(t), zones, keys, SECRET)
         .withColumn("sealed_digest", F.md5("payload")).withColumn("version_used", F.col("key_version")),
         "sealed",
     )
@@ -127,8 +130,9 @@ def e2_encrypt_and_decrypt_rows(t: Tables):
     """,
 )
 def e3_wrap_and_unwrap_keys(t: Tables):
-    masters = order_keys(t).select("key_name", F.col("version").alias("key_version"), "key_bytes")
-    opened = order_headers(t).join(masters, ["key_name", "key_version"]).withColumn(
+    keys = order_keys(t)
+    masters = keys.select("key_name", F.col("version").alias("key_version"), "key_bytes")
+    opened = order_headers(t, keys).join(masters, ["key_name", "key_version"]).withColumn(
         "plain", crypto.unwrap_key(F.col("wrapped_key"), F.col("key_bytes"))
     )
     return opened.select(
@@ -196,7 +200,7 @@ FROM orders
 def e6_rewrap_zone(t: Tables):
     keys = order_keys(t)
     masters = keys.select("key_name", F.col("version").alias("key_version"), "key_bytes")
-    moved = crypto.rewrap_zone(order_headers(t), keys, ZONE)
+    moved = crypto.rewrap_zone(order_headers(t, keys), keys, ZONE)
     return moved.join(masters, ["key_name", "key_version"]).select(
         "path", "key_version", "rewrapped",
         (crypto.unwrap_key(F.col("wrapped_key"), F.col("key_bytes")) == crypto.data_key(SECRET, F.col("path"))).alias("opens"),
@@ -211,7 +215,8 @@ def e6_rewrap_zone(t: Tables):
     """,
 )
 def e7_rewrap_summary(t: Tables):
-    return crypto.rewrap_summary(crypto.rewrap_zone(order_headers(t), order_keys(t), ZONE), ZONE)
+    keys = order_keys(t)
+    return crypto.rewrap_summary(crypto.rewrap_zone(order_headers(t, keys), keys, ZONE), ZONE)
 
 
 @query(

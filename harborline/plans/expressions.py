@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import library as lib
 from harborline.plans.registry import Tables, query
+from harborline.session import spread
 
 
 @query(
@@ -189,7 +190,7 @@ def b28_math_functions(t: Tables):
     def r6(column, name):
         return F.round(column, 6).alias(name)
 
-    return t.lineitem.select(
+    return spread(t.lineitem, "l_orderkey").select(
         "l_orderkey", "l_linenumber", F.abs(disc - 0.05).alias("a"), F.ceil(qty / 7).alias("c"), F.floor(qty / 7).alias("f"),
         F.round(F.col("l_extendedprice") / 3, 2).alias("r"), r6(F.pow(qty, F.lit(2)), "p"), r6(F.ln(qty + 1), "l"),
         r6(F.log10(qty), "l10"), r6(F.log2(qty), "l2"), r6(F.sqrt(qty), "sq"), r6(F.cbrt(qty), "cb"), r6(F.exp(disc), "e"),

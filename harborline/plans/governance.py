@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import governance as gov
 from harborline.plans.registry import Tables, query
-from harborline.session import new_folder
+from harborline.session import literal_table, new_folder
 
 _REQUESTS = """
 SELECT p_partkey, p_size AS cores, p_partkey % 10 = 0 AS root, p_partkey % 7 = 0 AS privileged FROM part
@@ -106,8 +106,8 @@ NOW = "2024-01-30 12:00:00"
 
 
 def roles(t: Tables):
-    return t.spark.createDataFrame(
-        ROLES, "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint"
+    return literal_table(
+        t.spark, ROLES, "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint"
     )
 
 

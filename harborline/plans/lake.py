@@ -239,6 +239,7 @@ def l11_clean_after_compaction(t: Tables):
     report = lake_table.compact(NOW + dt.timedelta(days=5)).agg(F.sum("files_merged")).first()[0]
     done = lake_table.clean(NOW + dt.timedelta(days=9), 1, dt.timedelta(days=1), apply=True)
     rows = lake_table.read().agg(F.count(F.lit(1)).alias("rows_kept"))
-    return done.report.join(rows, F.lit(True)).select(
-        "expired_snapshots", "retained_snapshots", (F.col("orphan_files") == report).alias("only_inputs_deleted"), "rows_kept"
+    return done.report.select(
+        "expired_snapshots", "retained_snapshots", (F.col("orphan_files") == report).alias("only_inputs_deleted"),
+        rows.scalar().alias("rows_kept"),
     )

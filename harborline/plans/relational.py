@@ -9,7 +9,6 @@ from harborline.operators.ordered import (
     asof_join,
     exact_quantiles,
     peer_ranks,
-    row_index,
     rows_frame,
     running,
     trailing_sum,
@@ -17,6 +16,7 @@ from harborline.operators.ordered import (
 from harborline.operators.sets import except_all, intersect_all
 from harborline.operators.sql import run_sql, service_stats
 from harborline.plans.registry import Tables, query
+from harborline.session import literal_table, stage
 
 
 @query(
@@ -218,7 +218,7 @@ _BANDS_SQL = ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _BANDS)
     """,
 )
 def b07_range_join(t: Tables):
-    bands = t.spark.createDataFrame(_BANDS, "band string, low double, high double")
+    bands = literal_table(t.spark, _BANDS, "band string, low double, high double")
     return (
         range_join(t.part, bands, "p_size", "low", "high", width=10.0)
         .groupBy("band")
@@ -476,15 +476,17 @@ def b17_having_and_group_expression(t: Tables):
 )
 def b18_row_number_and_ntile(t: Tables):
     priced = t.orders.select("o_orderkey", "o_orderstatus", (-F.col("o_totalprice")).alias("cheaper"))
-    placed = row_index(priced, ["o_orderstatus"], ["cheaper", "o_orderkey"], "rn")
-    sizes = t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(
+        priced, ["o_orderstatus"], ["cheaper", "o_orderkey"],
+        {"rn": ("count", F.lit(1)), "n": ("group_count", F.lit(1))},
+    )
     # The first n % 4 tiles hold one row more than the others.
     small, extra = F.expr("n DIV 4"), F.col("n") % 4
     wide = extra * (small + 1)
     tile = F.when(F.col("rn") <= wide, F.expr("(rn - 1) DIV (n DIV 4 + 1)")).otherwise(
         extra + F.expr("(rn - 1 - (n % 4) * (n DIV 4 + 1)) DIV greatest(n DIV 4, 1)")
     )
-    return placed.join(sizes, "o_orderstatus").select("o_orderkey", "rn", (tile + 1).alias("quartile"))
+    return placed.select("o_orderkey", "rn", (tile + 1).alias("quartile"))
 
 
 @query(
@@ -540,7 +542,8 @@ def b19_first_and_last_of_group(t: Tables):
         F.min_by("value", F.struct("ts", "event_id")).alias("opening"),
         F.max_by("value", F.struct("ts", "event_id")).alias("closing"),
     )
-    return t.events.select("event_id", "event_type").join(edges, "event_type")
+    # Written first, so that Spark joins by the measured size of this table.
+    return t.events.select("event_id", "event_type").join(stage(edges, "edges"), "event_type")
 
 
 @query(
