@@ -54,6 +54,11 @@ class Cleanup:
     report: DataFrame
 
 
+def warehouse_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Snapshots of all tables that lie directly below ``root``; feed for ``lake.list_tables``."""
+    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{root.rstrip('/')}/*/metadata/snapshots")
+
+
 class LakeTable:
     def __init__(self, spark: SparkSession, name: str, location: str):
         self.spark, self.name, self.location = spark, name, location.rstrip("/")
@@ -80,6 +85,13 @@ class LakeTable:
         """Row of the current snapshot."""
         return self._read("snapshots", SNAPSHOT_SCHEMA).orderBy(F.col("version").desc()).first()
 
+    def detail(self) -> tuple[DataFrame, DataFrame]:
+        """The current snapshot's row, and its files."""
+        head = self.current()
+        if head is None:
+            raise LookupError(f"table '{self.name}' has no snapshot")
+        return self.snapshots().where(F.col("snapshot_id") == head["snapshot_id"]), self.live_files()
+
     def _published_log(self) -> DataFrame:
         versions = self._read("snapshots", SNAPSHOT_SCHEMA).select("snapshot_id", "version")
         return self._read("manifest_log", LOG_SCHEMA).join(versions, "snapshot_id")

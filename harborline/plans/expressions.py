@@ -361,3 +361,154 @@ def b32_conditional_and_null(t: Tables):
         F.substring("source", 4, 20).try_cast("bigint").alias("source_number"),
         F.col("source").try_cast("bigint").alias("not_a_number"),
     )
+
+
+@query(
+    "b11_regression_and_position_aggregates",
+    """
+    SELECT o_orderpriority, round(regr_intercept(o_totalprice, o_custkey), 4) AS intercept,
+           round(regr_sxx(o_totalprice / 1000, o_custkey), 0) AS sxx, round(regr_sxy(o_totalprice / 1000, o_custkey), 0) AS sxy,
+           round(regr_syy(o_totalprice / 1000, o_custkey), 0) AS syy, round(mean(o_totalprice), 6) AS mean_price,
+           arg_min(o_orderkey, o_totalprice) AS cheapest, mode(o_orderstatus) AS usual_status,
+           round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS finished,
+           any_value(o_orderpriority) AS any_priority, min(o_orderdate) AS first_day,
+           product(CASE WHEN o_totalprice > 0 THEN 1.0 ELSE 2.0 END) AS ones
+    FROM orders GROUP BY o_orderpriority
+    """,
+)
+def b11_regression_and_position_aggregates(t: Tables):
+    price, key = F.col("o_totalprice"), F.col("o_custkey")
+    return t.orders.groupBy("o_orderpriority").agg(
+        F.round(F.regr_intercept(price, key), 4).alias("intercept"),
+        F.round(F.regr_sxx(price / 1000, key), 0).alias("sxx"), F.round(F.regr_sxy(price / 1000, key), 0).alias("sxy"),
+        F.round(F.regr_syy(price / 1000, key), 0).alias("syy"), F.round(F.mean(price), 6).alias("mean_price"),
+        F.min_by("o_orderkey", price).alias("cheapest"), F.mode("o_orderstatus").alias("usual_status"),
+        F.round(F.sum(F.when(F.col("o_orderstatus") == "F", price)), 2).alias("finished"),
+        F.any_value("o_orderpriority").alias("any_priority"), F.min("o_orderdate").alias("first_day"),
+        F.product(F.when(price > 0, 1.0).otherwise(2.0)).alias("ones"),
+    )
+
+
+@query(
+    "b15_nth_value_aggregate",
+    """
+    SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderstatus) AS statuses,
+           list(o_orderstatus ORDER BY o_orderstatus)[2] AS second_status
+    FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) GROUP BY o_custkey
+    """,
+)
+def b15_nth_value_aggregate(t: Tables):
+    """Over the distinct statuses of a customer, of which there are few whatever the customer buys."""
+    distinct = t.orders.select("o_custkey", "o_orderstatus").distinct()
+    status = F.col("o_orderstatus")
+    return distinct.groupBy("o_custkey").agg(
+        F.array_join(F.array_sort(F.collect_list(status)), "").alias("statuses"),
+        lib.nth_value(status, status, 2).alias("second_status"),
+    )
+
+
+@query(
+    "b27_epoch_conversions",
+    """
+    SELECT event_id, CAST(to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC' AS TIMESTAMP) AS from_seconds,
+           CAST(make_timestamp((epoch_us(ts) // 1000) * 1000) AS TIMESTAMP) AS from_millis,
+           CAST(make_timestamp(epoch_us(ts)) AS TIMESTAMP) AS from_micros, strftime(ts, '%Y-%m-%d %H:%M:%S') AS formatted,
+           CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day_start, CAST(date_part('week', ts) AS BIGINT) AS iso_week,
+           ts - INTERVAL 36 HOUR AS earlier, CAST(datediff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS day_number,
+           CAST(TRY_CAST(left(CAST(ts AS VARCHAR), 10) AS DATE) AS TIMESTAMP) AS parsed_day,
+           TRY_CAST(event_type AS DATE) IS NULL AS no_date
+    FROM events
+    """,
+)
+def b27_epoch_conversions(t: Tables):
+    ts = F.col("ts")
+    instant = ts.cast("timestamp")
+
+    def ntz(column):
+        return column.cast("timestamp_ntz")
+
+    return t.events.select(
+        "event_id", ntz(F.timestamp_seconds(F.unix_seconds(instant))).alias("from_seconds"),
+        ntz(F.timestamp_millis(F.unix_millis(instant))).alias("from_millis"),
+        ntz(F.timestamp_micros(F.unix_micros(instant))).alias("from_micros"),
+        F.from_unixtime(F.unix_seconds(instant)).alias("formatted"), ntz(ts.cast("date")).alias("day_start"),
+        F.weekofyear(ts).cast("bigint").alias("iso_week"), (ts - F.expr("INTERVAL 36 HOURS")).alias("earlier"),
+        F.datediff(ts, F.lit("2024-01-01").cast("date")).cast("bigint").alias("day_number"),
+        ntz(F.to_date(F.left(ts.cast("string"), F.lit(10)))).alias("parsed_day"),
+        F.col("event_type").try_cast("date").isNull().alias("no_date"),
+    )
+
+
+@query(
+    "b28_math_functions_more",
+    """
+    SELECT p_partkey, round(asinh(p_retailprice), 6) AS ash, round(acosh(p_retailprice), 6) AS ach,
+           round(atanh(p_size / 100), 6) AS ath, round(atan(p_size), 6) AS at, round(cot(p_size), 6) AS ct,
+           p_size // 7 AS whole, p_size % 7 AS rest, p_size & 12 AS bits_and, p_size | 12 AS bits_or, xor(p_size, 12) AS bits_xor,
+           p_size << 2 AS shifted, CAST(bit_count(p_size) AS BIGINT) AS ones, round(CAST(p_size AS DOUBLE) / 7, 3) AS r3,
+           CASE WHEN isnan(CASE WHEN p_size > 25 THEN 'NaN'::DOUBLE ELSE p_retailprice END) THEN 0 ELSE p_retailprice END AS no_nan
+    FROM part
+    """,
+)
+def b28_math_functions_more(t: Tables):
+    size, price = F.col("p_size"), F.col("p_retailprice")
+
+    def r6(column):
+        return F.round(column, 6)
+
+    return t.part.select(
+        "p_partkey", r6(F.asinh(price)).alias("ash"), r6(F.acosh(price)).alias("ach"), r6(F.atanh(size / 100)).alias("ath"),
+        r6(F.atan(size)).alias("at"), r6(F.cot(size)).alias("ct"), F.call_function("div", size, F.lit(7)).cast("int").alias("whole"),
+        (size % 7).alias("rest"), size.bitwiseAND(12).alias("bits_and"), size.bitwiseOR(12).alias("bits_or"),
+        size.bitwiseXOR(F.lit(12)).alias("bits_xor"), F.shiftleft(size, 2).alias("shifted"),
+        F.bit_count(size).cast("bigint").alias("ones"), F.round(size.cast("double") / 7, 3).alias("r3"),
+        F.nanvl(F.when(size > 25, float("nan")).otherwise(price), F.lit(0.0)).alias("no_nan"),
+    )
+
+
+@query(
+    "b29_array_edits",
+    """
+    SELECT doc_id, array_to_string(list_slice(w, 2, 4), ' ') AS two_to_four, CAST(len(w) AS BIGINT) AS words,
+           array_to_string(list_reverse_sort(list_distinct(list_transform(w[1:5], lambda x: lower(x)))), ' ') AS sorted_down,
+           array_to_string(list_concat(['<'], w[1:2], ['>']), '') AS wrapped,
+           CAST(coalesce(list_position(w, 'the'), 0) AS BIGINT) AS first_the,
+           CAST(len(list_filter(w, lambda x: x <> 'the')) AS BIGINT) AS without_the,
+           CAST(len(list_filter(w, lambda x: x <> 'the')) + greatest(len(list_filter(w, lambda x: x = 'the')) - 1, 0) AS BIGINT) AS one_the_less,
+           array_to_string(list_transform(range(3), lambda i: lang), ',') AS repeated
+    FROM (SELECT doc_id, lang, string_split(text, ' ') AS w FROM documents)
+    """,
+)
+def b29_array_edits(t: Tables):
+    words = F.split("text", " ")
+    the = F.lit("the")
+    lowered = F.transform(lib.array_slice_between(F.col("w"), 1, 5), lambda x: F.lower(x))
+    return t.documents.select("doc_id", "lang", words.alias("w")).select(
+        "doc_id", F.array_join(lib.array_slice_between(F.col("w"), 2, 4), " ").alias("two_to_four"),
+        F.size("w").cast("bigint").alias("words"),
+        F.array_join(F.sort_array(F.array_distinct(lowered), asc=False), " ").alias("sorted_down"),
+        F.array_join(F.concat(F.array(F.lit("<")), lib.array_slice_between(F.col("w"), 1, 2), F.array(F.lit(">"))), "").alias("wrapped"),
+        F.array_position("w", the).cast("bigint").alias("first_the"),
+        F.size(F.array_remove("w", the)).cast("bigint").alias("without_the"),
+        F.size(lib.array_remove_first(F.col("w"), the)).cast("bigint").alias("one_the_less"),
+        F.array_join(F.array_repeat("lang", 3), ",").alias("repeated"),
+    )
+
+
+@query(
+    "b32_casts_and_type_names",
+    """
+    SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,1)) > 0 AS positive, CAST(c_custkey AS VARCHAR) AS as_text,
+           CAST(c_nationkey AS BIGINT) AS as_long, CAST(c_nationkey AS DOUBLE) AS as_double, c_nationkey > 0 AS as_bool,
+           TRY_CAST(c_name AS INTEGER) IS NULL AS not_int, 'bigint' AS key_type, 'double' AS balance_type
+    FROM customer
+    """,
+)
+def b32_casts_and_type_names(t: Tables):
+    return t.customer.select(
+        "c_custkey", (F.col("c_acctbal").cast("decimal(18,1)") > 0).alias("positive"),
+        F.col("c_custkey").cast("string").alias("as_text"), F.col("c_nationkey").cast("bigint").alias("as_long"),
+        F.col("c_nationkey").cast("double").alias("as_double"), F.col("c_nationkey").cast("boolean").alias("as_bool"),
+        F.col("c_name").try_cast("int").isNull().alias("not_int"), F.typeof("c_custkey").alias("key_type"),
+        F.typeof("c_acctbal").alias("balance_type"),
+    )

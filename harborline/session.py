@@ -22,6 +22,7 @@ DEFAULT_CONF = {
 
 
 _LOCAL_DIR = "spark.harborline.localDir"
+_staged: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "harborline", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,10 +64,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     executors are lost between them.
     """
     path = new_folder(df.sparkSession, label)
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables :func:`stage` wrote for this session; call it when their results are used up.
+
+    Staged tables must outlive the lazy DataFrames built on them, so nothing deletes them earlier.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of the caller's own values.
 

@@ -13,6 +13,7 @@ import time
 from collections import Counter
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,7 +31,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.9g}")
+        return value if os.environ.get("EXACT") else float(f"{value:.9g}")
     if isinstance(value, (bytes, bytearray)):
         return bytes(value).hex()
     return value
@@ -76,11 +77,15 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--plain", action="store_true", help="session without any of the package's settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     root = f"/root/testdata/sf{args.sf}"
-    spark = build_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8",
-                          spark__driver__memory="8g")
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8",
+                              spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracles = connect(root), entry.queries(), entry.oracle_sql()
     bad = 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import lake
-from harborline.operators.maintenance import LakeTable, NothingToCompact
+from harborline.operators.maintenance import LakeTable, NothingToCompact, warehouse_snapshots
 from harborline.session import literal_table
 from harborline.sources.files import list_files
 from tests.conftest import same_rows
@@ -134,3 +134,13 @@ def test_partly_compacted_commit_is_read_by_file(table, rows):
 def test_nothing_to_compact(table):
     with pytest.raises(NothingToCompact):
         table.compact(NOW, threshold=1)
+
+
+def test_detail_and_table_names(spark, folder, rows):
+    for name in ("one", "two"):
+        LakeTable(spark, name, f"{folder}/{name}").append(rows.where("event_id < 9"), NOW)
+    assert sorted(r[0] for r in lake.list_tables(warehouse_snapshots(spark, folder)).collect()) == ["one", "two"]
+    snapshot, files = LakeTable(spark, "one", f"{folder}/one").detail()
+    assert snapshot.first()["added_records"] == files.agg(F.sum("record_count")).first()[0] == 9
+    with pytest.raises(LookupError):
+        LakeTable(spark, "none", f"{folder}/none").detail()
