@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.operators.topn import latest_per_key
+
 # Upper bounds, in seconds, of the query duration histogram.
 DURATION_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
 
@@ -62,10 +64,10 @@ def total(events: DataFrame, column: str) -> DataFrame:
     return events.agg(F.coalesce(F.sum(column), F.lit(0)).alias("total"))
 
 
-def gauge_last(events: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+def gauge_last(events: DataFrame, key: str, value: str, ts: str, tie: str) -> DataFrame:
     """Gauge that is set: the latest value per key."""
-    return events.groupBy(F.col(key).alias("key")).agg(
-        F.max_by(value, F.struct(*order)).alias("gauge")
+    return latest_per_key(events, key, ts, tie, value).select(
+        F.col(key).alias("key"), F.col("latest").alias("gauge")
     )
 
 

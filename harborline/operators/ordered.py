@@ -1,9 +1,9 @@
 """Ordered per-key computations that never put one key into one task.
 
-A plain window with ``partitionBy(key)`` sorts a whole key in one task.  Here a key with more rows
-than ``max_group_rows`` makes the input be range-partitioned by key *and* order, so that a hot key
-spans many chunks.  Each chunk is scanned on its own, and starts from a carry row holding the
-aggregate of the chunks before it.  With all keys below the limit the plain window is used.
+A plain window with ``partitionBy(key)`` sorts a whole key in one task.  Here the rows of keys with
+more than ``max_group_rows`` rows are range-partitioned by key *and* order, so that a hot key spans
+many chunks.  Each chunk is scanned on its own, and starts from a carry row holding the aggregate of
+the chunks before it.  All other keys take the plain window.
 
 ``order_by`` columns are ascending.  For a descending order pass a negated column.
 """
@@ -18,15 +18,13 @@ from pyspark.sql import functions as F
 from harborline.session import stage
 
 MAX_GROUP_ROWS = 2_000_000
+# Chunks hold about this many rows; above MAX_CHUNKS of them they grow instead, and sorts spill.
+CHUNK_ROWS = 500_000
+MAX_CHUNKS = 50_000
 
 _CHUNK, _IS_ROW = "__chunk", "__is_row"
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 _GROUP = "group_"
 
 
@@ -72,13 +70,14 @@ def running(
     order_by: Sequence[str],
     aggs: Mapping[str, tuple[str, Column]],
     max_group_rows: int = MAX_GROUP_ROWS,
+    peers: bool = False,
 ) -> DataFrame:
     """Add running aggregates, up to and including the current row, per key.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind ``sum``, ``count`` (non-null
     values), ``min``, ``max`` or ``last`` (latest non-null value).  ``group_sum``, ``group_count``,
     ``group_min`` and ``group_max`` are taken over all rows of the key, which saves a join with a
-    table of totals.
+    table of totals.  With ``peers``, rows of equal order see each other, as in a ``RANGE`` frame.
     """
     keys, order_by = list(keys), list(order_by)
     inputs = {
@@ -90,18 +89,55 @@ def running(
     ready = df.withColumns(inputs)
     columns = list(df.columns)
 
-    if _largest_group(df, keys) <= max_group_rows:
-        window = (
-            Window.partitionBy(*keys).orderBy(*order_by)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        whole = Window.partitionBy(*keys)
-        return ready.select(
-            *columns, *[_scan(k, F.col(f"__in_{n}"), window, whole).alias(n) for n, k in kinds.items()]
+    if not keys:
+        rows = df.count()
+        if rows <= max_group_rows:
+            return _running_whole_keys(ready, columns, keys, order_by, kinds, peers)
+        return _running_in_chunks(ready, columns, keys, order_by, kinds, peers, rows)
+
+    # Written, so that the input is counted once and the size of the hot key list is known to joins.
+    sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
+    is_large = F.col("__n") > max_group_rows
+    hot_rows = sizes.agg(F.sum(F.when(is_large, F.col("__n")))).first()[0]
+    if not hot_rows:
+        return _running_whole_keys(ready, columns, keys, order_by, kinds, peers)
+    hot = sizes.where(is_large).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+    is_hot = F.lit(True)
+    for k in keys:
+        is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+    return _running_whole_keys(
+        ready.join(hot, is_hot, "left_anti"), columns, keys, order_by, kinds, peers
+    ).unionByName(
+        _running_in_chunks(
+            ready.join(hot, is_hot, "left_semi"), columns, keys, order_by, kinds, peers, hot_rows
         )
+    )
+
+
+def _upto_current(window: WindowSpec, peers: bool) -> WindowSpec:
+    frame = window.rangeBetween if peers else window.rowsBetween
+    return frame(Window.unboundedPreceding, Window.currentRow)
 
+
+def _running_whole_keys(
+    ready: DataFrame, columns: list[str], keys: list[str], order_by: list[str], kinds: Mapping[str, str], peers: bool
+) -> DataFrame:
+    window = _upto_current(Window.partitionBy(*keys).orderBy(*order_by), peers)
+    whole = Window.partitionBy(*keys)
+    return ready.select(
+        *columns, *[_scan(k, F.col(f"__in_{n}"), window, whole).alias(n) for n, k in kinds.items()]
+    )
+
+
+def _running_in_chunks(
+    ready: DataFrame, columns: list[str], keys: list[str], order_by: list[str], kinds: Mapping[str, str], peers: bool,
+    rows: int,
+) -> DataFrame:
+    """Rows of equal key and order share a chunk, so the carry rows are right for peers as well."""
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    chunks = min(max(rows // CHUNK_ROWS, 2 * cores), MAX_CHUNKS)
     chunked = stage(
-        ready.repartitionByRange(*keys, *order_by).withColumn(_CHUNK, F.spark_partition_id()),
+        ready.repartitionByRange(chunks, *keys, *order_by).withColumn(_CHUNK, F.spark_partition_id()),
         "chunks",
     )
     order = F.struct(*order_by)
@@ -118,10 +154,7 @@ def running(
         *[_scan(k, F.col(f"__in_{n}"), before, every).alias(f"__in_{n}") for n, k in kinds.items()],
         F.lit(0).alias(_IS_ROW),
     )
-    within = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(_IS_ROW, *order_by)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    within = _upto_current(Window.partitionBy(*keys, _CHUNK).orderBy(_IS_ROW, *order_by), peers)
     return (
         chunked.withColumn(_IS_ROW, F.lit(1))
         .unionByName(carry, allowMissingColumns=True)
@@ -195,7 +228,7 @@ def peer_ranks(
     share costs one row here.  Join the result back on ``keys + order_by`` for per-row ranks.
     """
     keys, order_by = list(keys), list(order_by)
-    peers = df.groupBy(*keys, *order_by).agg(F.count(F.lit(1)).alias("peers"))
+    peers = stage(df.groupBy(*keys, *order_by).agg(F.count(F.lit(1)).alias("peers")), "peers")
     joined = running(
         peers, keys, order_by,
         {"__upto": ("sum", F.col("peers")), "dense_rank": ("count", F.lit(1)),
@@ -220,7 +253,7 @@ def exact_quantiles(
     """Exact interpolated quantiles per key, from value counts instead of a per-key value list."""
     keys = list(keys)
     valued = df.where(F.col(value).isNotNull())
-    counts = valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = stage(valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "value-counts")
     positioned = running(
         counts, keys, [value],
         {"__upto": ("sum", F.col("__n")), "__total": ("group_sum", F.col("__n"))}, max_group_rows,
@@ -274,22 +307,25 @@ def trailing_sum(
     """Sum and count over ``RANGE BETWEEN seconds PRECEDING AND CURRENT ROW``.
 
     Every row enters at its time and leaves after ``seconds``; a running sum over these changes is
-    the frame's sum at each row.  ``value`` should be an integer or decimal so that it is exact.
+    the frame's sum at each row.  ``value`` should be a whole number (or a decimal, which is slower)
+    so that what leaves is exactly what entered.
     """
     keys, columns = list(keys), list(df.columns)
-    step = F.expr(f"INTERVAL {seconds} SECONDS")
-    # Order at one instant: rows enter (0), frames are read (1), rows older than the frame leave (2).
+    later = F.col(ts) + F.expr(f"INTERVAL {seconds} SECONDS")
+    # At one instant rows enter (0) before rows of that age leave (1): both ends belong to a frame.
     changes = df.withColumn(
         "__change",
         F.explode(F.array(
-            F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), value.alias("v"), F.lit(1).alias("c")),
-            F.struct(F.col(ts).alias("at"), F.lit(1).alias("phase"), (value * 0).alias("v"), F.lit(0).alias("c")),
-            F.struct((F.col(ts) + step).alias("at"), F.lit(2).alias("phase"), (-value).alias("v"), F.lit(-1).alias("c")),
+            F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), value.alias("v"), F.lit(1).cast("bigint").alias("c")),
+            F.struct(later.alias("at"), F.lit(1).alias("phase"), (-value).alias("v"), F.lit(-1).cast("bigint").alias("c")),
         )),
-    ).select(*columns, F.col("__change.at").alias("__at"), F.col("__change.phase").alias("__phase"),
-             F.col("__change.v").alias("__v"), F.col("__change.c").cast("bigint").alias("__c"))
+    ).select(
+        *[(F.when(F.col("__change.phase") == 0, F.col(c)) if c not in keys else F.col(c)).alias(c) for c in columns],
+        F.col("__change.at").alias("__at"), F.col("__change.phase").alias("__phase"),
+        F.col("__change.v").alias("__v"), F.col("__change.c").alias("__c"),
+    )
     summed = running(
         changes, keys, ["__at", "__phase"],
-        {sum_name: ("sum", F.col("__v")), count_name: ("sum", F.col("__c"))}, max_group_rows,
+        {sum_name: ("sum", F.col("__v")), count_name: ("sum", F.col("__c"))}, max_group_rows, peers=True,
     )
-    return summed.where(F.col("__phase") == 1).drop("__at", "__phase", "__v", "__c")
+    return summed.where(F.col("__phase") == 0).drop("__at", "__phase", "__v", "__c")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.operators.ordered import MAX_GROUP_ROWS, running
-from harborline.operators.topn import newest_per_key
+from harborline.operators.topn import latest_per_key, newest_per_key
 from harborline.session import literal_table
 
 # Points kept per series; drawing area width, height and padding.
@@ -41,11 +41,9 @@ def query_series(spark: SparkSession, points: DataFrame, targets: Sequence[str])
 
 
 def series_summary(points: DataFrame) -> DataFrame:
-    return points.groupBy("key").agg(
-        F.max_by("value", F.struct("ts", "id")).alias("latest"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.count(F.lit(1)).alias("points"),
+    return latest_per_key(
+        points, "key", "ts", "id", "value",
+        [F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count(F.lit(1)).alias("points")],
     )
 
 

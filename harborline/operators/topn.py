@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.session import stage
+
 
 def newest_per_key(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n: int, salts: int = 64
@@ -35,3 +37,26 @@ def newest_per_key(
         .where(F.col("__rn") <= n)
         .drop("__rn")
     )
+
+
+def latest_per_key(
+    df: DataFrame, key: str, ts: str, tie: str, value: str, aggs: Sequence[Column] = ()
+) -> DataFrame:
+    """``key``, the ``value`` of its last row by ``(ts, tie)`` as ``latest``, and further ``aggs``.
+
+    Ordering an aggregate by a pair makes Spark sort the whole input.  So the last time per key is
+    hashed first, together with ``aggs``; then only rows at these times, mostly one per key, compete
+    by ``tie``.  The second scan starts at the earliest of the last times, which skips older row
+    groups of time-ordered files.
+    """
+    ends = stage(df.groupBy(key).agg(F.max(ts).alias("__last"), *aggs), "ends")
+    since = ends.agg(F.min("__last")).first()[0]
+    candidates = df.select(key, ts, tie, value) if since is None else df.select(key, ts, tie, value).where(
+        F.col(ts) >= F.lit(since).cast(df.schema[ts].dataType)
+    )
+    last = ends.select(F.col(key).alias("__key"), "__last")
+    winners = (
+        candidates.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col(ts) == F.col("__last")))
+        .groupBy("__key").agg(F.max_by(value, tie).alias("latest"))
+    )
+    return ends.join(winners, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key", "__last")

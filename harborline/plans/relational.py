@@ -576,9 +576,9 @@ def b20_rows_frame(t: Tables):
 def b20_range_frame(t: Tables):
     summed = trailing_sum(
         t.events.select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", 86400,
-        F.col("value").cast("decimal(18,2)"), "day_sum", "day_count",
+        F.round(F.col("value") * 100).cast("bigint"), "day_cents", "day_count",
     )
-    return summed.select("event_id", F.col("day_sum").cast("double").alias("day_sum"), "day_count")
+    return summed.select("event_id", (F.col("day_cents") / 100.0).alias("day_sum"), "day_count")
 
 
 @query(

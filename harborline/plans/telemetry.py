@@ -198,7 +198,7 @@ def m3_total(t: Tables):
 
 @query("m4_gauge_last", "SELECT event_type AS key, arg_max(value, ts) AS gauge FROM events GROUP BY event_type")
 def m4_gauge_last(t: Tables):
-    return metrics.gauge_last(t.events, "event_type", "value", ["ts", "event_id"])
+    return metrics.gauge_last(t.events, "event_type", "value", "ts", "event_id")
 
 
 @query(

@@ -48,6 +48,18 @@ def test_latest_breaks_ties_by_id(spark):
     assert series.series_summary(rows).first()["latest"] == 4.0
 
 
+def test_latest_of_null_keys_and_null_times(spark):
+    rows = literal_table(spark, [(None, 1.0, 5, 1), (None, 2.0, 5, 2), ("a", 3.0, None, 1), ("b", 4.0, 9, 1), ("b", 5.0, 1, 7)],
+                         "key string, value double, ts int, id bigint")
+    assert {r["key"]: (r["latest"], r["points"]) for r in series.series_summary(rows).collect()} == {
+        None: (2.0, 2), "a": (None, 1), "b": (4.0, 2)}
+
+
+def test_summary_hashes_instead_of_sorting(spark):
+    plan = series.series_summary(points(spark, {"a": 2}))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_bins_are_half_open(spark):
     rows = points(spark, {"a": 20})
     at = lambda s: F.timestamp_seconds(F.lit(s))
@@ -90,5 +102,5 @@ def test_totals_and_gauges(spark):
     df = literal_table(spark, [("a", 1, 5), ("a", 2, -3), ("b", 1, 4)], "k string, t int, v bigint")
     assert metrics.total(df, "v").first()[0] == 6
     assert metrics.total(df.limit(0), "v").first()[0] == 0
-    assert same_rows(metrics.gauge_last(df, "k", "v", ["t"]), literal_table(spark, [("a", -3), ("b", 4)], "key string, gauge bigint"))
+    assert same_rows(metrics.gauge_last(df, "k", "v", "t", "t"), literal_table(spark, [("a", -3), ("b", 4)], "key string, gauge bigint"))
     assert same_rows(metrics.gauge_net(df, "k", F.col("v")), literal_table(spark, [("a", 2), ("b", 4)], "key string, gauge bigint"))
