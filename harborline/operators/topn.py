@@ -50,10 +50,8 @@ def latest_per_key(
     groups of time-ordered files.
     """
     ends = stage(df.groupBy(key).agg(F.max(ts).alias("__last"), *aggs), "ends")
-    since = ends.agg(F.min("__last")).first()[0]
-    candidates = df.select(key, ts, tie, value) if since is None else df.select(key, ts, tie, value).where(
-        F.col(ts) >= F.lit(since).cast(df.schema[ts].dataType)
-    )
+    since = ends.agg(F.min("__last")).scalar()
+    candidates = df.select(key, ts, tie, value).where(F.col(ts) >= since)
     last = ends.select(F.col(key).alias("__key"), "__last")
     winners = (
         candidates.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col(ts) == F.col("__last")))

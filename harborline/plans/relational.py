@@ -109,14 +109,12 @@ def b03_filter_predicates(t: Tables):
 )
 def b04_inner_equi_join(t: Tables):
     customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    per_order = t.lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("items"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price")
-    )
     return (
-        per_order.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"))
-        .agg(F.sum("items").alias("line_items"), F.sum("price").cast("double").alias("revenue"))
+        .agg(F.count(F.lit(1)).alias("line_items"),
+             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
     )
 
 
