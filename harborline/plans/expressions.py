@@ -309,7 +309,7 @@ def b30_map_and_struct(t: Tables):
     "b31_json_functions",
     """
     SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n,
-           round(avg(value), 6) AS avg_value
+           round(avg(value), 9) AS avg_value
     FROM events GROUP BY event_type, CAST(json_extract_string(props, '$.k') AS BIGINT)
     """,
 )
@@ -317,7 +317,7 @@ def b31_json_functions(t: Tables):
     return (
         t.events.select("event_type", "value", F.from_json("props", "k bigint")["k"].alias("k"))
         .groupBy("event_type", "k")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("avg_value"))
     )
 
 

@@ -22,17 +22,17 @@ from harborline.session import literal_table, stage
 @query(
     "q2_service_stats",
     """
-    SELECT event_type AS service_name, count(*) AS events, round(avg(value), 6) AS avg_cpu
+    SELECT event_type AS service_name, count(*) AS events, round(avg(value), 9) AS avg_cpu
     FROM events GROUP BY event_type
     """,
 )
 def q2_service_stats(t: Tables):
     stats = service_stats(t.events, "event_type", "value")
-    return stats.select("service_name", "events", F.round("avg_cpu", 6).alias("avg_cpu"))
+    return stats.select("service_name", "events", F.round("avg_cpu", 9).alias("avg_cpu"))
 
 
 Q1_TEXT = """
-SELECT n.n_name AS nation, count(*) AS customers, round(avg(c.c_acctbal), 6) AS avg_balance
+SELECT n.n_name AS nation, count(*) AS customers, round(avg(c.c_acctbal), 9) AS avg_balance
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 GROUP BY n.n_name
 """
@@ -210,7 +210,7 @@ _BANDS_SQL = ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in _BANDS)
 @query(
     "b07_range_join",
     f"""
-    SELECT band, count(*) AS parts, round(avg(p_retailprice), 6) AS avg_price
+    SELECT band, count(*) AS parts, round(avg(p_retailprice), 9) AS avg_price
     FROM part JOIN (VALUES {_BANDS_SQL}) AS bands(band, low, high) ON p_size >= low AND p_size < high
     GROUP BY band
     """,
@@ -220,7 +220,7 @@ def b07_range_join(t: Tables):
     return (
         range_join(t.part, bands, "p_size", "low", "high", width=10.0)
         .groupBy("band")
-        .agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("p_retailprice"), 6).alias("avg_price"))
+        .agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("p_retailprice"), 9).alias("avg_price"))
     )
 
 
@@ -298,7 +298,7 @@ def b10_asof_join(t: Tables):
     """
     SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty,
            CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
-           round(avg(l_discount), 6) AS avg_discount, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
+           round(avg(l_discount), 9) AS avg_discount, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
     FROM lineitem GROUP BY l_returnflag, l_linestatus
     """,
 )
@@ -307,7 +307,7 @@ def b11_hash_aggregate(t: Tables):
         F.count(F.lit(1)).alias("n"),
         F.sum("l_quantity").alias("sum_qty"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("sum_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_discount"),
+        F.round(F.avg("l_discount"), 9).alias("avg_discount"),
         F.min("l_shipdate").alias("first_ship"),
         F.max("l_shipdate").alias("last_ship"),
     )

@@ -75,7 +75,7 @@ def x4_stream_lease_expiry(t: Tables):
     """
     SELECT window_start, key, points, avg_value FROM (
         SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS key, count(*) AS points,
-               round(avg(value), 6) AS avg_value FROM events GROUP BY ALL)
+               round(avg(value), 9) AS avg_value FROM events GROUP BY ALL)
     WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
     """,
 )
@@ -87,5 +87,5 @@ def x5_stream_tumbling_stats(t: Tables):
     ).awaitTermination()
     return t.spark.read.parquet(f"{path}/stats").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "points",
-        F.round("avg_value", 6).alias("avg_value"),
+        F.round("avg_value", 9).alias("avg_value"),
     )

@@ -138,7 +138,7 @@ def t8_get_annotations(t: Tables):
 @query(
     "t9_range_and_bin",
     """
-    SELECT event_type AS key, time_bucket(INTERVAL 5 MINUTE, ts) AS bin_start, round(avg(value), 6) AS avg_value,
+    SELECT event_type AS key, time_bucket(INTERVAL 5 MINUTE, ts) AS bin_start, round(avg(value), 9) AS avg_value,
            min(value) AS min_value, max(value) AS max_value, count(*) AS points
     FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL
     """,
@@ -146,7 +146,7 @@ def t8_get_annotations(t: Tables):
 def t9_range_and_bin(t: Tables):
     start, end = F.expr("TIMESTAMP_NTZ '2024-01-05'"), F.expr("TIMESTAMP_NTZ '2024-01-20'")
     binned = series.range_and_bin(points(t), start, end, "5 minutes")
-    return binned.withColumn("avg_value", F.round("avg_value", 6))
+    return binned.withColumn("avg_value", F.round("avg_value", 9))
 
 
 @query("m1_labelled_counter", "SELECT event_type AS label, count(*) AS total FROM events GROUP BY event_type")
