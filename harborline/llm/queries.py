@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import language_id, mixing, secret_scan
+from harborline.llm import contamination, language_id, mixing, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -18,6 +18,16 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = contamination.contained_items(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op7_simhash(spark: SparkSession, root: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, root, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_mix_sources(spark: SparkSession, root: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, root, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,10 +45,13 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
     "op10_secrets": op10_secrets,
 }
 
 LLM_ORACLES = {
+    "op6_benchmark_decontamination": contamination.ORACLE,
     "op8_mix_sources": mixing.ORACLE.format(documents="documents", columns=""),
 }
