@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,7 +67,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._staged_path = path
+    return written
+
+
+def unstage(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what :func:`stage` wrote for ``frames``, and shuffle files that nothing refers to.
+
+    For steps of an operator that runs its jobs one by one; no lazy DataFrame may still need them.
+    Spark drops the shuffle files of a collected plan, so a collection is asked for.
+    """
+    mine = _staged.get(spark.sparkContext.applicationId, [])
+    for frame in frames:
+        _delete(spark, frame._staged_path)
+        mine.remove(frame._staged_path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_staged(spark: SparkSession) -> int:
@@ -74,11 +96,9 @@ def clear_staged(spark: SparkSession) -> int:
 
     Staged tables must outlive the lazy DataFrames built on them, so nothing deletes them earlier.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = _staged.pop(spark.sparkContext.applicationId, [])
     for name in paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, name)
     return len(paths)
 
 
