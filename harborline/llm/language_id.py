@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -29,18 +29,18 @@ def plain(text: str | None) -> bytes:
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """Raw-content dictionaries of the labelled ``docs``, the most frequent language first.
 
-    The sample is bounded: per language the ``texts`` different texts with the smallest hashes, of
+    The sample is bounded: per language one text for each of ``texts`` residues of the text's hash, of
     each its first ``chars`` characters (one slice, as any part serves), joined and cut at ``size``
     bytes.  Rows without language or text teach nothing.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = labelled.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = hashed.select("lang", "h", F.row_number().over(first).alias("place")).where(F.col("place") <= texts)
+    # the smallest hash of each of `texts` residues: a bounded sample by plain minima, with no ranking of a language
+    least = hashed.groupBy("lang", F.pmod("h", F.lit(texts)).alias("place")).agg(F.min("h").alias("h"))
     sample = (
         labelled.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-        .join(F.broadcast(chosen), ["lang", "h"])  # at most `texts` rows per language
+        .join(F.broadcast(least), ["lang", "h"])  # at most `texts` rows per language
         .groupBy("lang", "place").agg(F.min("text").alias("text"))
     )
     joined: dict[str, list[bytes]] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import contamination, language_id, mixing, secret_scan, simhash
+from harborline.llm import contamination, language_id, mixing, repeats, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -18,6 +18,15 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_repeats(spark: SparkSession, root: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, root, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
     found = contamination.contained_items(table(spark, root, "documents"), table(spark, root, "benchmark"))
     return found.drop("text_hash")
@@ -45,6 +54,7 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_repeats": op5_repeats,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
