@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import contamination, language_id, mixing, repeats, secret_scan, simhash
+from harborline.llm import contamination, language_id, line_dedup, mixing, repeats, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(table(spark, root, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_repeats(spark: SparkSession, root: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, root, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -54,6 +59,7 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op5_repeats": op5_repeats,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash": op7_simhash,
@@ -62,6 +68,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op6_benchmark_decontamination": contamination.ORACLE,
     "op8_mix_sources": mixing.ORACLE.format(documents="documents", columns=""),
 }

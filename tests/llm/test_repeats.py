@@ -38,7 +38,7 @@ def test_shifted_partial_and_periodic_repeats(spark, seed):
 
 
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
-    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(150))
+    text = "".join(random.Random(5).choices("abcdefgh", k=150))
     rows = [(1, text, 5), (1, text, 6), (None, text, 7), (2, None, 8)]
     found = find_repeats(spark.createDataFrame(rows, "doc_id long, text string, place int")).collect()
     by = sorted((r.doc_id is None, r.doc_id or 0, len(r.kept)) for r in found)
