@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import contamination, language_id, line_dedup, mixing, repeats, secret_scan, simhash
+from harborline.llm import cap_filters, contamination, language_id, line_dedup, mixing, repeats, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -47,6 +47,10 @@ def op8_mix_sources(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, root, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, root, "documents"))
     return found.select(
@@ -64,6 +68,7 @@ LLM_QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
+    "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
 }
 
