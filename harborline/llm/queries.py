@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import cap_filters, contamination, language_id, line_dedup, mixing, repeats, secret_scan, simhash
+from harborline.llm import cap_filters, contamination, language_id, line_dedup, mixing, pii, repeats, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -23,6 +23,16 @@ def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_pii(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.find_pii(table(spark, root, "documents"))
+    return found.select(
+        "doc_id",
+        *[span_count("spans", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(span_digest("spans", pii.KINDS), 256).alias("base_sha256"),
+        span_digest("spans").alias("spans"),
+    )
+
+
 def op5_repeats(spark: SparkSession, root: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, root, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -64,6 +74,7 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_pii": op3_pii,
     "op5_repeats": op5_repeats,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash": op7_simhash,
