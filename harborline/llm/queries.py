@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import cap_filters, contamination, language_id, line_dedup, mixing, pii, repeats, secret_scan, simhash
+from harborline.llm import cap_filters, contamination, language_id, line_dedup, masked_lm, mixing, pii, repeats, secret_scan, simhash
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -33,6 +33,11 @@ def op3_pii(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op4_masked_lm(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
 def op5_repeats(spark: SparkSession, root: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, root, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -75,6 +80,7 @@ LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
+    "op4_masked_lm": op4_masked_lm,
     "op5_repeats": op5_repeats,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash": op7_simhash,
