@@ -154,8 +154,11 @@ def _run_texts(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
 
 
 def _cut(run_texts: DataFrame, length: int, threshold: int) -> DataFrame:
-    """The parts of up to ``length`` suffixes of each run, aligned by distance from the digit."""
-    names = ("d", "place", "digit", "whole", "part", "parent")
+    """The parts of up to ``length`` suffixes of each run, aligned by distance from the digit.
+
+    ``core`` is the hash of the bytes that all suffixes of a full part have in common.
+    """
+    names = ("d", "place", "digit", "core", "whole", "parent")
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,23 +176,26 @@ def _cut(run_texts: DataFrame, length: int, threshold: int) -> DataFrame:
                 size = np.diff(np.append(at, len(row)))
                 owner, ahead = row[at], step[at]
                 begin = offsets[owner - start] + ahead
-                whole = string_hashes(prefix_hashes(data), begin, begin + size - 1 + threshold)
+                sums = prefix_hashes(data)
+                whole = string_hashes(sums, begin, begin + size - 1 + threshold)
+                middle = offsets[owner - start] + distance[owner] - length * part_no[at]
+                core = string_hashes(sums, middle, middle + threshold - length + 1)
                 packed = _pack(tie[owner], first[owner] + ahead, size, distance[owner] - ahead)
-                yield _table(schema, d[owner], packed, digit[owner], whole, part_no[at], place[owner])
+                yield _table(schema, d[owner], packed, digit[owner], core, whole, place[owner])
 
     return run_texts.select("d", "place", "digit", "span").mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
-def _first_of_each(rows: DataFrame, bucket: list[str], carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One pass of the sort: of equal ``whole`` in a bucket the first; ``open`` if the bucket has several.
-
-    In an open bucket shorter strings may still be equal, so its rows go to the next pass.  Returns
-    the staged table below the result, and the result.
-    """
+def _first_of_each(rows: DataFrame, bucket: list[str], carry: list[str]) -> DataFrame:
+    """One pass of the sort: of the rows with equal ``whole`` in a bucket the first."""
     firsts = rows.groupBy(*bucket, "whole").agg(F.min(F.struct("d", "place", *carry)).alias("at"))
-    firsts = stage(firsts.select(*bucket, "at.*"), "repeats-pass")
+    return firsts.select(*bucket, "at.*")
+
+
+def _marked(firsts: DataFrame, bucket: list[str]) -> DataFrame:
+    """``open`` if a row's bucket has several: shorter strings of theirs may be equal, so they go to the next pass."""
     several = firsts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, F.lit(True).alias("open"))
-    return firsts, firsts.join(several, bucket, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    return firsts.join(several, bucket, "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
 def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -203,8 +209,8 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     The first digit comes from the run a suffix lies in (:func:`runs`); runs whose digit no other run
     has fall out.  The next digit is the whole run's text: copies of a run have copies of all its
     strings, so only the first of each class goes on, and it is done if it is the bucket's only
-    class.  The last passes cut what is left into parts of eight suffixes and into single ones,
-    where equal groups are exactly the repeated strings.  A string is equal to another if two
+    class.  The last passes cut what is left into parts of eight suffixes, bucketed by the bytes these
+    have in common, and into single ones, where equal groups are exactly the repeated strings.  A string is equal to another if two
     64-bit hashes of it are.
 
     Null and empty texts have no bytes.  Texts under one id count as different documents in the
@@ -218,29 +224,32 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     hits = stage(every.join(shared, "digit"), "repeats-runs")
     unstage(spark)
     alive = []
-    staged, firsts = _first_of_each(hits, ["digit"], [])
-    done = stage(firsts, "repeats-whole")
-    unstage(spark, staged)
+    whole = stage(_first_of_each(hits, ["digit"], []), "repeats-whole")
+    unstage(spark)
+    done = stage(_marked(whole, ["digit"]), "repeats-whole-marked")
+    unstage(spark, whole)
     alive.append(done.where("not open").select("d", "place"))
     texts = stage(_run_texts(keyed, done.where("open"), threshold), "repeats-texts")
     unstage(spark)
     rest = texts
     for length in PARTS:
-        staged, firsts = _first_of_each(_cut(rest, length, threshold), ["digit", "part"], ["parent"])
-        done = stage(firsts, "repeats-parts")
-        unstage(spark, staged)
-        final = length == PARTS[-1]
-        alive.append((done if final else done.where("not open")).select("d", "place"))
-        if not final:
-            first = F.shiftright("place", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
-            parent = F.shiftright("parent", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
-            count = F.shiftright("place", _COUNT).bitwiseAND(F.lit(127))
-            own = texts.select("d", F.col("place").alias("parent"), "span")
-            rest = (
-                done.where("open").join(own, ["d", "parent"])
-                .withColumn("__at", (first - parent + 1).cast("int")).withColumn("__n", (count + threshold).cast("int"))
-                .select("d", "place", "digit", F.expr("substring(span, __at, __n)").alias("span"))
-            )
+        parts = stage(_first_of_each(_cut(rest, length, threshold), ["digit", "core"], ["parent"]), "repeats-parts")
+        unstage(spark)
+        if length == PARTS[-1]:
+            alive.append(parts.select("d", "place"))
+            break
+        done = stage(_marked(parts, ["digit", "core"]), "repeats-parts-marked")
+        unstage(spark, parts)
+        alive.append(done.where("not open").select("d", "place"))
+        first = F.shiftright("place", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
+        parent = F.shiftright("parent", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
+        count = F.shiftright("place", _COUNT).bitwiseAND(F.lit(127))
+        own = texts.select("d", F.col("place").alias("parent"), "span")
+        rest = (
+            done.where("open").join(own, ["d", "parent"])
+            .withColumn("__at", (first - parent + 1).cast("int")).withColumn("__n", (count + threshold).cast("int"))
+            .select("d", "place", "digit", F.expr("substring(span, __at, __n)").alias("span"))
+        )
     kept_runs = alive[0]
     for more in alive[1:]:
         kept_runs = kept_runs.union(more)
