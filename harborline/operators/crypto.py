@@ -20,25 +20,36 @@ def assign_zone(paths: DataFrame, zones: DataFrame, path: str = "path") -> DataF
     return longest_prefix_join(paths, path, zones, "zone_path", ["key_name"])
 
 
-def data_key(secret: bytes, path: Column) -> Column:
+def data_key(secret: bytes | Column, path: Column) -> Column:
     """32-byte data key of one path, derived from the job's secret.
 
     Derived rather than random, so that a task retried after an executor loss arrives at the same
-    key for the payload and for its header.
+    key for the payload and for its header.  The path is hashed between two uses of the secret, as in
+    an HMAC.  Pass the secret as a column, for instance of a keys table: a literal is part of plans
+    and event logs.
     """
-    return F.unhex(F.sha2(F.concat(F.lit(secret), F.encode(path, "UTF-8")), 256))
+    key = secret if isinstance(secret, Column) else F.lit(secret)
+    inner = F.unhex(F.sha2(F.concat(key, F.encode(path, "UTF-8")), 256))
+    return F.unhex(F.sha2(F.concat(key, inner), 256))
 
 
-def wrap_key(plain_key: Column, master: Column) -> Column:
-    return F.aes_encrypt(plain_key, master, F.lit("GCM"))
+def valid_key_length(key: Column) -> Column:
+    return F.octet_length(key) == 32
 
 
-def unwrap_key(wrapped: Column, master: Column) -> Column:
-    return F.aes_decrypt(wrapped, master, F.lit("GCM"))
+def checked_key(master: Column) -> Column:
+    """``master``, or an error if it is not 32 bytes long; null stays null."""
+    return F.when(master.isNull() | valid_key_length(master), master).otherwise(
+        F.raise_error(F.concat(F.lit("a master key has 32 bytes, not "), F.octet_length(master).cast("string"))).cast("binary")
+    )
 
 
-def valid_key_length(key: Column) -> Column:
-    return F.octet_length(key) == 32
+def wrap_key(plain_key: Column, master: Column) -> Column:
+    return F.aes_encrypt(plain_key, checked_key(master), F.lit("GCM"))
+
+
+def unwrap_key(wrapped: Column, master: Column) -> Column:
+    return F.aes_decrypt(wrapped, checked_key(master), F.lit("GCM"))
 
 
 def latest_keys(keys: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def roll_keys(keys: DataFrame, material: DataFrame, created_at: Column) -> tuple
 
 
 def encrypt_rows(
-    rows: DataFrame, zones: DataFrame, keys: DataFrame, secret: bytes,
+    rows: DataFrame, zones: DataFrame, keys: DataFrame, secret: bytes | Column,
     path: str = "path", payload: str = "payload",
 ) -> DataFrame:
     """Encrypt ``payload`` of the rows whose path lies in a zone, under the zone's latest key.
@@ -113,15 +124,21 @@ def encrypt_rows(
 
 
 def decrypt_rows(rows: DataFrame, keys: DataFrame, payload: str = "payload") -> DataFrame:
-    """Undo :func:`encrypt_rows` with the master version each header names."""
+    """Undo :func:`encrypt_rows` with the master version each header names.
+
+    A header that names a key but holds no wrapped key is an error, not plain text.
+    """
     masters = keys.select(
         "key_name", F.col("version").alias("key_version"), F.col("key_bytes").alias("__master")
     )
     opened = rows.join(masters, ["key_name", "key_version"], "left")
     sealed = F.col("wrapped_key").isNotNull()
+    lost = F.col("key_name").isNotNull() & ~sealed
     missing = sealed & F.col("__master").isNull()
     plain = F.when(
         missing, F.raise_error(F.concat_ws(" ", F.lit("missing key"), "key_name", "key_version")).cast("binary")
+    ).when(
+        lost, F.raise_error(F.concat_ws(" ", F.lit("no wrapped key for"), "key_name", "key_version")).cast("binary")
     ).when(
         sealed,
         F.aes_decrypt(F.col(payload), unwrap_key(F.col("wrapped_key"), F.col("__master")), F.lit("GCM")),
@@ -134,7 +151,8 @@ def decrypt_rows(rows: DataFrame, keys: DataFrame, payload: str = "payload") ->
 def rewrap_zone(headers: DataFrame, keys: DataFrame, zone: str, path: str = "path") -> DataFrame:
     """All headers, those below ``zone`` on an old key version moved to the latest; adds ``rewrapped``.
 
-    Only the wrapped data key changes; payloads stay as they are.
+    Only the wrapped data key changes; payloads stay as they are.  A header whose old version is not
+    among the keys cannot be opened: it stays as it is, and ``error`` says why.
     """
     old = keys.select(
         "key_name", F.col("version").alias("key_version"), F.col("key_bytes").alias("__old")
@@ -143,14 +161,19 @@ def rewrap_zone(headers: DataFrame, keys: DataFrame, zone: str, path: str = "pat
         "key_name", F.col("version").alias("__version"), F.col("key_bytes").alias("__new")
     )
     joined = headers.join(old, ["key_name", "key_version"], "left").join(new, "key_name", "left")
-    due = under_prefix(F.col(path), zone) & (F.col("key_version") != F.col("__version"))
+    stale = F.coalesce(under_prefix(F.col(path), zone) & (F.col("key_version") != F.col("__version")), F.lit(False))
+    due = stale & F.col("__old").isNotNull() & F.col("wrapped_key").isNotNull()
+    error = F.when(
+        stale & ~due, F.concat_ws(" ", F.lit("missing key"), F.col("key_name"), F.col("key_version"))
+    )
     return joined.select(
-        *[c for c in headers.columns if c not in HEADER],
+        *[c for c in headers.columns if c not in (*HEADER, "rewrapped", "error")],
         "key_name",
         F.when(due, F.col("__version")).otherwise(F.col("key_version")).alias("key_version"),
         F.when(due, wrap_key(unwrap_key(F.col("wrapped_key"), F.col("__old")), F.col("__new")))
         .otherwise(F.col("wrapped_key")).alias("wrapped_key"),
-        F.coalesce(due, F.lit(False)).alias("rewrapped"),
+        due.alias("rewrapped"),
+        error.alias("error"),
     )
 
 

@@ -27,9 +27,10 @@ def job_rules() -> list[Rule]:
 
 
 def validate_requests(requests: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Add ``violations`` and ``allowed`` to each request row."""
-    checks = [F.when(broken, message) for broken, message in (rules or job_rules())]
-    return requests.withColumn("violations", F.array_compact(F.array(*checks))).withColumn(
+    """Add ``violations`` and ``allowed`` to each request row; an empty list of rules allows all."""
+    checks = [F.when(broken, message) for broken, message in (job_rules() if rules is None else rules)]
+    texts = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    return requests.withColumn("violations", texts).withColumn(
         "allowed", F.size("violations") == 0
     )
 
@@ -57,14 +58,13 @@ def group_names(memberships: Column) -> Column:
     """Group names from distinguished names: the first component if it is a ``cn``, else nothing."""
     heads = F.transform(memberships, lambda dn: F.split(dn, ",")[0])
     named = F.filter(heads, lambda head: head.startswith("cn="))
-    return F.transform(named, lambda head: F.substring(head, 4, 1 << 30))
+    return F.transform(named, lambda head: F.regexp_replace(head, "^cn=", ""))
 
 
 def authorize_groups(users: DataFrame, groups: str, allowed: Sequence[str]) -> DataFrame:
-    """Add ``authorized``: any of the user's groups is on the allowed list."""
-    return users.withColumn(
-        "authorized", F.arrays_overlap(F.col(groups), F.array(*[F.lit(g) for g in allowed]))
-    )
+    """Add ``authorized``: any of the user's groups is on the allowed list.  Unknown groups are none."""
+    overlap = F.arrays_overlap(F.col(groups), F.array(*[F.lit(g) for g in allowed]).cast("array<string>"))
+    return users.withColumn("authorized", F.coalesce(overlap, F.lit(False)))
 
 
 def issue_leases(requests: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:

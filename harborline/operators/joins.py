@@ -11,23 +11,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_OPEN_LEVEL = 99
+
 
 def range_join(
     points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float
 ) -> DataFrame:
     """Points with every range that holds ``low <= value < high``.
 
-    Ranges are spelled out as the buckets of ``width`` they touch and joined on the bucket number.
+    A range is joined on the two or three cells it touches at the level whose cells, ``width`` times a
+    power of four, are as wide as it is.  Points are spelled out once per level that ranges have, so
+    the copies of a row do not depend on how wide ranges are.  Ranges without an end, or too wide for
+    numbered cells, share one cell of a last level.  Empty ranges and nulls match nothing.
     """
-    bucketed = ranges.withColumn(
-        "__bucket",
-        F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))),
+    size = (F.col(high) - F.col(low)) / width
+    exact = (F.greatest(F.abs(F.col(low)), F.abs(F.col(high))) / width) < float(1 << 52)
+    level = F.when(exact, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0))) / 2)).cast("int")).otherwise(_OPEN_LEVEL)
+    cell = width * F.pow(F.lit(4.0), F.col("__level"))
+    cells = F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+    open_level = F.col("__level") == _OPEN_LEVEL
+    placed = (
+        ranges.where(F.col(low) < F.col(high)).withColumn("__level", level)
+        .withColumn("__bucket", F.explode(F.when(open_level, F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
     )
+    levels = [r[0] for r in placed.select("__level").distinct().collect()]  # about 30 at most
     return (
-        points.withColumn("__bucket", F.floor(F.col(value) / width))
-        .join(bucketed, "__bucket")
+        points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
+        .withColumn("__bucket", F.when(open_level, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(value) / cell)))
+        .join(placed, ["__level", "__bucket"])
         .where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
-        .drop("__bucket")
+        .drop("__level", "__bucket")
     )
 
 
@@ -70,43 +83,21 @@ def path_prefixes(path: Column) -> Column:
     )
 
 
-# Zones above this number are no longer sent to every executor.
-BROADCAST_ZONES = 50_000
-
-
 def longest_prefix_join(
-    paths: DataFrame, path: str, zones: DataFrame, zone: str, carry: Sequence[str] = (),
-    broadcast_zones: int = BROADCAST_ZONES,
+    paths: DataFrame, path: str, zones: DataFrame, zone: str, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Add the most specific zone that covers each path, and the zone's ``carry`` columns.
 
-    A zone of ``d`` components can only match the first ``d`` components of a path, so there is one
-    equi join per depth that zones have.  Up to ``broadcast_zones`` zones are broadcast, and the rows
-    of ``paths`` stay where they are.  With more, only the distinct paths are shuffled to find their
-    zone.  Paths outside every zone keep nulls.
+    A zone of ``d`` components can only match the first ``d`` components of a path, so each distinct
+    path is spelled out at the depths that zones have and joined on equality.  Spark broadcasts a side
+    by its measured size.  Paths outside every zone keep nulls.
     """
     stem = F.rtrim(F.col(zone), F.lit("/"))
     known = zones.groupBy(stem.alias("__stem")).agg(F.first(F.struct(zone, *carry)).alias("__zone")).withColumn(
         "__depth", F.size(F.split("__stem", "/"))
     )
-    sizes = {r["__depth"]: r["count"] for r in known.groupBy("__depth").count().collect()}
-    trimmed = F.rtrim(F.col(path), F.lit("/"))
-    if sum(sizes.values()) <= broadcast_zones:
-        found = paths
-        for depth in sizes:
-            side = known.where(F.col("__depth") == depth).select(
-                F.col("__stem").alias(f"__stem{depth}"), F.col("__zone").alias(f"__zone{depth}")
-            )
-            found = found.join(
-                F.broadcast(side), F.substring_index(trimmed, "/", depth) == F.col(f"__stem{depth}"), "left"
-            )
-        deepest_first = [F.col(f"__zone{d}") for d in sorted(sizes, reverse=True)]
-        best = F.coalesce(*deepest_first) if deepest_first else F.lit(None)
-        picked = [best[c] if deepest_first else F.lit(None).cast(zones.schema[c].dataType) for c in (zone, *carry)]
-        return found.select(
-            *[F.col(c) for c in paths.columns], *[v.alias(c) for v, c in zip(picked, (zone, *carry))]
-        )
-    prefixes = F.array(*[F.substring_index(F.rtrim("__path", F.lit("/")), "/", d) for d in sizes])
+    depths = [r["__depth"] for r in known.select("__depth").distinct().collect()]
+    prefixes = F.array(*[F.substring_index(F.rtrim("__path", F.lit("/")), "/", d) for d in depths]).cast("array<string>")
     best = (
         paths.select(F.col(path).alias("__path")).distinct()
         .withColumn("__stem", F.explode(F.array_distinct(prefixes)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.operators.ordered import with_group_columns
 from harborline.operators.topn import newest_per_key
 
 # Default small-file threshold and compaction target in bytes.
@@ -107,6 +108,23 @@ def cleanup_report(classified: DataFrame, orphans: DataFrame, length: str = "len
     )
 
 
+def cleanup_by_table(
+    classified: DataFrame, orphans: DataFrame, manifests: DataFrame, length: str = "length"
+) -> DataFrame:
+    """Clean-up per table: snapshots by fate, files and bytes reclaimed, manifests dropped, last version.
+
+    ``classified`` has ``version``; ``orphans`` and ``manifests`` have ``table_name``.
+    """
+    snapshots = classified.groupBy("table_name").agg(
+        F.count_if("expired").alias("expired_snapshots"), F.count_if(~F.col("expired")).alias("retained_snapshots"),
+        F.max("version").alias("metadata_version"),
+    )
+    files = orphans.groupBy("table_name").agg(F.count(F.lit(1)).alias("orphan_files"), F.sum(length).alias("reclaimed_bytes"))
+    dropped = manifests.groupBy("table_name").agg(F.count(F.lit(1)).alias("deleted_manifests"))
+    joined = snapshots.join(files, "table_name", "left").join(dropped, "table_name", "left")
+    return joined.na.fill(0, ["orphan_files", "reclaimed_bytes", "deleted_manifests"])
+
+
 def compaction_groups(
     files: DataFrame, threshold: int = SMALL_FILE_BYTES, target: int = TARGET_FILE_BYTES
 ) -> DataFrame:
@@ -125,7 +143,7 @@ def small_files(
 ) -> DataFrame:
     """The files a compaction would read, with the number of files to write for their partition."""
     groups = compaction_groups(files, threshold, target).select("table_name", "dt", "bins")
-    return files.where(F.col("file_size") < threshold).join(groups, ["table_name", "dt"])
+    return with_group_columns(files.where(F.col("file_size") < threshold), groups, ["table_name", "dt"])
 
 
 def compaction_report(groups: DataFrame, written: DataFrame) -> DataFrame:
@@ -133,7 +151,7 @@ def compaction_report(groups: DataFrame, written: DataFrame) -> DataFrame:
     after = written.groupBy("table_name", "dt").agg(
         F.count(F.lit(1)).alias("new_files"), F.sum("file_size").alias("compacted_bytes")
     )
-    return groups.join(after, ["table_name", "dt"]).select(
+    return with_group_columns(groups, after, ["table_name", "dt"]).select(
         "table_name", "dt", F.col("small_files").alias("files_merged"),
         F.col("small_bytes").alias("original_bytes"), "new_files", "compacted_bytes",
     )

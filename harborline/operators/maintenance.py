@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.operators import lake
-from harborline.operators.ordered import asof_join, running
+from harborline.operators.ordered import asof_join, running, with_group_columns
 from harborline.session import literal_table, stage
 from harborline.sources.files import delete_files, list_files
 
@@ -81,6 +81,14 @@ class LakeTable:
         expired = self._read("expired", "snapshot_id bigint")
         return self._read("snapshots", SNAPSHOT_SCHEMA).join(expired, "snapshot_id", "left_anti")
 
+    def _snapshot(self, version: int | None) -> T.Row:
+        """Row of a version that is published and not expired, or of the current one."""
+        found = self.current() if version is None else self.snapshots().where(F.col("version") == version).first()
+        if found is None:
+            what = "no snapshot" if version is None else f"no version {version}, or it has expired"
+            raise LookupError(f"table '{self.name}' has {what}")
+        return found
+
     def current(self) -> T.Row | None:
         """Row of the current snapshot."""
         return self._read("snapshots", SNAPSHOT_SCHEMA).orderBy(F.col("version").desc()).first()
@@ -132,14 +140,13 @@ class LakeTable:
         )
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a snapshot.
+        """Rows of a snapshot, with the columns the table had then.
 
+        A version that was never published or has expired is a ``LookupError``.
         Commits whose files are all live are read as folders; in commits that lost files to a
         compaction, rows are kept by a semi join on their file's path.
         """
-        head = self.current()
-        if head is None:
-            raise LookupError(f"table '{self.name}' has no snapshot")
+        head = self._snapshot(version)
         states = self._commit_states(version)
         whole = [s["commit"] for s in states if s["whole"]]
         partial = [s["commit"] for s in states if not s["whole"]]
@@ -210,9 +217,30 @@ class LakeTable:
         """Write ``rows`` (with a ``dt`` column) as a new snapshot; returns its row."""
         if "dt" not in rows.columns:
             raise ValueError("rows need a dt column")
+        schema = self._merged_schema(rows.schema)
         commit = time.time_ns()
         rows.write.partitionBy("dt").parquet(f"{self.data}/commit_id={commit}")
-        return self._publish(commit, rows.schema, "append", now)
+        return self._publish(commit, schema, "append", now)
+
+    def _merged_schema(self, new: T.StructType) -> T.StructType:
+        """The table's columns and then new ones, which older files lack and so are null there.
+
+        Columns keep their type, and none may be missing from the new rows.
+        """
+        head = self.current()
+        if head is None:
+            return new
+        old = T.StructType.fromJson(json.loads(head["schema_json"]))
+        given = {f.name: f for f in new.fields}
+        for f in old.fields:
+            if f.name not in given:
+                raise ValueError(f"rows lack the table's column '{f.name}'")
+            if given[f.name].dataType != f.dataType:
+                raise ValueError(
+                    f"column '{f.name}' is {f.dataType.simpleString()}, not {given[f.name].dataType.simpleString()}"
+                )
+        added = [T.StructField(f.name, f.dataType, True) for f in new.fields if f.name not in old.names]
+        return T.StructType([*old.fields, *added])
 
     def compact(
         self, now: dt.datetime, threshold: int = lake.SMALL_FILE_BYTES,
@@ -220,9 +248,9 @@ class LakeTable:
     ) -> DataFrame:
         """Rewrite small files per partition into files of about ``target`` bytes.
 
-        The rows of a partition are spread over its bins by a hash of their place in the input, so
-        that a partition holding most of the data is written by many tasks, and a retried task
-        sees the same rows.  Inputs are dropped from the new snapshot only; :meth:`clean` removes
+        Whole files go to the bins of their partition by running size, so that rows keep their order,
+        a partition holding most of the data is written by many tasks, and a retried task sees the
+        same rows.  Inputs are dropped from the new snapshot only; :meth:`clean` removes
         them once no retained snapshot needs them.
         """
         head = self.current()
@@ -239,9 +267,14 @@ class LakeTable:
         bins = groups.agg(F.sum("bins")).first()[0]
         if not bins:
             raise NothingToCompact("no partition has two files below the threshold")
-        plan = files.select("file_path", "table_name", "dt").join(
-            groups.select("table_name", "dt", "bins", "first_bin"), ["table_name", "dt"]
-        ).select("file_path", F.col("bins").alias("__bins"), F.col("first_bin").alias("__first"))
+        sized = running(
+            files.select("file_path", "table_name", "dt", "file_size"), ["table_name", "dt"], ["file_path"],
+            {"__end": ("sum", F.col("file_size")), "__all": ("group_sum", F.col("file_size"))},
+        )
+        place = F.floor((F.col("__end") - F.col("file_size")) * F.col("bins") / F.col("__all"))
+        plan = with_group_columns(sized, groups.select("table_name", "dt", "bins", "first_bin"), ["table_name", "dt"]).select(
+            "file_path", (F.col("first_bin") + F.least(place, F.col("bins") - 1)).cast("int").alias("__bin")
+        )
         commits = [
             r[0] for r in files.select(
                 F.regexp_extract("file_path", "/commit_id=([0-9]+)/", 1)).distinct().collect()
@@ -251,13 +284,13 @@ class LakeTable:
             self._scan(commits, head["schema_json"])
             .where(F.col("_metadata.file_size") < threshold)
             .withColumn("__file", F.col("_metadata.file_path"))
-            .withColumn("__spot", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+            .withColumn("__row", F.col("_metadata.row_index"))
             .join(plan, F.col("__file") == F.col("file_path"))
         )
-        bin_of_row = (F.col("__first") + F.pmod(F.col("__spot"), F.col("__bins"))).cast("int")
         commit = time.time_ns()
         (
-            rows.repartitionById(int(bins), bin_of_row)
+            rows.repartitionById(int(bins), F.col("__bin"))
+            .sortWithinPartitions("dt", "__file", "__row")
             .select(*schema.names)
             .write.partitionBy("dt").parquet(f"{self.data}/commit_id={commit}")
         )
@@ -306,5 +339,5 @@ class LakeTable:
         if apply:
             self._append("expired", classified.where("expired").select("snapshot_id"))
         outcomes = stage(delete_files(orphans, dry_run=not apply), "outcomes")
-        done = orphans.join(outcomes.where("outcome IN ('deleted', 'planned')"), "path")
+        done = orphans.join(outcomes.where("outcome IN ('deleted', 'absent', 'planned')"), "path")
         return Cleanup(classified, outcomes, lake.cleanup_report(classified, done))

@@ -84,6 +84,24 @@ def _label_text(value: Column) -> Column:
     return F.replace(text, F.lit('"'), F.lit('\\"'))
 
 
+def exposition_header(name: str, kind: str, about: str) -> list[str]:
+    """The HELP and TYPE lines of a metric."""
+    text = about.replace("\\", "\\\\").replace("\n", "\\n")
+    return [f"# HELP {name} {text}", f"# TYPE {name} {kind}"]
+
+
+def exposition_histogram(histogram: DataFrame, name: str, label: str) -> DataFrame:
+    """Text lines of a :func:`cumulative_histogram`: a bucket per bound, then sum and count per label."""
+    pair = F.concat(F.lit(f'{label}="'), _label_text(F.col("label")), F.lit('"'))
+    bucket = F.concat(F.lit(f"{name}_bucket{{"), pair, F.lit(',le="'), "le", F.lit('"} '), F.col("cumulative").cast("string"))
+    last = [
+        F.concat(F.lit(f"{name}_{part}{{"), pair, F.lit("} "), F.col(column).cast("string"))
+        for part, column in (("sum", "total_sum"), ("count", "total_count"))
+    ]
+    lines = F.when(F.col("le") == "+Inf", F.array(bucket, *last)).otherwise(F.array(bucket))
+    return histogram.select(F.explode(lines).alias("line"))
+
+
 def exposition_lines(samples: DataFrame, name: str, labels: Sequence[str], value: str) -> DataFrame:
     """One text line per sample: ``name{label="value",...} number``."""
     pairs = [F.concat(F.lit(f'{label}="'), _label_text(F.col(label)), F.lit('"')) for label in labels]

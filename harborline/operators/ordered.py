@@ -5,12 +5,14 @@ more than ``max_group_rows`` rows are range-partitioned by key *and* order, so t
 many chunks.  Each chunk is scanned on its own, and starts from a carry row holding the aggregate of
 the chunks before it.  All other keys take the plain window.
 
-``order_by`` columns are ascending.  For a descending order pass a negated column.
+``order_by`` columns are ascending with nulls last.  For a descending order pass a negated column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,9 +20,8 @@ from pyspark.sql import functions as F
 from harborline.session import stage
 
 MAX_GROUP_ROWS = 2_000_000
-# Chunks hold about this many rows; above MAX_CHUNKS of them they grow instead, and sorts spill.
+# Chunks hold about this many rows.
 CHUNK_ROWS = 500_000
-MAX_CHUNKS = 50_000
 
 _CHUNK, _IS_ROW = "__chunk", "__is_row"
 
@@ -28,6 +29,15 @@ _CHUNK, _IS_ROW = "__chunk", "__is_row"
 _GROUP = "group_"
 
 
+def _ascending(names: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in names]
+
+
+def _place(names: Sequence[str]) -> Column:
+    """A value that compares as the order does."""
+    return F.struct(*[c for n in names for c in (F.col(n).isNull(), F.col(n))])
+
+
 def _fold(kind: str, column: Column, order: Column) -> Column:
     """Aggregate of one chunk."""
     kind = kind.removeprefix(_GROUP)
@@ -90,10 +100,7 @@ def running(
     columns = list(df.columns)
 
     if not keys:
-        rows = df.count()
-        if rows <= max_group_rows:
-            return _running_whole_keys(ready, columns, keys, order_by, kinds, peers)
-        return _running_in_chunks(ready, columns, keys, order_by, kinds, peers, rows)
+        return _running_in_chunks(ready, columns, keys, order_by, kinds, peers, df.count())
 
     # Written, so that the input is counted once and the size of the hot key list is known to joins.
     sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
@@ -122,7 +129,7 @@ def _upto_current(window: WindowSpec, peers: bool) -> WindowSpec:
 def _running_whole_keys(
     ready: DataFrame, columns: list[str], keys: list[str], order_by: list[str], kinds: Mapping[str, str], peers: bool
 ) -> DataFrame:
-    window = _upto_current(Window.partitionBy(*keys).orderBy(*order_by), peers)
+    window = _upto_current(Window.partitionBy(*keys).orderBy(*_ascending(order_by)), peers)
     whole = Window.partitionBy(*keys)
     return ready.select(
         *columns, *[_scan(k, F.col(f"__in_{n}"), window, whole).alias(n) for n, k in kinds.items()]
@@ -135,12 +142,12 @@ def _running_in_chunks(
 ) -> DataFrame:
     """Rows of equal key and order share a chunk, so the carry rows are right for peers as well."""
     cores = ready.sparkSession.sparkContext.defaultParallelism
-    chunks = min(max(rows // CHUNK_ROWS, 2 * cores), MAX_CHUNKS)
+    chunks = max(rows // CHUNK_ROWS, 2 * cores)
     chunked = stage(
-        ready.repartitionByRange(chunks, *keys, *order_by).withColumn(_CHUNK, F.spark_partition_id()),
+        ready.repartitionByRange(chunks, *_ascending([*keys, *order_by])).withColumn(_CHUNK, F.spark_partition_id()),
         "chunks",
     )
-    order = F.struct(*order_by)
+    order = _place(order_by)
     folded = chunked.groupBy(*keys, _CHUNK).agg(
         *[_fold(k, F.col(f"__in_{n}"), order).alias(f"__in_{n}") for n, k in kinds.items()]
     )
@@ -154,7 +161,7 @@ def _running_in_chunks(
         *[_scan(k, F.col(f"__in_{n}"), before, every).alias(f"__in_{n}") for n, k in kinds.items()],
         F.lit(0).alias(_IS_ROW),
     )
-    within = _upto_current(Window.partitionBy(*keys, _CHUNK).orderBy(_IS_ROW, *order_by), peers)
+    within = _upto_current(Window.partitionBy(*keys, _CHUNK).orderBy(_IS_ROW, *_ascending(order_by)), peers)
     return (
         chunked.withColumn(_IS_ROW, F.lit(1))
         .unionByName(carry, allowMissingColumns=True)
@@ -225,7 +232,8 @@ def peer_ranks(
     """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` per distinct order value.
 
     Rows with equal order values (peers) are counted before any shuffle, so a value that most rows
-    share costs one row here.  Join the result back on ``keys + order_by`` for per-row ranks.
+    share costs one row here.  For per-row ranks add the result with :func:`with_group_columns` on
+    ``keys + order_by``, where a null is a value like any other.
     """
     keys, order_by = list(keys), list(order_by)
     peers = stage(df.groupBy(*keys, *order_by).agg(F.count(F.lit(1)).alias("peers")), "peers")
@@ -279,7 +287,8 @@ def asof_join(
     """Each left row with the latest right row of the same key at or before its time.
 
     Both sides are merged into one ordered stream and the latest right row is carried forward, so
-    no pair of rows is built.  Left rows without an earlier right row get nulls.
+    no pair of rows is built.  Left rows without an earlier right row get nulls, and so do those with a
+    null key or time: null equals nothing, as in SQL.
     """
     keys = list(keys)
     merged = left.select(
@@ -289,14 +298,15 @@ def asof_join(
         right.select(
             *keys, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"),
             F.struct(*[F.col(c) for c in right_columns]).alias("__right"),
-        ),
+        ).where(reduce(and_, [F.col(c).isNotNull() for c in (*keys, "__ts")])),
         allowMissingColumns=True,
     )
     carried = running(
         merged, keys, ["__ts", "__side"], {"__match": ("last", F.col("__right"))}, max_group_rows
     )
+    known = F.col("__ts").isNotNull()
     return carried.where(F.col("__side") == 1).select(
-        "__left.*", *[F.col("__match")[c].alias(c) for c in right_columns]
+        "__left.*", *[F.when(known, F.col("__match")[c]).alias(c) for c in right_columns]
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import crypto
 from harborline.plans.registry import Tables, query
-from harborline.session import spread, stage
+from harborline.session import stage
 
 SECRET = b"a job secret given by the caller"
 
@@ -31,8 +31,11 @@ _KEYS_SQL = "SELECT DISTINCT o_orderpriority AS key_name, CAST(year(o_orderdate)
 
 
 def order_headers(t: Tables, keys):
-    """A header per order: its data key wrapped under the version of the order's year."""
-    placed = spread(t.orders, "o_orderkey").select(
+    """A header per order: its data key wrapped under the version of the order's year.
+
+    An order without date or priority has no key, and so no header.
+    """
+    placed = t.orders.where("o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL").select(
         F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
         F.col("o_orderpriority").alias("key_name"),
         F.concat(F.lit("v"), (F.year("o_orderdate") - 1994).cast("string")).alias("key_version"),
@@ -73,7 +76,7 @@ def e1_assign_zone(t: Tables):
 
 
 def _document_rows(t: Tables):
-    return spread(t.documents, "doc_id").select(
+    return t.documents.select(
         "doc_id", F.concat_ws("/", F.lit(""), "lang", "source", F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("payload"),
     )
@@ -127,6 +130,7 @@ def e2_encrypt_and_decrypt_rows(t: Tables):
     "e3_wrap_and_unwrap_keys",
     """
     SELECT o_orderkey, 'v' || (year(o_orderdate) - 1994) AS key_version, true AS opens, CAST(32 AS BIGINT) AS key_length FROM orders
+    WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL
     """,
 )
 def e3_wrap_and_unwrap_keys(t: Tables):
@@ -187,7 +191,7 @@ _REWRAPPED = """
 SELECT '/' || o_orderpriority || '/' || o_orderkey AS path, o_orderpriority AS key_name,
        o_orderpriority = '2-HIGH' AND year(o_orderdate) < (SELECT max(year(o_orderdate)) FROM orders WHERE o_orderpriority = '2-HIGH') AS rewrapped,
        year(o_orderdate) - 1994 AS v, (SELECT max(year(o_orderdate)) - 1994 FROM orders WHERE o_orderpriority = '2-HIGH') AS latest
-FROM orders
+FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL
 """
 
 
@@ -244,3 +248,18 @@ def e9_list_zones(t: Tables):
 )
 def e9_list_keys(t: Tables):
     return crypto.list_keys(order_keys(t))
+
+
+@query(
+    "e6_rewrap_with_a_lost_version",
+    f"""
+    SELECT path, 'v' || CASE WHEN rewrapped AND v > 1 THEN latest ELSE v END AS key_version, rewrapped AND v > 1 AS rewrapped,
+           CASE WHEN rewrapped AND v = 1 THEN 'missing key ' || key_name || ' v1' END AS error
+    FROM ({_REWRAPPED})
+    """,
+)
+def e6_rewrap_with_a_lost_version(t: Tables):
+    """Headers under a version that is gone stay as they are, with the reason."""
+    keys = order_keys(t)
+    moved = crypto.rewrap_zone(order_headers(t, keys), keys.where("version_number > 1"), ZONE)
+    return moved.select("path", "key_version", "rewrapped", "error")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from harborline.functions import library as lib
 from harborline.plans.registry import Tables, query
-from harborline.session import spread
 
 
 @query(
@@ -190,7 +189,7 @@ def b28_math_functions(t: Tables):
     def r6(column, name):
         return F.round(column, 6).alias(name)
 
-    return spread(t.lineitem, "l_orderkey").select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", F.abs(disc - 0.05).alias("a"), F.ceil(qty / 7).alias("c"), F.floor(qty / 7).alias("f"),
         F.round(F.col("l_extendedprice") / 3, 2).alias("r"), r6(F.pow(qty, F.lit(2)), "p"), r6(F.ln(qty + 1), "l"),
         r6(F.log10(qty), "l10"), r6(F.log2(qty), "l2"), r6(F.sqrt(qty), "sq"), r6(F.cbrt(qty), "cb"), r6(F.exp(disc), "e"),
@@ -358,7 +357,7 @@ def b32_conditional_and_null(t: Tables):
         F.when(toxic.isNull(), "unlabelled").when(toxic == 1, "toxic").otherwise("clean").alias("state"),
         F.ifnull(toxic, F.lit(0)).alias("toxic"), F.nvl2(quality, F.lit("known"), F.lit("unknown")).alias("known"),
         quality.eqNullSafe(toxic).alias("same"),
-        F.substring("source", 4, 20).try_cast("bigint").alias("source_number"),
+        F.expr("substr(source, 4)").try_cast("bigint").alias("source_number"),
         F.col("source").try_cast("bigint").alias("not_a_number"),
     )
 

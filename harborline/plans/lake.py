@@ -73,24 +73,26 @@ def l2_table_detail(t: Tables):
 
 
 def _event_table(t: Tables, *conditions: str) -> LakeTable:
-    """Events appended in one commit per condition."""
+    """Events appended in one commit per condition on ``part``, the remainder of the event's number."""
     lake_table = LakeTable(t.spark, "warehouse.events", new_folder(t.spark, "lake"))
-    rows = t.events.withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
+    rows = t.events.withColumn("dt", F.date_format("ts", "yyyy-MM-dd")).withColumn(
+        "part", F.coalesce(F.col("event_id"), F.lit(0)) % len(conditions)
+    )
     for i, condition in enumerate(conditions):
-        lake_table.append(rows.where(condition), NOW + dt.timedelta(days=i))
+        lake_table.append(rows.where(condition).drop("part"), NOW + dt.timedelta(days=i))
     return lake_table
 
 
 @query(
     "l3_append_snapshot",
     """
-    SELECT CAST(1 AS BIGINT) AS version, 'append' AS operation, count(*) AS added_records, true AS first_has_no_parent FROM events WHERE value < 20
+    SELECT CAST(1 AS BIGINT) AS version, 'append' AS operation, count(*) AS added_records, true AS first_has_no_parent FROM events WHERE coalesce(event_id, 0) % 2 = 0
     UNION ALL
-    SELECT 2, 'append', count(*), true FROM events WHERE value >= 20
+    SELECT 2, 'append', count(*), true FROM events WHERE coalesce(event_id, 0) % 2 = 1
     """,
 )
 def l3_append_snapshot(t: Tables):
-    snapshots = _event_table(t, "value < 20", "value >= 20").snapshots()
+    snapshots = _event_table(t, "part = 0", "part = 1").snapshots()
     return snapshots.select(
         "version", "operation", "added_records",
         (F.col("parent_snapshot_id").isNull() == (F.col("version") == 1)).alias("first_has_no_parent"),
@@ -116,13 +118,13 @@ def l4_snapshot_summary(t: Tables):
 @query(
     "l5_read_snapshot",
     """
-    SELECT CAST(1 AS BIGINT) AS version, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value < 20 GROUP BY event_type
+    SELECT CAST(1 AS BIGINT) AS version, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE coalesce(event_id, 0) % 2 = 0 GROUP BY event_type
     UNION ALL
     SELECT 2, event_type, count(*), CAST(sum(event_id) AS BIGINT) FROM events GROUP BY event_type
     """,
 )
 def l5_read_snapshot(t: Tables):
-    lake_table = _event_table(t, "value < 20", "value >= 20")
+    lake_table = _event_table(t, "part = 0", "part = 1")
 
     def totals(version):
         return lake_table.read(version).groupBy("event_type").agg(
@@ -199,13 +201,13 @@ def l10_small_files(t: Tables):
 )
 def l11_compact(t: Tables):
     """Rows and files per partition after compacting three commits; every row is still there once."""
-    lake_table = _event_table(t, "value < 10", "value >= 10 AND value < 40", "value >= 40")
+    lake_table = _event_table(t, "part = 0", "part = 1", "part = 2")
     lake_table.compact(NOW + dt.timedelta(days=5))
     files = lake_table.live_files().groupBy("dt").agg(F.count(F.lit(1)).alias("files"))
     return lake_table.read().groupBy("dt").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
-    ).join(files, "dt")
+    ).join(files.withColumnRenamed("dt", "file_dt"), F.col("dt").eqNullSafe(F.col("file_dt"))).drop("file_dt")
 
 
 @query(
@@ -235,7 +237,7 @@ def l12_compaction_report(t: Tables):
 )
 def l11_clean_after_compaction(t: Tables):
     """Compaction inputs go once no retained snapshot needs them, and no row goes with them."""
-    lake_table = _event_table(t, "value < 10", "value >= 10 AND value < 40", "value >= 40")
+    lake_table = _event_table(t, "part = 0", "part = 1", "part = 2")
     report = lake_table.compact(NOW + dt.timedelta(days=5)).agg(F.sum("files_merged")).first()[0]
     done = lake_table.clean(NOW + dt.timedelta(days=9), 1, dt.timedelta(days=1), apply=True)
     rows = lake_table.read().agg(F.count(F.lit(1)).alias("rows_kept"))

@@ -12,6 +12,7 @@ from harborline.operators.ordered import (
     rows_frame,
     running,
     trailing_sum,
+    with_group_columns,
 )
 from harborline.operators.sets import except_all, intersect_all
 from harborline.operators.sql import run_sql, service_stats
@@ -386,7 +387,7 @@ def b14_approx_aggregates(t: Tables):
     )
     exact = exact_quantiles(t.events, ["event_type"], "value",
                             {"low": 0.49, "high": 0.51, "low90": 0.89, "high90": 0.91})
-    return sketched.join(exact, "event_type").select(
+    return with_group_columns(sketched, exact, ["event_type"]).select(
         "event_type",
         (F.abs(F.col("users") - F.col("exact_users")) <= 0.1 * F.col("exact_users")).alias("users_close"),
         F.col("p50").between(F.col("low"), F.col("high")).alias("median_close"),
@@ -498,7 +499,7 @@ def b18_row_number_and_ntile(t: Tables):
 def b18_rank_family(t: Tables):
     orders = t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate")
     ranks = peer_ranks(orders, ["o_orderpriority"], ["o_orderdate"])
-    return orders.join(ranks, ["o_orderpriority", "o_orderdate"]).select(
+    return with_group_columns(orders, ranks, ["o_orderpriority", "o_orderdate"]).select(
         "o_orderkey", F.col("rank").alias("rnk"), F.col("dense_rank").alias("dense"),
         F.round("percent_rank", 6).alias("pct"), F.round("cume_dist", 6).alias("cume"),
     )
@@ -536,12 +537,12 @@ def b19_lag_lead_nth(t: Tables):
     """,
 )
 def b19_first_and_last_of_group(t: Tables):
+    place = F.struct(F.col("ts").isNull(), "ts", F.col("event_id").isNull(), "event_id")
     edges = t.events.groupBy("event_type").agg(
-        F.min_by("value", F.struct("ts", "event_id")).alias("opening"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("closing"),
+        F.min_by("value", place).alias("opening"), F.max_by("value", place).alias("closing"),
     )
     # Written first, so that Spark joins by the measured size of this table.
-    return t.events.select("event_id", "event_type").join(stage(edges, "edges"), "event_type")
+    return with_group_columns(t.events.select("event_id", "event_type"), stage(edges, "edges"), ["event_type"])
 
 
 @query(
@@ -617,7 +618,7 @@ def b20_groups_frame(t: Tables):
         {"orders_in_frame": lambda w: F.sum("c").over(w.rowsBetween(-1, 0)),
          "price_in_frame": lambda w: F.sum("s").over(w.rowsBetween(-1, 0)).cast("double")},
     )
-    return t.orders.join(framed, ["o_orderstatus", "o_orderdate"]).select(
+    return with_group_columns(t.orders, framed, ["o_orderstatus", "o_orderdate"]).select(
         "o_orderkey", "orders_in_frame", "price_in_frame"
     )
 
@@ -772,10 +773,14 @@ _ANCESTORS_SQL = _ANCESTORS.format(strip="regexp_replace(url, '^[a-z]+://', '')"
 @query("b24_recursive_cte", _ANCESTORS_SQL)
 def b24_recursive_cte(t: Tables):
     """Ancestors of each page by recursion; the steps are bounded by the depth of a path."""
-    # The default allows a million rows over all steps, which any large table exceeds.
-    t.spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    # The defaults allow a million rows and a hundred steps, which a large table or a deep path exceeds.
+    # The settings count when the plan runs, so they go to a session of this query's own.
+    own = Tables(t.spark.newSession(), t.root)
+    depth = own.pages.agg(F.max(F.size(F.split("url", "/")))).first()[0] or 0
+    own.spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    own.spark.conf.set("spark.sql.cteRecursionLevelLimit", max(100, depth + 1))
     stripped = "rtrim('/', regexp_replace(url, '^[a-z]+://', ''))"
-    return t.sql(_ANCESTORS.replace("rtrim({strip}, '/')", stripped), "pages")
+    return own.sql(_ANCESTORS.replace("rtrim({strip}, '/')", stripped), "pages")
 
 
 @query("b24_ancestors_without_recursion", _ANCESTORS_SQL)

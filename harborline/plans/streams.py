@@ -8,11 +8,30 @@ from harborline.plans.governance import LEASES_SQL, lease_requests, roles
 from harborline.plans.registry import Tables, query
 from harborline.plans.telemetry import BOUNDS
 from harborline.session import new_folder
+from harborline.sources.files import list_files
 from harborline.streaming import jobs
 
 
+SLICES = 4
+
+
 def event_stream(t: Tables):
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.root)
+    """The events as a stream of several batches: slices of time, written one after the other.
+
+    A batch takes as many files as the largest slice has, so state is carried from batch to batch.
+    """
+    path = new_folder(t.spark, "event-slices")
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    rows = t.events
+    for i in range(SLICES):
+        if i == SLICES - 1 or low is None:
+            rows.write.mode("append").parquet(path)
+            break
+        end = F.lit((low + (high - low) * (i + 1) / SLICES).isoformat(sep=" ")).cast("timestamp_ntz")
+        rows.where(F.col("ts") < end).write.mode("append").parquet(path)
+        rows = rows.where((F.col("ts") >= end) | F.col("ts").isNull())
+    share = max(1, -(-list_files(t.spark, path, "*.parquet").count() // SLICES))
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", share).parquet(path)
 
 
 def point_stream(t: Tables):
@@ -38,7 +57,7 @@ def x1_stream_append_points(t: Tables):
 def x2_stream_retain_last_n(t: Tables):
     path = new_folder(t.spark, "x2")
     jobs.stream_retain_last_n(point_stream(t), f"{path}/points", f"{path}/checkpoint").awaitTermination()
-    return jobs.latest_version(t.spark, f"{path}/points")
+    return jobs.retained_points(t.spark, f"{path}/points")
 
 
 @query(

@@ -9,7 +9,7 @@ from harborline.operators.lake import compaction_groups
 from harborline.operators.sql import query_log_metrics
 from harborline.plans.lake import order_files
 from harborline.plans.registry import Tables, query
-from harborline.session import new_folder
+from harborline.session import literal_table, new_folder
 
 
 def points(t: Tables):
@@ -39,9 +39,9 @@ def q3_query_log_metrics(t: Tables):
 @query("t1_append_points", "SELECT event_type AS key, value, ts, event_id AS id FROM events")
 def t1_append_points(t: Tables):
     path = new_folder(t.spark, "points")
-    low, high = points(t).where("value < 50"), points(t).where("value >= 50")
-    series.append_points(low, path)
-    series.append_points(high, path)
+    part = F.coalesce(F.col("id"), F.lit(0)) % 2
+    for i in (0, 1):
+        series.append_points(points(t).where(part == i), path)
     return t.spark.read.parquet(path)
 
 
@@ -225,3 +225,21 @@ def m4_gauge_net(t: Tables):
 def m5_exposition_lines(t: Tables):
     counted = t.events.groupBy(F.col("event_type").alias("type"), F.col("user_id").alias("user")).count()
     return metrics.exposition_lines(counted, "events_total", ["type", "user"], "count")
+
+
+@query(
+    "m5_exposition_histogram",
+    """
+    WITH v AS (SELECT coalesce(event_type, '') AS label, CAST(floor(value) AS BIGINT) AS value FROM events WHERE value IS NOT NULL)
+    SELECT 'event_value_bucket{type="' || label || '",le="' || le || '"} ' || count(*) FILTER (value <= bound) AS line
+    FROM v, (VALUES ('1', 1.0), ('10', 10.0), ('100', 100.0), ('+Inf', 1e300)) AS b(le, bound) GROUP BY label, le
+    UNION ALL SELECT 'event_value_sum{type="' || label || '"} ' || sum(value) FROM v GROUP BY label
+    UNION ALL SELECT 'event_value_count{type="' || label || '"} ' || count(*) FROM v GROUP BY label
+    UNION ALL VALUES ('# HELP event_value Value of an event.'), ('# TYPE event_value histogram')
+    """,
+)
+def m5_exposition_histogram(t: Tables):
+    values = t.events.select("event_type", F.floor("value").alias("value"))
+    lines = metrics.exposition_histogram(metrics.cumulative_histogram(values, "event_type", "value", BOUNDS), "event_value", "type")
+    header = metrics.exposition_header("event_value", "histogram", "Value of an event.")
+    return lines.union(literal_table(t.spark, [(h,) for h in header], "line string"))

@@ -110,12 +110,3 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     struct = T.StructType.fromDDL(schema)
     records = [dict(zip(struct.names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), struct)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-distribute a table read by fewer tasks than there are cores, before costly expressions.
-
-    Tables of many row groups already have more tasks than that and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -47,23 +47,34 @@ def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+# Names that Hadoop and Arrow give to the same kind of store, and kinds whose paths begin with a bucket.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+_BY_BUCKET = ("s3", "gs")
+
+
 def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from urllib.parse import unquote, urlparse
 
     from pyarrow import fs
 
+    stores: dict[tuple[str, str], fs.FileSystem] = {}
+
     def remove(uri: str) -> str:
-        parsed = urlparse(uri)
-        if parsed.scheme in ("", "file"):
-            store, name = fs.LocalFileSystem(), unquote(parsed.path)
-        else:
-            store, name = fs.FileSystem.from_uri(uri)
         try:
+            parsed = urlparse(uri)
+            place = (_SCHEMES.get(parsed.scheme, parsed.scheme), parsed.netloc)
+            if place[0] in ("", "file"):
+                store, name = fs.LocalFileSystem(), unquote(parsed.path)
+            else:
+                name = f"{place[1]}{unquote(parsed.path)}" if place[0] in _BY_BUCKET else unquote(parsed.path)
+                if place not in stores:
+                    stores[place] = fs.FileSystem.from_uri(f"{place[0]}://{place[1]}/")[0]
+                store = stores[place]
             store.delete_file(name)
             return "deleted"
         except FileNotFoundError:
             return "absent"
-        except OSError as err:
+        except (OSError, ValueError, NotImplementedError) as err:
             return f"failed: {err}"
 
     for pdf in batches:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harborline.session import literal_table
+from harborline.sources.files import list_files
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -33,13 +36,13 @@ def read_parquet(spark: SparkSession, *paths: str, base_path: str | None = None)
 
 def write_parquet(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
-) -> None:
-    """Write Parquet.  Rows are clustered by the partition columns first only by ``spread``-aware
-    callers; a plain write keeps the layout of ``df`` and needs no shuffle."""
+) -> int:
+    """Write Parquet, without a shuffle, and return the bytes of the files that are then in ``path``."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return list_files(df.sparkSession, path, "*.parquet").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
 def parquet_summary(df: DataFrame) -> DataFrame:
@@ -73,22 +76,9 @@ def rows_json(df: DataFrame) -> DataFrame:
 
 
 def describe_fields(df: DataFrame) -> DataFrame:
-    """Field id, name, type and whether every row has a value, one row per column.
+    """Field id, name, type and whether the schema requires a value, one row per column.
 
-    One pass of counters over the table; the wide counter row is then turned into rows.
+    The schema is all that is looked at; no job runs.
     """
-    fields = df.schema.fields
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(fields)],
-    )
-    entries = [
-        F.struct(
-            F.lit(i + 1).cast("bigint").alias("id"),
-            F.lit(f.name).alias("name"),
-            (F.col(f"_{i}") == F.col("_rows")).alias("required"),
-            F.lit(f.dataType.simpleString()).alias("field_type"),
-        )
-        for i, f in enumerate(fields)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    rows = [(i + 1, f.name, not f.nullable, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return literal_table(df.sparkSession, rows, "id bigint, name string, required boolean, field_type string")

@@ -1,9 +1,10 @@
 """Continuous versions of the series, counter and lease operators on Structured Streaming.
 
-Per-key state lives in small versioned tables written by ``foreachBatch``: batch ``b`` reads the
-version of batch ``b - 1`` and overwrites its own, so a batch that is run again after a failure
-gives the same table.  The work of a batch is the batch operator itself, with its skew handling;
-no key's rows pass through a single task or a Python worker.
+Per-key state lives in tables that ``foreachBatch`` adds to under the batch's number: a batch reads
+what batches before it wrote, as far as it concerns it, and overwrites its own part.  So its cost
+follows the batch, and a batch that is run again after a failure gives the same state.  The work is
+the batch operator itself, with its skew handling; no key's rows pass through a single task or a
+Python worker.
 """
 
 from __future__ import annotations
@@ -11,13 +12,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from harborline.operators import governance, metrics, series
+from harborline.session import literal_table
 from harborline.sources.files import delete_files, list_files
 
+#: Parts of the state of keys; a batch rewrites those it has keys of.
+BUCKETS = 256
+POINT_SCHEMA = "key string, value double, ts timestamp_ntz, id bigint"
+
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
@@ -28,14 +35,8 @@ def _version(path: str, batch_id: int) -> str:
     return f"{path}/version={batch_id}"
 
 
-def _previous(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
-    if batch_id == 0:
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(_version(path, batch_id - 1))
-
-
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a state table."""
+    """The newest version of a table that every batch writes anew."""
     versions = list_files(spark, path, "*.parquet").select(
         F.regexp_extract("path", "/version=([0-9]+)/", 1).cast("bigint").alias("v")
     )
@@ -45,13 +46,44 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_version(path, newest))
 
 
+def _bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, at most ``BUCKETS`` of them, written before a batch."""
+    try:
+        files = list_files(spark, path, "*.parquet")
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    part = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("int").alias(name)
+    found = files.select(part("version"), part("bucket"))
+    if before is not None:
+        found = found.where(F.col("version") < before)
+    return {r["bucket"]: r["v"] for r in found.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+
+
+def _buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{_version(path, v)}/bucket={b}" for b, v in sorted(versions.items())])
+
+
+def retained_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points that :func:`stream_retain_last_n` holds now."""
+    versions = _bucket_versions(spark, path)
+    if not versions:
+        raise LookupError(f"no finished version below {path}")
+    return _buckets(spark, path, versions, T.StructType.fromDDL(POINT_SCHEMA))
+
+
 def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> DataFrame:
-    """Delete all but the newest ``keep`` versions; two are needed to run a failed batch again."""
-    found = list_files(spark, path).withColumn(
-        "v", F.regexp_extract("path", "/version=([0-9]+)/", 1).cast("bigint")
-    )
-    newest = found.agg(F.max("v")).first()[0]
-    return delete_files(found.where(F.col("v") <= F.lit(newest - keep)), dry_run=False)
+    """Delete what newer versions of the same bucket replace, but for the newest ``keep``.
+
+    Two are needed to run a failed batch again.
+    """
+    number = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("bigint").alias(name)
+    found = list_files(spark, path).select("path", number("version"), number("bucket"))
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy(F.col("version").desc()))
+    return delete_files(found.withColumn("place", place).where(F.col("place") > keep), dry_run=False)
 
 
 def stream_append_points(
@@ -66,12 +98,20 @@ def stream_retain_last_n(
     points: DataFrame, path: str, checkpoint: str, n: int = series.RETAINED_POINTS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Keep the newest ``n`` points per key: at most ``n`` rows per key are carried on."""
+    """Keep the newest ``n`` points per key; read the result with :func:`retained_points`.
+
+    State lies in buckets of the key's hash.  A batch reads and rewrites the buckets it has keys of,
+    each under the batch's number, and leaves the others alone.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        kept = _previous(spark, path, batch_id, batch)
-        series.retain_last_n(kept.unionByName(batch), n).write.mode("overwrite").parquet(_version(path, batch_id))
+        bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most BUCKETS
+        held = {b: v for b, v in _bucket_versions(spark, path, batch_id).items() if b in touched}
+        points = batch.select(*T.StructType.fromDDL(POINT_SCHEMA).names)
+        kept = series.retain_last_n(_buckets(spark, path, held, points.schema).unionByName(points), n)
+        kept.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(_version(path, batch_id))
 
     writer = points.select("key", "value", "ts", "id").writeStream.foreachBatch(merge)
     return _start(writer, checkpoint, available_now)
@@ -95,29 +135,48 @@ def stream_lease_expiry(
 ) -> StreamingQuery:
     """Issue leases and emit each one once when the stream's time reaches its end.
 
-    The stream's time is the latest issue time seen.  ``<path>/active`` holds the running leases
-    with that time, ``<path>/expired`` the ended ones per batch.
+    The stream's time is the latest issue time of any request seen, also of rejected ones, and never
+    goes back; ``<path>/clock`` has it per batch.  Leases are appended to ``<path>/issued`` by the hour
+    they end in and never rewritten.  A batch emits to ``<path>/expired`` what ends between the times
+    before and after it, for which it reads those hours only, and what it issued itself that is over.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        issued = governance.issue_leases(batch, roles)[0].withColumn("clock", F.col("issue_time"))
-        running = _previous(spark, f"{path}/active", batch_id, issued).unionByName(issued)
-        clock = running.agg(F.max("clock")).scalar()
-        timed = running.withColumn("clock", clock)
-        # One pass over the state: ended and running leases go to folders of one written table.
-        split = timed.withColumn("ended", F.col("expire_time") <= F.col("clock"))
-        split.write.mode("overwrite").partitionBy("ended").parquet(f"{path}/split/version={batch_id}")
-        written = spark.read.schema(split.schema).parquet(f"{path}/split/version={batch_id}")
-        written.where("ended").drop("ended", "clock").write.mode("overwrite").parquet(
-            f"{path}/expired/batch_id={batch_id}"
+        leases = governance.issue_leases(batch, roles)[0]
+        ends = F.unix_timestamp(F.col("expire_time").cast("timestamp"))
+        before = _clock(spark, path, batch_id - 1)
+        after = batch.agg(F.max("issue_time")).first()[0]
+        after = before if after is None else after if before is None else max(before, after)
+        kind = batch.schema["issue_time"].dataType.simpleString()
+        literal_table(spark, [(after,)], f"clock {kind}").write.mode("overwrite").parquet(_version(f"{path}/clock", batch_id))
+        leases.withColumn("hour", (ends / 3600).cast("bigint")).write.mode("overwrite").partitionBy("hour").parquet(
+            _version(f"{path}/issued", batch_id)
         )
-        keep = written.where("NOT ended").drop("ended")
-        keep.write.mode("overwrite").parquet(_version(f"{path}/active", batch_id))
+        hours = T.StructType([*leases.schema.fields, T.StructField("version", T.LongType()), T.StructField("hour", T.LongType())])
+        issued = spark.read.schema(hours).option("basePath", f"{path}/issued").parquet(f"{path}/issued")
+        at = lambda time: F.lit(None if time is None else time.isoformat(sep=" ")).cast(kind)
+        hour_of = lambda time: (F.unix_timestamp(at(time).cast("timestamp")) / 3600).cast("bigint")
+        over = F.col("expire_time") <= at(after)
+        ended = issued.where((F.col("version") == batch_id) & over)
+        if before is not None and before < after:
+            due = (F.col("hour") >= hour_of(before)) & (F.col("hour") <= hour_of(after)) & (F.col("expire_time") > at(before))
+            ended = ended.union(issued.where((F.col("version") < batch_id) & due & over))
+        ended.select(*leases.columns).write.mode("overwrite").parquet(f"{path}/expired/batch_id={batch_id}")
 
     return _start(requests.writeStream.foreachBatch(step), checkpoint, available_now)
 
 
+def _clock(spark: SparkSession, path: str, batch_id: int):
+    return spark.read.parquet(_version(f"{path}/clock", batch_id)).first()[0] if batch_id >= 0 else None
+
+
+def running_leases(spark: SparkSession, path: str) -> DataFrame:
+    """Leases issued by :func:`stream_lease_expiry` that end after the stream's time."""
+    clock = latest_version(spark, f"{path}/clock").scalar()
+    return spark.read.parquet(f"{path}/issued").drop("version", "hour").where(F.col("expire_time") > clock)
+
+
 def expired_leases(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{path}/expired").drop("batch_id")

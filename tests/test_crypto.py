@@ -71,6 +71,24 @@ def test_rotation_keeps_payloads_readable(spark, sealed, keys):
     assert again.where("rewrapped").isEmpty()
 
 
+def test_rewrap_keeps_headers_it_cannot_open(spark, keys):
+    areas = literal_table(spark, [("/z", "k")], "zone_path string, key_name string")
+    rows = literal_table(spark, [("/z/a", "one")], "path string, payload string")
+    before = stage(crypto.encrypt_rows(rows, areas, keys.where("version_number < 10"), SECRET), "before-lost")
+    after = crypto.rewrap_zone(before, keys.where("version <> 'v9'"), "/z").first()
+    assert not after["rewrapped"] and after["key_version"] == "v9" and after["error"] == "missing key k v9"
+    assert after["wrapped_key"] == before.first()["wrapped_key"]
+    assert texts(crypto.decrypt_rows(before, keys)) == {"/z/a": "one"}
+
+
+def test_headers_without_key_and_short_keys_are_errors(spark, sealed, keys):
+    with pytest.raises(PySparkException, match="no wrapped key for k v10"):
+        crypto.decrypt_rows(sealed.withColumn("wrapped_key", F.lit(None).cast("binary")), keys).collect()
+    short = spark.range(1).select(crypto.wrap_key(F.lit(b"x" * 32), F.lit(b"y" * 16)))
+    with pytest.raises(PySparkException, match="32 bytes, not 16"):
+        short.collect()
+
+
 def test_key_versions_and_rolling(spark, keys):
     wanted = literal_table(spark, [("k", "v9"), ("k", "v3"), ("gone", "v1")], "key_name string, version string")
     found = {(r["key_name"], r["version"]): r["error"] for r in crypto.key_versions(wanted, keys).collect()}

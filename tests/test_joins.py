@@ -45,13 +45,22 @@ def test_interval_join_equals_all_pairs(spark, left, right, before, after):
     )
 
 
-def test_longest_prefix_both_ways(spark):
+def test_longest_prefix(spark):
     paths = literal_table(spark, [(p,) for p in ("/a", "/ab", "/a/b/c", "/a/b", "/x/y", "/a/", "/")], "path string")
     zones = literal_table(spark, [("/a", "1"), ("/a/b/", "2"), ("/x/y/z", "3")], "zone_path string, key_name string")
     expected = {"/a": "1", "/ab": None, "/a/b/c": "2", "/a/b": "2", "/x/y": None, "/a/": "1", "/": None}
-    for limit in (0, 100):
-        got = longest_prefix_join(paths, "path", zones, "zone_path", ["key_name"], broadcast_zones=limit)
-        assert {r["path"]: r["key_name"] for r in got.collect()} == expected
+    got = longest_prefix_join(paths, "path", zones, "zone_path", ["key_name"])
+    assert {r["path"]: r["key_name"] for r in got.collect()} == expected
+
+
+def test_ranges_without_end_and_of_all_widths(spark):
+    inf = float("inf")
+    spans = [(-inf, inf), (0.0, 1e12), (2.5, 2.75), (3.0, 3.0), (None, 4.0), (-7.0, 1e6), (1e300, inf)]
+    values = [-1e9, -7.0, 0.0, 2.5, 2.74, 2.75, 3.0, 999999.0, 1e11, 1e301, None]
+    points = literal_table(spark, [(v,) for v in values], "v double")
+    ranges = literal_table(spark, spans, "lo double, hi double")
+    got = sorted(tuple(r) for r in range_join(points, ranges, "v", "lo", "hi", 5.0).collect())
+    assert got == sorted((v, a, b) for v in values if v is not None for a, b in spans if a is not None and a <= v < b)
 
 
 def test_longest_prefix_without_zones(spark):

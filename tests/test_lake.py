@@ -131,6 +131,29 @@ def test_partly_compacted_commit_is_read_by_file(table, rows):
     assert same_rows(table.read(), rows.unionByName(rows.where("event_id < 5")))
 
 
+def test_wrong_and_expired_versions_are_errors(spark, table, rows):
+    with pytest.raises(LookupError, match="no version 99"):
+        table.read(99)
+    table.clean(NOW + dt.timedelta(days=400), 1, dt.timedelta(days=1), apply=True)
+    with pytest.raises(LookupError, match="no version 1"):
+        table.read(1)
+
+
+def test_added_columns_survive_and_changed_ones_are_refused(spark, folder):
+    table = LakeTable(spark, "t", folder)
+    first = literal_table(spark, [(1, "2024-01-01"), (2, None)], "id bigint, dt string")
+    table.append(first, NOW)
+    table.append(literal_table(spark, [(3, "2024-01-01", "n"), (4, None, "m")], "id bigint, dt string, note string"), NOW)
+    with pytest.raises(ValueError, match="lack the table's column 'note'"):
+        table.append(first, NOW)
+    with pytest.raises(ValueError, match="'id' is bigint, not string"):
+        table.append(literal_table(spark, [("x", "d", "n")], "id string, dt string, note string"), NOW)
+    table.compact(NOW + dt.timedelta(days=1))
+    table.clean(NOW + dt.timedelta(days=9), 1, dt.timedelta(days=1), apply=True)
+    got = sorted((r["id"], r["note"], r["dt"]) for r in table.read().collect())
+    assert got == [(1, None, "2024-01-01"), (2, None, None), (3, "n", "2024-01-01"), (4, "m", None)]
+
+
 def test_nothing_to_compact(table):
     with pytest.raises(NothingToCompact):
         table.compact(NOW, threshold=1)

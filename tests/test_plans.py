@@ -41,15 +41,14 @@ def test_newest_rows_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan[first_exchange:]
 
 
-def test_small_zones_leave_rows_in_place(spark):
+def test_zones_are_joined_without_hints(spark):
     from harborline.operators.crypto import assign_zone
     from harborline.session import literal_table
 
     t = Tables(spark, SF)
     zones = literal_table(spark, [("https://m.ththth.example.net", "k")], "zone_path string, key_name string")
     plan = plan_of(assign_zone(t.pages, zones, "url"))
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+    assert "NestedLoop" not in plan and "ROWS_HINT" not in plan
 
 
 def test_interval_and_range_joins_are_equi_joins(spark):

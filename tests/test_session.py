@@ -22,12 +22,6 @@ def test_literal_tables_have_a_known_size(spark):
     assert [tuple(r) for r in df.collect()] == [(1, None)]
 
 
-def test_spread_only_when_tasks_are_few(spark):
-    assert session.spread(table(spark, SF, "region"), "r_regionkey").rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 16)
-    assert session.spread(wide, "id") is wide
-
-
 def test_a_cluster_needs_the_shared_folder_setting(monkeypatch):
     class Conf:
         def get(self, key, default=None):

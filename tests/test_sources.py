@@ -55,7 +55,7 @@ def test_json_rows_keep_nulls_and_milliseconds(spark):
 
 
 def test_describe_fields(spark):
-    df = literal_table(spark, [(1, None), (2, "x")], "a bigint, b string")
+    df = literal_table(spark, [(1, None), (2, "x")], "a bigint NOT NULL, b string")
     assert [tuple(r) for r in tables.describe_fields(df).collect()] == [(1, "a", True, "bigint"), (2, "b", False, "string")]
 
 

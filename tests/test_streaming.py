@@ -1,5 +1,7 @@
 """A stream of several files, stopped and started again, ends with the batch result."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from harborline.operators import governance, metrics, series
 from harborline.plans.governance import lease_requests, roles
 from harborline.plans.registry import Tables
 from harborline.streaming import jobs
+from harborline.session import literal_table
 from tests.conftest import SF, same_rows
 
 PARTS = 4
@@ -51,9 +54,9 @@ def test_append(spark, events, source, folder):
 def test_retention(spark, events, source, folder):
     path, add = source
     run_twice(lambda: jobs.stream_retain_last_n(as_points(stream(spark, events, path)), f"{folder}/out", f"{folder}/cp", n=30), add)
-    assert same_rows(jobs.latest_version(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
+    assert same_rows(jobs.retained_points(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
     assert {r["outcome"] for r in jobs.drop_old_versions(spark, f"{folder}/out").collect()} == {"deleted"}
-    assert same_rows(jobs.latest_version(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
+    assert same_rows(jobs.retained_points(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
 
 
 def test_histogram(spark, events, source, folder):
@@ -74,10 +77,24 @@ def test_lease_expiry(spark, events, source, folder):
     last = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
     expected = governance.expire_leases(leases, last)
     assert same_rows(jobs.expired_leases(spark, f"{folder}/out").select(*expected.columns), expected)
-    active = jobs.latest_version(spark, f"{folder}/out/active")
+    active = jobs.running_leases(spark, f"{folder}/out")
     assert same_rows(active.select("lease_id"), leases.where(F.col("expire_time") > last).select("lease_id"))
 
 
+def test_rejected_requests_move_the_clock(spark, folder):
+    """A lease ends by the time of a later request, even if that request is refused and none runs any more."""
+    kinds = "lease_id bigint, role string, requested_ttl bigint, issue_time timestamp_ntz"
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    for rows in ([(1, "r", 600, at(1))], [(2, "gone", 600, at(2))], [(3, "r", 600, at(1, 30)), (4, "gone", 1, at(1))], [(5, "r", 600, at(3))]):
+        literal_table(spark, rows, kinds).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    known = literal_table(spark, [("r", "db", 60, 3600)], "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint")
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_lease_expiry(source, known, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    ended = spark.read.parquet(f"{folder}/out/expired").select("batch_id", "lease_id").collect()
+    assert sorted(tuple(r) for r in ended) == [(1, 1), (2, 3)]
+    assert [r["lease_id"] for r in jobs.running_leases(spark, f"{folder}/out").collect()] == [5]
+
+
 def test_tumbling_windows(spark, events, source, folder):
     path, add = source
     run_twice(lambda: jobs.stream_tumbling_stats(
