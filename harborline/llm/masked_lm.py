@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 counts.append(np.bincount(rows, minlength=end - first))
                 sums.append(np.bincount(rows, weights=logs, minlength=end - first))
             count = np.concatenate(counts or [np.empty(0, np.int64)]).astype(np.int64)
-            total = np.concatenate(sums or [np.empty(0)])
+            total = np.concatenate(sums or [np.empty(0)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(count), pa.array(total),
                  pa.array(total / np.maximum(count, 1), mask=count == 0)],
