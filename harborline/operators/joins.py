@@ -93,7 +93,7 @@ def longest_prefix_join(
     by its measured size.  Paths outside every zone keep nulls.
     """
     stem = F.rtrim(F.col(zone), F.lit("/"))
-    known = zones.groupBy(stem.alias("__stem")).agg(F.first(F.struct(zone, *carry)).alias("__zone")).withColumn(
+    known = zones.where(F.col(zone).isNotNull()).groupBy(stem.alias("__stem")).agg(F.first(F.struct(zone, *carry)).alias("__zone")).withColumn(
         "__depth", F.size(F.split("__stem", "/"))
     )
     depths = [r["__depth"] for r in known.select("__depth").distinct().collect()]

@@ -33,7 +33,9 @@ def current_snapshots(snapshots: DataFrame) -> DataFrame:
 
 def table_detail(snapshots: DataFrame, manifest_files: DataFrame) -> DataFrame:
     """Files of each table's current snapshot; a table without files keeps one row of nulls."""
-    return current_snapshots(snapshots).join(manifest_files, ["table_name", "snapshot_id"], "left")
+    files = manifest_files.withColumnsRenamed({"table_name": "__table", "snapshot_id": "__snapshot"})
+    owned = F.col("table_name").eqNullSafe(F.col("__table")) & (F.col("snapshot_id") == F.col("__snapshot"))
+    return current_snapshots(snapshots).join(files, owned, "left").drop("__table", "__snapshot")
 
 
 def snapshot_summary(manifest_files: DataFrame, operation: str = "append") -> DataFrame:
@@ -66,8 +68,8 @@ def classify_snapshots(snapshots: DataFrame, retain_last_n: int, cutoff: Column)
     )
     place = F.struct("committed_at", "snapshot_id")
     return (
-        snapshots.join(floor, "table_name")
-        .withColumn("expired", (place < F.col("__floor")) & (F.col("committed_at") < cutoff))
+        with_group_columns(snapshots, floor, ["table_name"])
+        .withColumn("expired", F.coalesce((place < F.col("__floor")) & (F.col("committed_at") < cutoff), F.lit(False)))
         .drop("__floor")
     )
 

@@ -68,7 +68,7 @@ def page_zones(t: Tables):
     "e1_assign_zone",
     f"""
     SELECT page_id, url, arg_max(zone_path, length(zone_path)) AS zone_path, arg_max(key_name, length(zone_path)) AS key_name
-    FROM pages JOIN ({_ZONES_SQL}) ON url = zone_path OR starts_with(url, zone_path || '/') GROUP BY page_id, url
+    FROM pages LEFT JOIN ({_ZONES_SQL}) ON url = zone_path OR starts_with(url, zone_path || '/') GROUP BY page_id, url
     """,
 )
 def e1_assign_zone(t: Tables):
@@ -106,7 +106,7 @@ def _document_keys(zones):
 @query(
     "e2_encrypt_and_decrypt_rows",
     """
-    SELECT doc_id, md5(text) AS digest, lang IN ('en', 'fr') AS was_encrypted,
+    SELECT doc_id, md5(text) AS digest, coalesce(lang IN ('en', 'fr'), false) AS was_encrypted,
            CASE WHEN lang IN ('en', 'fr') THEN 'v10' END AS key_version
     FROM documents
     """,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborline.functions import library as lib
+from harborline.operators.ordered import row_index
 from harborline.plans.registry import Tables, query
 
 
@@ -397,12 +398,12 @@ def b11_regression_and_position_aggregates(t: Tables):
     """,
 )
 def b15_nth_value_aggregate(t: Tables):
-    """Over the distinct statuses of a customer, of which there are few whatever the customer buys."""
-    distinct = t.orders.select("o_custkey", "o_orderstatus").distinct()
+    """Over the distinct statuses of a customer; the second is found by its place, not in a list."""
+    placed = row_index(t.orders.select("o_custkey", "o_orderstatus").distinct(), ["o_custkey"], ["o_orderstatus"], "place")
     status = F.col("o_orderstatus")
-    return distinct.groupBy("o_custkey").agg(
-        F.array_join(F.array_sort(F.collect_list(status)), "").alias("statuses"),
-        lib.nth_value(status, status, 2).alias("second_status"),
+    return placed.groupBy("o_custkey").agg(
+        F.array_join(F.array_sort(F.collect_set(status)), "").alias("statuses"),
+        F.max(F.when(F.col("place") == 2, status)).alias("second_status"),
     )
 
 

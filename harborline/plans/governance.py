@@ -89,7 +89,7 @@ def g4_group_names(t: Tables):
 
 @query(
     "g5_authorize_groups",
-    "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_nationkey = 3 AS authorized FROM customer",
+    "SELECT c_custkey, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) OR coalesce(c_nationkey = 3, false) AS authorized FROM customer",
 )
 def g5_authorize_groups(t: Tables):
     allowed = ["building", "machinery", "nation-3"]

@@ -39,8 +39,8 @@ def orphans(t: Tables):
 
 _CLASSIFIED = """
 SELECT user_id, event_id, user_id || '/' || strftime(ts, '%Y-%m-%d') AS manifest_list,
-       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 3
-           AND ts < TIMESTAMP '2024-01-24' AS expired
+       coalesce(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 3
+                AND ts < TIMESTAMP '2024-01-24', false) AS expired
 FROM events
 """
 
@@ -183,7 +183,7 @@ FROM orders WHERE floor(o_totalprice) < 100000 GROUP BY o_orderdate HAVING count
     f"""
     SELECT o_orderkey AS file_path, CAST(floor(o_totalprice) AS BIGINT) AS file_size, o_orderdate AS dt,
            CAST(greatest(1, ceil(b / 250000.0)) AS BIGINT) AS bins
-    FROM orders JOIN ({_SMALL}) ON dt = o_orderdate WHERE floor(o_totalprice) < 100000
+    FROM orders JOIN ({_SMALL}) ON dt IS NOT DISTINCT FROM o_orderdate WHERE floor(o_totalprice) < 100000
     """,
 )
 def l10_small_files(t: Tables):

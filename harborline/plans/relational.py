@@ -787,8 +787,8 @@ def b24_recursive_cte(t: Tables):
 def b24_ancestors_without_recursion(t: Tables):
     """The same rows in one pass: the steps depend on no other row, so each is spelled out in place."""
     site = F.rtrim(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"))
-    return t.pages.select("page_id", F.posexplode(F.reverse(path_prefixes(site))).alias("steps", "path")).select(
-        "page_id", "path", F.col("steps").cast("bigint").alias("steps")
+    return t.pages.select("page_id", F.posexplode_outer(F.reverse(path_prefixes(site))).alias("steps", "path")).select(
+        "page_id", "path", F.coalesce("steps", F.lit(0)).cast("bigint").alias("steps")
     )
 
 

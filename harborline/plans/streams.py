@@ -64,7 +64,7 @@ def x2_stream_retain_last_n(t: Tables):
     "x3_stream_counters_histogram",
     """
     SELECT label, le, count(CASE WHEN value <= bound THEN 1 END) AS cumulative, count(*) AS total_count
-    FROM (SELECT event_type AS label, value FROM events),
+    FROM (SELECT event_type AS label, value FROM events WHERE value IS NOT NULL),
          (VALUES ('1', 1.0), ('10', 10.0), ('100', 100.0), ('+Inf', 1e300)) AS b(le, bound)
     GROUP BY label, le
     """,

@@ -162,7 +162,7 @@ BOUNDS = (1.0, 10.0, 100.0)
     """
     SELECT label, CAST(le_index AS BIGINT) AS le_index, le, count(CASE WHEN value <= bound THEN 1 END) AS cumulative,
            count(*) AS total_count, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_sum
-    FROM (SELECT event_type AS label, value FROM events),
+    FROM (SELECT event_type AS label, value FROM events WHERE value IS NOT NULL),
          (VALUES (0, '1', 1.0), (1, '10', 10.0), (2, '100', 100.0), (3, '+Inf', CAST('inf' AS DOUBLE))) AS b(le_index, le, bound)
     GROUP BY label, le_index, le
     """,

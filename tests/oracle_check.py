@@ -80,7 +80,7 @@ def main() -> int:
     parser.add_argument("--plain", action="store_true", help="session without any of the package's settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    root = f"/root/testdata/sf{args.sf}"
+    root = args.sf if args.sf.startswith("/") else f"/root/testdata/sf{args.sf}"
     if args.plain:
         spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
     else:

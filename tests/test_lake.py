@@ -154,6 +154,14 @@ def test_added_columns_survive_and_changed_ones_are_refused(spark, folder):
     assert got == [(1, None, "2024-01-01"), (2, None, None), (3, "n", "2024-01-01"), (4, "m", None)]
 
 
+def test_cleanup_by_table(spark):
+    classified = literal_table(spark, [("a", 1, True), ("a", 2, False), ("b", 1, False)], "table_name string, version bigint, expired boolean")
+    orphans = literal_table(spark, [("a", 10), ("a", 5)], "table_name string, length bigint")
+    manifests = literal_table(spark, [("a", "m")], "table_name string, manifest_list string")
+    report = lake.cleanup_by_table(classified, orphans, manifests).orderBy("table_name").collect()
+    assert [tuple(r) for r in report] == [("a", 1, 1, 2, 2, 15, 1), ("b", 0, 1, 1, 0, 0, 0)]
+
+
 def test_nothing_to_compact(table):
     with pytest.raises(NothingToCompact):
         table.compact(NOW, threshold=1)
