@@ -100,11 +100,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _in_caps(nodes: DataFrame, words: int, height: float, fewest: int) -> DataFrame:
-    """One row per vector and cap: ``dim``, ``cap``, ``node``, ``copies``, ``unit``, and the vector's ``caps``."""
-    schema = pa.schema(
-        [("dim", pa.int32()), ("cap", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()),
-         ("unit", pa.list_(pa.float64())), ("caps", pa.list_(pa.int64()))]
-    )
+    """One row per vector and cap: ``dim``, ``cap``, ``node``, ``copies``, ``embedding``, and the vector's ``caps``."""
+    names = ["dim", "cap", "node", "copies", "embedding", "caps"]
+    kind = nodes.schema["embedding"].dataType.simpleString()
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -122,15 +120,14 @@ def _in_caps(nodes: DataFrame, words: int, height: float, fewest: int) -> DataFr
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(rows), dim, np.int32)), pa.array(caps),
-                            piece.column(0).take(take), piece.column(1).take(take),
-                            pa.array(list(units), pa.list_(pa.float64())).take(take),
+                            *[piece.column(i).take(take) for i in range(3)],
                             pa.array(lists, pa.list_(pa.int64())).take(take),
                         ],
-                        schema=schema,
+                        names=names,
                     )
 
     return nodes.select("node", "copies", "embedding").mapInArrow(
-        work, "dim int, cap long, node long, copies long, unit array<double>, caps array<long>"
+        work, f"dim int, cap long, node long, copies long, embedding {kind}, caps array<long>"
     )
 
 
@@ -179,7 +176,7 @@ def _links(tiled: DataFrame, cosine: float) -> DataFrame:
             column = lambda n: group.column(n).combine_chunks()
             found = _tile_links(
                 first["cap"], first["a"] != first["b"], column("side").to_numpy(), column("node").to_numpy(),
-                column("copies").to_numpy(), _matrix(column("unit")), [np.array(c.values) for c in column("caps")], cosine,
+                column("copies").to_numpy(), unit_rows(_matrix(column("embedding"))), [np.array(c.values) for c in column("caps")], cosine,
             )
             if found:
                 yield pa.record_batch([pa.array(x.astype(np.int64)) for x in found], schema=schema)
@@ -198,7 +195,7 @@ def _links(tiled: DataFrame, cosine: float) -> DataFrame:
         if held:
             yield from finish(pa.Table.from_batches(held))
 
-    names = ("dim", "cap", "a", "b", "side", "node", "copies", "unit", "caps")
+    names = ("dim", "cap", "a", "b", "side", "node", "copies", "embedding", "caps")
     return tiled.select(*names).mapInArrow(work, "node long, other long, links long")
 
 
@@ -229,11 +226,13 @@ def near_vectors(vectors: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     words = max(2, round((nodes.count() / VECTORS_PER_FILTER) ** (1 / CODE_PARTS)))
     height, each = cap(words**CODE_PARTS, cosine)
     in_caps = stage(_in_caps(nodes, words, height, max(1, round(each / 2))), "cap-members")
-    sizes = in_caps.groupBy("dim", "cap").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = in_caps.groupBy("dim", "cap").agg(F.count(F.lit(1)).alias("n"))
     cuts = F.ceil(F.col("n") / TILE_ROWS).cast("int")
+    # only large buckets are listed; written, so that Spark knows the size of the list
+    large = stage(sizes.where(F.col("n") > TILE_ROWS).select("dim", "cap", cuts.alias("cuts")), "cap-large")
     side = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     tiled = (
-        in_caps.join(sizes.select("dim", "cap", cuts.alias("cuts")), ["dim", "cap"])
+        in_caps.join(large, ["dim", "cap"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
         .withColumn("side", side)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
