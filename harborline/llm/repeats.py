@@ -194,7 +194,8 @@ def _first_of_each(rows: DataFrame, bucket: list[str], carry: list[str]) -> Data
 
 def _marked(firsts: DataFrame, bucket: list[str]) -> DataFrame:
     """``open`` if a row's bucket has several: shorter strings of theirs may be equal, so they go to the next pass."""
-    several = firsts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket, F.lit(True).alias("open"))
+    counts = firsts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = stage(counts.select(*bucket, F.lit(True).alias("open")), "repeats-several")
     return firsts.join(several, bucket, "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
@@ -220,9 +221,11 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     every = _all_runs(keyed, threshold)
-    shared = every.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    hits = stage(every.join(shared, "digit"), "repeats-runs")
+    # written, so that the join has an exchange on both sides and Spark can split a digit that is everywhere
+    shared = stage(every.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"), "repeats-digits")
     unstage(spark)
+    hits = stage(every.join(shared, "digit"), "repeats-runs")
+    unstage(spark, shared)
     alive = []
     whole = stage(_first_of_each(hits, ["digit"], []), "repeats-whole")
     unstage(spark)
