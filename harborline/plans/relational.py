@@ -109,13 +109,16 @@ def b03_filter_predicates(t: Tables):
     """,
 )
 def b04_inner_equi_join(t: Tables):
+    """Line items are summed per order before they move."""
     customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price")
+    )
     return (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"))
-        .agg(F.count(F.lit(1)).alias("line_items"),
-             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
+        .agg(F.sum("n").alias("line_items"), F.sum("price").cast("double").alias("revenue"))
     )
 
 
