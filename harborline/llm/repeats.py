@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,10 +194,18 @@ def _first_of_each(rows: DataFrame, bucket: list[str], carry: list[str]) -> Data
 
 
 def _marked(firsts: DataFrame, bucket: list[str]) -> DataFrame:
-    """``open`` if a row's bucket has several: shorter strings of theirs may be equal, so they go to the next pass."""
-    counts = firsts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Stage ``firsts``, then with ``open`` if a row's bucket has several.
+
+    Shorter strings of those may be equal, so they go to the next pass.
+    """
+    spark = firsts.sparkSession
+    rows = stage(firsts, "repeats-pass")
+    unstage(spark)
+    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = stage(counts.select(*bucket, F.lit(True).alias("open")), "repeats-several")
-    return firsts.join(several, bucket, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    marked = stage(rows.join(several, bucket, "left").withColumn("open", F.coalesce("open", F.lit(False))), "repeats-marked")
+    unstage(spark, rows, several)
+    return marked
 
 
 def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -227,22 +236,21 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     hits = stage(every.join(shared, "digit"), "repeats-runs")
     unstage(spark, shared)
     alive = []
-    whole = stage(_first_of_each(hits, ["digit"], []), "repeats-whole")
-    unstage(spark)
-    done = stage(_marked(whole, ["digit"]), "repeats-whole-marked")
-    unstage(spark, whole)
+    done = _marked(_first_of_each(hits, ["digit"], []), ["digit"])
+    repeated = stage(hits.select("d", "place"), "repeats-hits")
+    unstage(spark, hits)
+    used = [done]
     alive.append(done.where("not open").select("d", "place"))
-    texts = stage(_run_texts(keyed, done.where("open"), threshold), "repeats-texts")
+    texts = rest = stage(_run_texts(keyed, done.where("open"), threshold), "repeats-texts")
     unstage(spark)
-    rest = texts
+    used.append(texts)
     for length in PARTS:
-        parts = stage(_first_of_each(_cut(rest, length, threshold), ["digit", "core"], ["parent"]), "repeats-parts")
-        unstage(spark)
+        parts = _first_of_each(_cut(rest, length, threshold), ["digit", "core"], ["parent"])
         if length == PARTS[-1]:
             alive.append(parts.select("d", "place"))
             break
-        done = stage(_marked(parts, ["digit", "core"]), "repeats-parts-marked")
-        unstage(spark, parts)
+        done = _marked(parts, ["digit", "core"])
+        used.append(done)
         alive.append(done.where("not open").select("d", "place"))
         first = F.shiftright("place", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
         parent = F.shiftright("parent", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
@@ -253,10 +261,9 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             .withColumn("__at", (first - parent + 1).cast("int")).withColumn("__n", (count + threshold).cast("int"))
             .select("d", "place", "digit", F.expr("substring(span, __at, __n)").alias("span"))
         )
-    kept_runs = alive[0]
-    for more in alive[1:]:
-        kept_runs = kept_runs.union(more)
-    return _assemble(keyed, hits, kept_runs, threshold)
+    kept_runs = stage(reduce(DataFrame.union, alive), "repeats-alive")
+    unstage(spark, *used)
+    return _assemble(keyed, repeated, kept_runs, threshold)
 
 
 def _assemble(keyed: DataFrame, hits: DataFrame, alive: DataFrame, threshold: int) -> DataFrame:
