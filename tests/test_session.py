@@ -3,8 +3,6 @@ import os
 import pytest
 
 from harborline import session
-from harborline.sources.tables import table
-from tests.conftest import SF
 
 
 def test_staged_rows_and_cleanup(spark, folder, monkeypatch):
