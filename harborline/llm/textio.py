@@ -44,12 +44,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def batches(columns: dict[str, list[pa.Array]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One record batch from the pieces gathered per column, or none."""
-    if columns and next(iter(columns.values())):
-        yield pa.record_batch([pa.concat_arrays(columns[f.name]) for f in schema], schema=schema)
-
-
 def same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
     """Join condition on columns of both sides where null equals null."""
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
