@@ -14,6 +14,15 @@ def test_staged_rows_and_cleanup(spark, folder, monkeypatch):
     assert session.clear_staged(spark) == 0
 
 
+def test_unstage_deletes_only_what_it_is_given(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "_staged", {})
+    monkeypatch.setattr(session, "new_folder", lambda s, label: f"{folder}/{label}")
+    done, other = session.stage(spark.range(5), "done"), session.stage(spark.range(3), "other")
+    session.unstage(spark, done)
+    assert not os.path.exists(f"{folder}/done") and other.count() == 3
+    assert session.clear_staged(spark) == 1
+
+
 def test_literal_tables_have_a_known_size(spark):
     df = session.literal_table(spark, [(1, None)], "a bigint, b map<string,string>")
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
