@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,38 +45,43 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(docs: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """All matches of one form with places in code points and the text beside them.
+def _matches(kind: str, pattern: str) -> Column:
+    """Array of all matches of one form in ``text``, with what stands between and beside them.
 
-    Splitting at the form gives what lies between its matches, so places are sums of lengths.
+    Splitting at the form gives what lies between its matches; places are sums of these lengths.
     """
     pieces, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0)
-    each = F.posexplode(
-        F.transform(
-            F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("l"), F.slice(pieces, 2, F.size(found)).alias("r")),
-            lambda x: F.struct(
-                x["m"].alias("text"), F.length(x["l"]).alias("gap"), F.right(x["l"], F.lit(CONTEXT)).alias("left"),
-                F.left(x["r"], F.lit(CONTEXT)).alias("right"),
-            ),
-        )
-    ).alias("i", "x")
-    rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", "text_hash", F.lit(kind).alias("kind"), each)
-    rows = rows.select("doc_id", "text_hash", "kind", "i", "x.*").dropDuplicates(["doc_id", "text_hash", "i"])
-    order = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("text")).over(order)
-    placed = rows.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.length("text")).cast("int"))
-    return placed.where(_valid(kind, F.col("text"))).select("doc_id", "text_hash", "kind", "start", "end", "text", "left", "right")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    zipped = F.arrays_zip(
+        found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("l"), F.slice(pieces, 2, F.size(found)).alias("r")
+    )
+    listed = F.transform(
+        zipped,
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("text"), F.length(x["l"]).alias("gap"),
+            F.right(x["l"], F.lit(CONTEXT)).alias("left"), F.left(x["r"], F.lit(CONTEXT)).alias("right"),
+        ),
+    )
+    none = F.array().cast("array<struct<kind:string,i:int,text:string,gap:int,left:string,right:string>>")
+    return F.coalesce(F.when(F.col("text").rlike(pattern), listed), none)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Base matches (``base`` true), and matches of the open shapes that touch none of them."""
-    base = _union([_matches(docs, k, p).withColumn("base", F.lit(True)) for k, p in _BASE.items()])
-    open_ = _union([_matches(docs, k, p).withColumn("base", F.lit(False)) for k, p in _SHAPE.items()])
-    both = base.unionByName(open_)
+    """Base matches (``base`` true), and matches of the open shapes that touch none of them.
+
+    One pass over the texts looks for all forms.
+    """
+    forms = {**_BASE, **_SHAPE}
+    # outer, as for a plain explode Spark would evaluate the arrays again to drop empty ones first
+    every = F.explode_outer(F.flatten(F.array(*[_matches(k, p) for k, p in forms.items()]))).alias("x")
+    rows = docs.select("doc_id", "text_hash", every).select("doc_id", "text_hash", "x.*").where("kind IS NOT NULL")
+    rows = rows.dropDuplicates(["doc_id", "text_hash", "kind", "i"])
+    upto = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("text")).over(upto).cast("int")
+    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
+    valid = F.lit(False)
+    for kind in forms:
+        valid = F.when(F.col("kind") == kind, _valid(kind, F.col("text"))).otherwise(valid)
+    both = placed.where(valid).withColumn("base", F.col("kind").isin(*_BASE)).drop("i", "gap")
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.col("base").desc(), "end", "kind")
     until = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     later = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
