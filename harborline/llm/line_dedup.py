@@ -22,7 +22,7 @@ def _parts(docs: DataFrame) -> DataFrame:
     """Hash, site and place of every line that is not blank.  A null source is a site of its own."""
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     lines = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), site.alias("site"), F.posexplode(F.split("text", _SEPARATOR)).alias("n", "line")
+        "doc_id", F.xxhash64("text").alias("text_hash"), site.alias("site"), F.posexplode_outer(F.split("text", _SEPARATOR)).alias("n", "line")
     )
     return lines.where(F.trim("line") != "").select("doc_id", "text_hash", "site", "n", F.xxhash64(F.trim("line")).alias("line"))
 
@@ -58,7 +58,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     spread = stage(spread_lines(lines, min_sites), "lines-spread")
     found = lines.join(spread, "line")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")
-    firsts = found.groupBy("line").agg(F.min(place).alias("first"))
+    # written, so that Spark knows its size and need not bring a frequent line's rows together for the join
+    firsts = stage(found.groupBy("line").agg(F.min(place).alias("first")), "lines-first")
     later = found.join(firsts, "line").where(place != F.col("first"))
     removed = later.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("__removed"))
     keys = ["doc_id", "__text_hash"]
