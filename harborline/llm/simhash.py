@@ -196,12 +196,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several texts under that id the one with the smallest hash stays, and of equal rows one.
     """
-    found = stage(near_duplicates(docs), "simhash-groups")
+    return keep_firsts(docs, stage(near_duplicates(docs), "simhash-groups"))
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group ``root`` of ``found`` (``doc_id``, ``text_hash``)."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
-    kept = best.select("best.doc_id", F.col("best.text_hash").alias("text_hash"))
+    kept = best.select("best.doc_id", F.col("best.text_hash").alias("__text_hash"))
     hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = kept.withColumnRenamed("text_hash", "__text_hash")
-    out = hashed.join(kept, same(hashed, kept, ["doc_id", "__text_hash"]), "left_semi").drop("__text_hash")
+    out = hashed.join(kept, same(hashed, kept, ["doc_id", "__text_hash"]), "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["doc_id", "__text_hash"])
+    return out.drop("__text_hash")

@@ -67,6 +67,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.source or "") for r in kept) == [(0, ""), (3, "b"), (9, "d")]
 
 
+def test_texts_under_one_id_stay_beside_a_repeated_row(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue", "x y z w v u"]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (7, texts[2], "c"), (7, texts[3], "d"), (None, texts[0], "a")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, f"{KIND}, source string")).collect()
+    assert sorted(r.source for r in kept) == ["a", "b", "c", "d"]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], KIND)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
