@@ -86,27 +86,27 @@ def runs(sums: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD):
     return row, first, count, hashes[place[first]], place[first]
 
 
-#: Layout of a run's place in a long: tie of its document, first suffix, number less one, distance of the digit.
-_TIE, _FIRST, _COUNT = 45, 14, 7
+#: Layout of a run's place in a long: first suffix, number less one, distance of the digit.
+_FIRST, _COUNT = 14, 7
 #: Suffixes per part in the passes below the whole run.
 PARTS = (8, 1)
 _NO_ID = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Document key: the id (null last) and a tie that tells texts under one id apart."""
+    """Document key: the id (null last) and the text's 64-bit hash, which tells texts under one id apart."""
     return docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"),
-        F.expr("xxhash64(text) & 131071").alias("tie"), "text",
+        F.xxhash64("text").alias("tie"), "text",
     )
 
 
-def _pack(tie: np.ndarray, first: np.ndarray, count: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    return (tie << _TIE) | (first << _FIRST) | ((count - 1) << _COUNT) | distance
+def _pack(first: np.ndarray, count: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    return (first << _FIRST) | ((count - 1) << _COUNT) | distance
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> _TIE, (place >> _FIRST) & 0x7FFFFFFF, ((place >> _COUNT) & 127) + 1, place & 127
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (place >> _FIRST) & 0x7FFFFFFF, ((place >> _COUNT) & 127) + 1, place & 127
 
 
 def _table(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
@@ -115,8 +115,8 @@ def _table(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _all_runs(docs: DataFrame, threshold: int) -> DataFrame:
-    """Every run of every document: document ``d``, ``place``, ``digit``, hash of the ``whole`` run's bytes."""
-    schema = pa.schema([(n, pa.int64()) for n in ("d", "place", "digit", "whole")])
+    """Every run of every document: document ``d``, ``tie``, ``place``, ``digit``, hash of the ``whole`` run's bytes."""
+    schema = pa.schema([(n, pa.int64()) for n in ("d", "tie", "place", "digit", "whole")])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -125,33 +125,35 @@ def _all_runs(docs: DataFrame, threshold: int) -> DataFrame:
                 sums = prefix_hashes(data)
                 row, first, count, digit, place = runs(sums, offsets, threshold)
                 whole = string_hashes(sums, first, first + count - 1 + threshold)
-                packed = _pack(ties[start + row], first - offsets[row], count, place - first)
-                yield _table(schema, ids[start + row], packed, digit, whole)
+                packed = _pack(first - offsets[row], count, place - first)
+                yield _table(schema, ids[start + row], ties[start + row], packed, digit, whole)
 
-    return docs.select("d", "tie", "text").mapInArrow(work, "d long, place long, digit long, whole long")
+    return docs.select("d", "tie", "text").mapInArrow(work, "d long, tie long, place long, digit long, whole long")
 
 
 def _run_texts(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """``wanted`` (d, place, digit) with the bytes that each run's suffixes cover."""
-    places = wanted.groupBy("d", F.shiftright("place", _TIE).alias("tie")).agg(
+    """``wanted`` (d, tie, place, digit) with the bytes that each run's suffixes cover."""
+    places = wanted.groupBy("d", "tie").agg(
         F.collect_list("place").alias("places"), F.collect_list("digit").alias("digits")
     )
     joined = docs.select("d", "tie", F.encode("text", "UTF-8").alias("data")).join(places, ["d", "tie"])
-    schema = pa.schema([("d", pa.int64()), ("place", pa.int64()), ("digit", pa.int64()), ("span", pa.binary())])
+    schema = pa.schema([("d", pa.int64()), ("tie", pa.int64()), ("place", pa.int64()), ("digit", pa.int64()), ("span", pa.binary())])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for d, data, places, digits in zip(*(part.column(i) for i in range(4))):
+            for d, tie, data, places, digits in zip(*(part.column(i) for i in range(5))):
                 text, place = data.as_py(), np.array(places.values)
-                _, first, count, _ = _unpack(place)
+                first, count, _ = _unpack(place)
                 ends = (first + count - 1 + threshold).tolist()
                 spans = [text[a:b] for a, b in zip(first.tolist(), ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), d.as_py())), pa.array(place), digits.values, pa.array(spans, pa.binary())],
+                    [*(pa.array(np.full(len(place), k.as_py())) for k in (d, tie)), pa.array(place), digits.values, pa.array(spans, pa.binary())],
                     schema=schema,
                 )
 
-    return joined.select("d", "data", "places", "digits").mapInArrow(work, "d long, place long, digit long, span binary")
+    return joined.select("d", "tie", "data", "places", "digits").mapInArrow(
+        work, "d long, tie long, place long, digit long, span binary"
+    )
 
 
 def _cut(run_texts: DataFrame, length: int, threshold: int) -> DataFrame:
@@ -159,14 +161,14 @@ def _cut(run_texts: DataFrame, length: int, threshold: int) -> DataFrame:
 
     ``core`` is the hash of the bytes that all suffixes of a full part have in common.
     """
-    names = ("d", "place", "digit", "core", "whole", "parent")
+    names = ("d", "tie", "place", "digit", "core", "whole", "parent")
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            d, place, digit = (part.column(i).to_numpy() for i in range(3))
-            tie, first, count, distance = _unpack(place)
-            for start, end, data, offsets in byte_chunks(part.column(3), 1 << 16):
+            d, tie, place, digit = (part.column(i).to_numpy() for i in range(4))
+            first, count, distance = _unpack(place)
+            for start, end, data, offsets in byte_chunks(part.column(4), 1 << 16):
                 here = slice(start, end)
                 row = np.repeat(np.arange(start, end), count[here])
                 step = np.arange(len(row)) - np.repeat(np.cumsum(count[here]) - count[here], count[here])
@@ -181,15 +183,15 @@ def _cut(run_texts: DataFrame, length: int, threshold: int) -> DataFrame:
                 whole = string_hashes(sums, begin, begin + size - 1 + threshold)
                 middle = offsets[owner - start] + distance[owner] - length * part_no[at]
                 core = string_hashes(sums, middle, middle + threshold - length + 1)
-                packed = _pack(tie[owner], first[owner] + ahead, size, distance[owner] - ahead)
-                yield _table(schema, d[owner], packed, digit[owner], core, whole, place[owner])
+                packed = _pack(first[owner] + ahead, size, distance[owner] - ahead)
+                yield _table(schema, d[owner], tie[owner], packed, digit[owner], core, whole, place[owner])
 
-    return run_texts.select("d", "place", "digit", "span").mapInArrow(work, ", ".join(f"{n} long" for n in names))
+    return run_texts.select("d", "tie", "place", "digit", "span").mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 def _first_of_each(rows: DataFrame, bucket: list[str], carry: list[str]) -> DataFrame:
     """One pass of the sort: of the rows with equal ``whole`` in a bucket the first."""
-    firsts = rows.groupBy(*bucket, "whole").agg(F.min(F.struct("d", "place", *carry)).alias("at"))
+    firsts = rows.groupBy(*bucket, "whole").agg(F.min(F.struct("d", "tie", "place", *carry)).alias("at"))
     return firsts.select(*bucket, "at.*")
 
 
@@ -237,29 +239,29 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     unstage(spark, shared)
     alive = []
     done = _marked(_first_of_each(hits, ["digit"], []), ["digit"])
-    repeated = stage(hits.select("d", "place"), "repeats-hits")
+    repeated = stage(hits.select("d", "tie", "place"), "repeats-hits")
     unstage(spark, hits)
     used = [done]
-    alive.append(done.where("not open").select("d", "place"))
+    alive.append(done.where("not open").select("d", "tie", "place"))
     texts = rest = stage(_run_texts(keyed, done.where("open"), threshold), "repeats-texts")
     unstage(spark)
     used.append(texts)
     for length in PARTS:
         parts = _first_of_each(_cut(rest, length, threshold), ["digit", "core"], ["parent"])
         if length == PARTS[-1]:
-            alive.append(parts.select("d", "place"))
+            alive.append(parts.select("d", "tie", "place"))
             break
         done = _marked(parts, ["digit", "core"])
         used.append(done)
-        alive.append(done.where("not open").select("d", "place"))
+        alive.append(done.where("not open").select("d", "tie", "place"))
         first = F.shiftright("place", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
         parent = F.shiftright("parent", _FIRST).bitwiseAND(F.lit(0x7FFFFFFF))
         count = F.shiftright("place", _COUNT).bitwiseAND(F.lit(127))
-        own = texts.select("d", F.col("place").alias("parent"), "span")
+        own = texts.select("d", "tie", F.col("place").alias("parent"), "span")
         rest = (
-            done.where("open").join(own, ["d", "parent"])
+            done.where("open").join(own, ["d", "tie", "parent"])
             .withColumn("__at", (first - parent + 1).cast("int")).withColumn("__n", (count + threshold).cast("int"))
-            .select("d", "place", "digit", F.expr("substring(span, __at, __n)").alias("span"))
+            .select("d", "tie", "place", "digit", F.expr("substring(span, __at, __n)").alias("span"))
         )
     kept_runs = stage(reduce(DataFrame.union, alive), "repeats-alive")
     unstage(spark, *used)
@@ -268,9 +270,8 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def _assemble(keyed: DataFrame, hits: DataFrame, alive: DataFrame, threshold: int) -> DataFrame:
     """What is left of each document: suffixes of ``hits`` that are not in ``alive`` are repeats."""
-    marks = hits.select("d", "place", F.lit(True).alias("hit")).union(alive.select("d", "place", F.lit(False)))
-    tie = F.shiftright("place", _TIE).alias("tie")
-    places = marks.groupBy("d", tie).agg(
+    marks = hits.select("d", "tie", "place", F.lit(True).alias("hit")).union(alive.select("d", "tie", "place", F.lit(False)))
+    places = marks.groupBy("d", "tie").agg(
         F.collect_list(F.when(F.col("hit"), F.col("place"))).alias("hits"),
         F.collect_list(F.when(~F.col("hit"), F.col("place"))).alias("alive"),
     )
@@ -281,13 +282,13 @@ def _assemble(keyed: DataFrame, hits: DataFrame, alive: DataFrame, threshold: in
 
     def strip(data: bytes, hits: np.ndarray, alive: np.ndarray) -> tuple[list[dict], bytes]:
         step = np.zeros(len(data) + 2, np.int32)
-        _, first, count, _ = _unpack(hits)
+        first, count, _ = _unpack(hits)
         repeated = np.zeros(len(data) + 1, bool)
         np.add.at(step, first, 1)
         np.add.at(step, first + count, -1)
         repeated[:] = np.cumsum(step[:-1]) > 0
         step[:] = 0
-        _, first, count, _ = _unpack(alive)
+        first, count, _ = _unpack(alive)
         np.add.at(step, first, 1)
         np.add.at(step, first + count, -1)
         repeated &= np.cumsum(step[:-1]) == 0

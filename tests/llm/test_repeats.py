@@ -45,5 +45,18 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert by == [(False, 1, 150), (False, 1, 150), (False, 2, 0), (True, 0, 0)]
 
 
+def test_many_texts_without_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = [word(n) for n in (120, 150, 300)]
+    texts = [word(rng.randrange(200)) + rng.choice(shared) + word(rng.randrange(400)) for _ in range(1500)]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    order = sorted((r[0], r[1]) for r in frame.select(F.xxhash64("text"), "text").collect())
+    expected = brute.repeats([(i, t) for i, (_, t) in enumerate(order)])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = find_repeats(frame).select("n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, found)) == sorted(expected.values())
+
+
 def test_empty_table(spark):
     assert find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
