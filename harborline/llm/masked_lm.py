@@ -24,8 +24,8 @@ PAD = WORDS
 #: Neighbours that predict a word, left and right.
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 32
-#: In each round every MASK_EVERY-th word is masked and learnt from, another each round.
-ROUNDS, MASK_EVERY, BATCH, RATE = 2, 16, 2048, 0.1
+#: In each round every MASK_EVERY-th word is masked and learnt from, others each round; the rounds mask every word once.
+ROUNDS, MASK_EVERY, BATCH, RATE = 2, 2, 2048, 0.1
 #: Parameters in one row on their way to the average.
 BLOCK = 2048
 SEED = 4

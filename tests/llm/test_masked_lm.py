@@ -60,6 +60,16 @@ def test_counts_are_whole_and_sums_tree_like(docs):
     assert counted.sum() == sum(len(words(r.text)) for r in docs.collect())
 
 
+def test_words_at_every_place_are_learnt(spark):
+    places = [[f"p{k}" if k % 4 else f"q{k}{i % 2}" for k in range(16)] for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(places)], "doc_id long, text string").coalesce(1)
+    before, after = lm.start(lm.bucket_counts(docs)), lm.train(docs)
+    words = np.array([number(after, w) for w in places[0]])
+    around = lm.neighbours(words, np.zeros(16, np.int64))
+    gain = lm.log_probabilities(after.weights, words, around) - lm.log_probabilities(before.weights, words, around)
+    assert (gain > 0.1).all()
+
+
 def test_reruns_agree(spark):
     a, b = ({r.doc_id: r.log_likelihood for r in op4_masked_lm(spark, SF).collect()} for _ in range(2))
     assert a == b
