@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import cap_filters, contamination, language_id, line_dedup, masked_lm, mixing, pii, repeats, secret_scan, simhash
+from harborline.llm import (
+    cap_filters, contamination, hard_negatives, language_id, line_dedup, masked_lm, mixing, pii, ranked_search, repeats, secret_scan,
+    simhash, url_filter,
+)
 from harborline.llm.textio import span_count, span_digest
 from harborline.sources.tables import table
 
@@ -76,6 +79,20 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_url_filters(spark: SparkSession, root: str) -> DataFrame:
+    return url_filter.judge(table(spark, root, "pages")).drop("pattern")
+
+
+def op12_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranked_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, root, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -87,10 +104,16 @@ LLM_QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
+    "op11_url_filters": op11_url_filters,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LLM_ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op6_benchmark_decontamination": contamination.ORACLE,
     "op8_mix_sources": mixing.ORACLE.format(documents="documents", columns=""),
+    "op11_url_filters": url_filter.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
