@@ -67,8 +67,8 @@ def authorize_groups(users: DataFrame, groups: str, allowed: Sequence[str]) -> D
     return users.withColumn("authorized", F.coalesce(overlap, F.lit(False)))
 
 
-def issue_leases(requests: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leases for valid requests, and the rejected requests with a reason.
+def judge_requests(requests: DataFrame, roles: DataFrame) -> DataFrame:
+    """Every request with its role's columns, the lease it would get, and ``reason`` where it is refused.
 
     ``requests``: ``lease_id, role, requested_ttl, issue_time``; ``roles``: ``role_name, db_name,
     default_ttl_secs, max_ttl_secs``.  A requested lifetime must be positive.
@@ -78,21 +78,17 @@ def issue_leases(requests: DataFrame, roles: DataFrame) -> tuple[DataFrame, Data
         F.col("role_name").isNull(),
         F.concat(F.lit("role '"), F.coalesce("role", F.lit("")), F.lit("' not configured")),
     ).when(F.col("requested_ttl") <= 0, F.lit("requested lifetime must be positive"))
-    judged = matched.withColumn("reason", reason)
-    leases = (
-        judged.where(F.col("reason").isNull())
-        .withColumn(
-            "ttl_secs",
-            F.least(F.coalesce("requested_ttl", "default_ttl_secs"), F.col("max_ttl_secs")),
-        )
-        .select(
-            "lease_id", "role", "db_name", "issue_time",
-            F.timestamp_add("SECOND", F.col("ttl_secs"), F.col("issue_time")).alias("expire_time"),
-            "ttl_secs",
-        )
+    ttl = F.least(F.coalesce("requested_ttl", "default_ttl_secs"), F.col("max_ttl_secs"))
+    return matched.withColumn("reason", reason).withColumn("ttl_secs", ttl).withColumn(
+        "expire_time", F.when(F.col("reason").isNull(), F.timestamp_add("SECOND", F.col("ttl_secs"), F.col("issue_time")))
     )
-    rejected = judged.where(F.col("reason").isNotNull()).select("lease_id", "role", "reason")
-    return leases, rejected
+
+
+def issue_leases(requests: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leases for valid requests, and the rejected requests with a reason."""
+    judged = judge_requests(requests, roles)
+    leases = judged.where(F.col("reason").isNull()).select("lease_id", "role", "db_name", "issue_time", "expire_time", "ttl_secs")
+    return leases, judged.where(F.col("reason").isNotNull()).select("lease_id", "role", "reason")
 
 
 def revoke_leases(leases: DataFrame, revocations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -56,8 +56,8 @@ def x1_stream_append_points(t: Tables):
 )
 def x2_stream_retain_last_n(t: Tables):
     path = new_folder(t.spark, "x2")
-    jobs.stream_retain_last_n(point_stream(t), f"{path}/points", f"{path}/checkpoint").awaitTermination()
-    return jobs.retained_points(t.spark, f"{path}/points")
+    jobs.stream_retain_last_n(point_stream(t), f"{path}/checkpoint").awaitTermination()
+    return jobs.retained_points(t.spark, f"{path}/checkpoint")
 
 
 @query(
@@ -74,7 +74,7 @@ def x3_stream_counters_histogram(t: Tables):
     jobs.stream_counters_histogram(
         event_stream(t), f"{path}/histogram", f"{path}/checkpoint", "event_type", "value", BOUNDS
     ).awaitTermination()
-    return jobs.latest_version(t.spark, f"{path}/histogram").select("label", "le", "cumulative", "total_count")
+    return jobs.current_histogram(t.spark, f"{path}/histogram", BOUNDS).select("label", "le", "cumulative", "total_count")
 
 
 @query(

@@ -1,29 +1,29 @@
 """Continuous versions of the series, counter and lease operators on Structured Streaming.
 
-Per-key state lives in tables that ``foreachBatch`` adds to under the batch's number: a batch reads
-what batches before it wrote, as far as it concerns it, and overwrites its own part.  So its cost
-follows the batch, and a batch that is run again after a failure gives the same state.  The work is
-the batch operator itself, with its skew handling; no key's rows pass through a single task or a
-Python worker.
+Per-key state is Spark's own: lists, values and event-time timers of ``transformWithState`` on the
+RocksDB store, kept and restored with the query's checkpoint.  What is held now is read from the
+checkpoint by Spark's state reader.  Rows come to the handlers one key at a time and are not
+gathered; a key whose state may be large is salted, and the batch operator cuts across the salts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from harborline.operators import governance, metrics, series
-from harborline.session import literal_table
-from harborline.sources.files import delete_files, list_files
 
-#: Parts of the state of keys; a batch rewrites those it has keys of.
-BUCKETS = 256
-POINT_SCHEMA = "key string, value double, ts timestamp_ntz, id bigint"
+#: Groups that the points of one key are dealt to by their hash, so that a hot key has several state tasks.
+SALTS = 16
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -31,59 +31,30 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
-
-
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that every batch writes anew."""
-    versions = list_files(spark, path, "*.parquet").select(
-        F.regexp_extract("path", "/version=([0-9]+)/", 1).cast("bigint").alias("v")
-    )
-    newest = versions.agg(F.max("v")).first()[0]
-    if newest is None:
-        raise LookupError(f"no finished version below {path}")
-    return spark.read.parquet(_version(path, newest))
-
-
-def _bucket_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """The newest version of each bucket, at most ``BUCKETS`` of them, written before a batch."""
+def _start_stateful(writer, spark: SparkSession, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Start with the RocksDB store, which a query takes from the session when it starts."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        files = list_files(spark, path, "*.parquet")
-    except AnalysisException as err:
-        if err.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
-    part = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("int").alias(name)
-    found = files.select(part("version"), part("bucket"))
-    if before is not None:
-        found = found.where(F.col("version") < before)
-    return {r["bucket"]: r["v"] for r in found.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+        return _start(writer, checkpoint, available_now)
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
 
 
-def _buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{_version(path, v)}/bucket={b}" for b, v in sorted(versions.items())])
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """A state variable as the last finished batch left it."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
 
-def retained_points(spark: SparkSession, path: str) -> DataFrame:
-    """The points that :func:`stream_retain_last_n` holds now."""
-    versions = _bucket_versions(spark, path)
-    if not versions:
-        raise LookupError(f"no finished version below {path}")
-    return _buckets(spark, path, versions, T.StructType.fromDDL(POINT_SCHEMA))
+def _micros(column: str):
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> DataFrame:
-    """Delete what newer versions of the same bucket replace, but for the newest ``keep``.
-
-    Two are needed to run a failed batch again.
-    """
-    number = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("bigint").alias(name)
-    found = list_files(spark, path).select("path", number("version"), number("bucket"))
-    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy(F.col("version").desc()))
-    return delete_files(found.withColumn("place", place).where(F.col("place") > keep), dry_run=False)
+def _time(column: str, kind: str):
+    return F.timestamp_micros(column).cast(kind)
 
 
 def stream_append_points(
@@ -94,92 +65,147 @@ def stream_append_points(
     return _start(writer.outputMode("append"), checkpoint, available_now)
 
 
+class NewestPoints(StatefulProcessor):
+    """The newest ``n`` points of a key and salt, as list state; the rest are forgotten."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getListState("points", "value double, ts long, id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.points.get() if self.points.exists() else ()
+        new = ((r["value"], r["ts"], r["id"]) for r in rows)
+        newest = heapq.nlargest(self.n, chain(map(tuple, held), new), key=_place)
+        self.points.put(newest)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _place(point: tuple) -> tuple:
+    """Order by time and id, nulls lowest."""
+    return point[1] is not None, point[1] or 0, point[2] is not None, point[2] or 0
+
+
 def stream_retain_last_n(
-    points: DataFrame, path: str, checkpoint: str, n: int = series.RETAINED_POINTS,
-    available_now: bool = True,
+    points: DataFrame, checkpoint: str, n: int = series.RETAINED_POINTS, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep the newest ``n`` points per key; read the result with :func:`retained_points`.
+    """Keep the newest ``n`` points per key in the query's state; :func:`retained_points` reads them.
 
-    State lies in buckets of the key's hash.  A batch reads and rewrites the buckets it has keys of,
-    each under the batch's number, and leaves the others alone.
+    State is at most ``n`` points for each key and salt, however many arrive.
     """
+    salted = points.select("key", "value", _micros("ts").alias("ts"), "id", F.pmod(F.xxhash64("ts", "id", "value"), F.lit(SALTS)).alias("salt"))
+    kept = salted.groupBy("key", "salt").transformWithState(NewestPoints(n), "key string", "Append", "None")
+    return _start_stateful(kept.writeStream.format("noop").outputMode("append"), points.sparkSession, checkpoint, available_now)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most BUCKETS
-        held = {b: v for b, v in _bucket_versions(spark, path, batch_id).items() if b in touched}
-        points = batch.select(*T.StructType.fromDDL(POINT_SCHEMA).names)
-        kept = series.retain_last_n(_buckets(spark, path, held, points.schema).unionByName(points), n)
-        kept.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(_version(path, batch_id))
 
-    writer = points.select("key", "value", "ts", "id").writeStream.foreachBatch(merge)
-    return _start(writer, checkpoint, available_now)
+def retained_points(spark: SparkSession, checkpoint: str, n: int = series.RETAINED_POINTS) -> DataFrame:
+    """The newest ``n`` points per key that :func:`stream_retain_last_n` holds now: its salts cut together."""
+    held = _state(spark, checkpoint, "points")
+    points = held.select("key.key", "list_element.value", _time("list_element.ts", "timestamp_ntz").alias("ts"), "list_element.id")
+    return series.retain_last_n(points, n)
 
 
 def stream_counters_histogram(
     events: DataFrame, path: str, checkpoint: str, label: str, value: str,
     bounds: Sequence[float] = metrics.DURATION_BOUNDS, available_now: bool = True,
 ) -> StreamingQuery:
-    """Cumulative histogram per label.  State is one row per label and bucket."""
+    """Count observations per label and bucket; a batch writes only the counts it changed.
+
+    ``<path>/batch_id=<n>`` holds the new counts of batch n, and a batch that runs again replaces its
+    own.  :func:`current_histogram` reads them.
+    """
 
-    def publish(counts: DataFrame, batch_id: int) -> None:
-        metrics.cumulate_buckets(counts, bounds).write.mode("overwrite").parquet(_version(path, batch_id))
+    def publish(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     counts = metrics.bucket_counts(events, label, value, bounds)
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(publish), checkpoint, available_now)
+    return _start(counts.writeStream.outputMode("update").foreachBatch(publish), checkpoint, available_now)
+
+
+def current_histogram(spark: SparkSession, path: str, bounds: Sequence[float] = metrics.DURATION_BOUNDS) -> DataFrame:
+    """Cumulative histogram per label from the latest count of every label and bucket."""
+    try:
+        written = spark.read.parquet(path)
+    except AnalysisException as err:
+        raise LookupError(f"no finished batch below {path}") from err
+    latest = written.groupBy("label", "bucket").agg(F.max_by(F.struct("n", "s"), "batch_id").alias("c"))
+    return metrics.cumulate_buckets(latest.select("label", "bucket", "c.n", "c.s"), bounds)
+
+
+class LeaseTimers(StatefulProcessor):
+    """Copies of a lease as value state, and a timer at its end that emits them.
+
+    The key is the lease with its times in microseconds.  Timers count whole milliseconds.  A request
+    that was refused, or whose lease has no end, is not kept.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.copies = handle.getValueState("copies", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        end = key[-1]
+        if end is not None:
+            held = self.copies.get()[0] if self.copies.exists() else 0
+            self.copies.update((held + sum(1 for _ in rows),))
+            self.handle.registerTimer(-(-end // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        (copies,) = self.copies.get()
+        self.copies.clear()
+        return (Row(**dict(zip(LEASE_FIELDS, key))) for _ in range(copies))
+
+    def close(self) -> None:
+        pass
+
+
+LEASE_FIELDS = ("lease_id", "role", "db_name", "ttl_secs", "issued", "ends")
+
+
+def _leases(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.select(
+        "lease_id", "role", "db_name", _time("issued", kind).alias("issue_time"), _time("ends", kind).alias("expire_time"), "ttl_secs"
+    )
 
 
 def stream_lease_expiry(
     requests: DataFrame, roles: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Issue leases and emit each one once when the stream's time reaches its end.
+    """Issue leases and emit each one once to ``<path>/expired`` when the stream's time reaches its end.
 
-    The stream's time is the latest issue time of any request seen, also of rejected ones, and never
-    goes back; ``<path>/clock`` has it per batch.  Leases are appended to ``<path>/issued`` by the hour
-    they end in and never rewritten.  A batch emits to ``<path>/expired`` what ends between the times
-    before and after it, for which it reads those hours only, and what it issued itself that is over.
+    The stream's time is Spark's watermark without delay: the latest issue time, in milliseconds, of
+    any request of the batches before, also of rejected ones.  It never goes back.  A request that comes
+    late is not dropped: its lease ends with the batch if it is over.
     """
+    kind = requests.schema["issue_time"].dataType.simpleString()
+    timed = requests.withColumn("issue_time", F.col("issue_time").cast("timestamp")).withWatermark("issue_time", "0 seconds")
+    judged = governance.judge_requests(timed, roles)
+    # All requests go on, so that the filter on refused ones is not moved below the watermark.
+    granted = F.col("reason").isNull()
+    keyed = judged.select(
+        "lease_id", "role", "db_name", "ttl_secs", _micros("issue_time").alias("issued"),
+        F.when(granted, _micros("expire_time")).alias("ends"),
+    )
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields)
+    over = keyed.groupBy(*LEASE_FIELDS).transformWithState(LeaseTimers(), names, "Append", "EventTime")
+    writer = _leases(over, kind).writeStream.format("parquet").option("path", f"{path}/expired").outputMode("append")
+    return _start_stateful(writer, requests.sparkSession, checkpoint, available_now)
+
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        leases = governance.issue_leases(batch, roles)[0]
-        ends = F.unix_timestamp(F.col("expire_time").cast("timestamp"))
-        before = _clock(spark, path, batch_id - 1)
-        after = batch.agg(F.max("issue_time")).first()[0]
-        after = before if after is None else after if before is None else max(before, after)
-        kind = batch.schema["issue_time"].dataType.simpleString()
-        literal_table(spark, [(after,)], f"clock {kind}").write.mode("overwrite").parquet(_version(f"{path}/clock", batch_id))
-        leases.withColumn("hour", (ends / 3600).cast("bigint")).write.mode("overwrite").partitionBy("hour").parquet(
-            _version(f"{path}/issued", batch_id)
-        )
-        hours = T.StructType([*leases.schema.fields, T.StructField("version", T.LongType()), T.StructField("hour", T.LongType())])
-        issued = spark.read.schema(hours).option("basePath", f"{path}/issued").parquet(f"{path}/issued")
-        at = lambda time: F.lit(None if time is None else time.isoformat(sep=" ")).cast(kind)
-        hour_of = lambda time: (F.unix_timestamp(at(time).cast("timestamp")) / 3600).cast("bigint")
-        over = F.col("expire_time") <= at(after)
-        ended = issued.where((F.col("version") == batch_id) & over)
-        if before is not None and before < after:
-            due = (F.col("hour") >= hour_of(before)) & (F.col("hour") <= hour_of(after)) & (F.col("expire_time") > at(before))
-            ended = ended.union(issued.where((F.col("version") < batch_id) & due & over))
-        ended.select(*leases.columns).write.mode("overwrite").parquet(f"{path}/expired/batch_id={batch_id}")
-
-    return _start(requests.writeStream.foreachBatch(step), checkpoint, available_now)
-
-
-def _clock(spark: SparkSession, path: str, batch_id: int):
-    return spark.read.parquet(_version(f"{path}/clock", batch_id)).first()[0] if batch_id >= 0 else None
-
-
-def running_leases(spark: SparkSession, path: str) -> DataFrame:
-    """Leases issued by :func:`stream_lease_expiry` that end after the stream's time."""
-    clock = latest_version(spark, f"{path}/clock").scalar()
-    return spark.read.parquet(f"{path}/issued").drop("version", "hour").where(F.col("expire_time") > clock)
+def running_leases(spark: SparkSession, checkpoint: str, kind: str = "timestamp_ntz") -> DataFrame:
+    """Leases of :func:`stream_lease_expiry` that its timers have not ended yet."""
+    held = _state(spark, checkpoint, "copies").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("value.n"))))
+    return _leases(held.select("key.*"), kind)
 
 
 def expired_leases(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.parquet(f"{path}/expired").drop("batch_id")
+        return spark.read.parquet(f"{path}/expired")
     except AnalysisException as err:
         raise LookupError(f"no expired leases below {path}") from err
 

@@ -53,10 +53,22 @@ def test_append(spark, events, source, folder):
 
 def test_retention(spark, events, source, folder):
     path, add = source
-    run_twice(lambda: jobs.stream_retain_last_n(as_points(stream(spark, events, path)), f"{folder}/out", f"{folder}/cp", n=30), add)
-    assert same_rows(jobs.retained_points(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
-    assert {r["outcome"] for r in jobs.drop_old_versions(spark, f"{folder}/out").collect()} == {"deleted"}
-    assert same_rows(jobs.retained_points(spark, f"{folder}/out"), series.retain_last_n(as_points(events), 30))
+    run_twice(lambda: jobs.stream_retain_last_n(as_points(stream(spark, events, path)), f"{folder}/cp", n=30), add)
+    assert same_rows(jobs.retained_points(spark, f"{folder}/cp", 30), series.retain_last_n(as_points(events), 30))
+    held = spark.read.format("statestore").option("stateVarName", "points").load(f"{folder}/cp")
+    assert held.groupBy("key").count().agg(F.max("count")).first()[0] <= 30
+
+
+def test_retention_with_nulls_and_ties(spark, folder):
+    """Null keys, times and ids are kept by the batch operator's order, in any order of arrival."""
+    kinds = "key string, value double, ts timestamp_ntz, id bigint"
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s, 5)
+    rows = [("a", 1.0, at(3), 1), ("a", None, at(3), 2), ("a", 3.0, None, 3), (None, 4.0, at(1), None), (None, 5.0, at(2), 2**60 + 1), ("b", 6.0, None, None)]
+    for part in (rows[3:], rows[:3]):
+        literal_table(spark, part, kinds).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_retain_last_n(source, f"{folder}/cp", n=1).awaitTermination()
+    assert same_rows(jobs.retained_points(spark, f"{folder}/cp", 1), series.retain_last_n(literal_table(spark, rows, kinds), 1))
 
 
 def test_histogram(spark, events, source, folder):
@@ -66,7 +78,7 @@ def test_histogram(spark, events, source, folder):
         stream(spark, events, path), f"{folder}/out", f"{folder}/cp", "event_type", "value", bounds), add)
     batch = metrics.cumulative_histogram(events, "event_type", "value", bounds)
     exact = lambda df: df.withColumn("total_sum", F.round("total_sum", 4))
-    assert same_rows(exact(jobs.latest_version(spark, f"{folder}/out")), exact(batch))
+    assert same_rows(exact(jobs.current_histogram(spark, f"{folder}/out", bounds)), exact(batch))
 
 
 def test_lease_expiry(spark, events, source, folder):
@@ -77,7 +89,7 @@ def test_lease_expiry(spark, events, source, folder):
     last = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
     expected = governance.expire_leases(leases, last)
     assert same_rows(jobs.expired_leases(spark, f"{folder}/out").select(*expected.columns), expected)
-    active = jobs.running_leases(spark, f"{folder}/out")
+    active = jobs.running_leases(spark, f"{folder}/cp")
     assert same_rows(active.select("lease_id"), leases.where(F.col("expire_time") > last).select("lease_id"))
 
 
@@ -90,9 +102,24 @@ def test_rejected_requests_move_the_clock(spark, folder):
     known = literal_table(spark, [("r", "db", 60, 3600)], "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint")
     source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     jobs.stream_lease_expiry(source, known, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    ended = spark.read.parquet(f"{folder}/out/expired").select("batch_id", "lease_id").collect()
-    assert sorted(tuple(r) for r in ended) == [(1, 1), (2, 3)]
-    assert [r["lease_id"] for r in jobs.running_leases(spark, f"{folder}/out").collect()] == [5]
+    ended = jobs.expired_leases(spark, f"{folder}/out")
+    assert sorted(r["lease_id"] for r in ended.collect()) == [1, 3]
+    assert [tuple(r) for r in jobs.running_leases(spark, f"{folder}/cp").collect()] == [(5, "r", "db", at(3), at(3, 10), 600)]
+
+
+def test_lease_ends_at_the_millisecond(spark, folder):
+    """A lease ending with the stream's time is over, one ending a millisecond later is not; copies and null ids count."""
+    kinds = "lease_id bigint, role string, requested_ttl bigint, issue_time timestamp_ntz"
+    at = lambda m, us=0: dt.datetime(2024, 1, 1, 1, m, 0, us)
+    rows = [(2**60 + 1, "r", 60, at(0)), (2, "r", 60, at(0, 1000)), (None, "r", 60, at(0)), (None, "r", 60, at(0)), (4, "r", 60, None)]
+    for part in (rows, [(9, "gone", 60, at(1))]):
+        literal_table(spark, part, kinds).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    known = literal_table(spark, [("r", "db", 60, 3600)], "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint")
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_lease_expiry(source, known, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    ended = [r["lease_id"] for r in jobs.expired_leases(spark, f"{folder}/out").collect()]
+    assert sorted(ended, key=str) == [2**60 + 1, None, None]
+    assert [r["lease_id"] for r in jobs.running_leases(spark, f"{folder}/cp").collect()] == [2]
 
 
 def test_tumbling_windows(spark, events, source, folder):
