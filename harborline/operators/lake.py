@@ -87,6 +87,12 @@ def orphan_manifests(classified: DataFrame, manifest: str = "manifest_list") ->
     )
 
 
+def orphan_manifests_by_table(classified: DataFrame, manifest: str = "manifest_list") -> DataFrame:
+    """``table_name`` and manifest where all of the table's snapshots that use it are expired."""
+    used = classified.groupBy("table_name", manifest).agg(F.bool_and("expired").alias("__all"))
+    return used.where("__all").drop("__all")
+
+
 def orphan_files(listed: DataFrame, referenced: DataFrame, path: str = "path") -> DataFrame:
     """Listed files no retained manifest refers to.  References are made unique before the shuffle."""
     return listed.join(referenced.select(path).distinct(), path, "left_anti")
@@ -115,7 +121,8 @@ def cleanup_by_table(
 ) -> DataFrame:
     """Clean-up per table: snapshots by fate, files and bytes reclaimed, manifests dropped, last version.
 
-    ``classified`` has ``version``; ``orphans`` and ``manifests`` have ``table_name``.
+    ``classified`` has ``version``; ``orphans`` and ``manifests`` have ``table_name``.  A null name is a
+    table like any other.
     """
     snapshots = classified.groupBy("table_name").agg(
         F.count_if("expired").alias("expired_snapshots"), F.count_if(~F.col("expired")).alias("retained_snapshots"),
@@ -123,7 +130,10 @@ def cleanup_by_table(
     )
     files = orphans.groupBy("table_name").agg(F.count(F.lit(1)).alias("orphan_files"), F.sum(length).alias("reclaimed_bytes"))
     dropped = manifests.groupBy("table_name").agg(F.count(F.lit(1)).alias("deleted_manifests"))
-    joined = snapshots.join(files, "table_name", "left").join(dropped, "table_name", "left")
+    joined = snapshots
+    for part in (files, dropped):
+        renamed = part.withColumnRenamed("table_name", "__table")
+        joined = joined.join(renamed, F.col("table_name").eqNullSafe(F.col("__table")), "left").drop("__table")
     return joined.na.fill(0, ["orphan_files", "reclaimed_bytes", "deleted_manifests"])
 
 

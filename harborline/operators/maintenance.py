@@ -1,343 +1,198 @@
-"""A lake table on plain Parquet: append, read, compact, expire.
+"""Maintenance jobs on partitioned Parquet: append, read by manifest, compact in place, clean up.
 
-Layout below ``location``::
-
-    data/commit_id=<n>/dt=<value>/part-*.parquet
-    metadata/snapshots      one row per commit; appended last, this is what publishes a commit
-    metadata/manifest_log   one ``add`` or ``remove`` row per file and commit
-    metadata/expired        ids of expired snapshots
-
-All metadata is appended, never rewritten.  A file is live in a snapshot if the latest log entry up
-to it is an ``add``; so each snapshot has its parent's files plus added minus removed ones without
-copying the whole list.  Log entries of a commit that was not published are ignored.  There is no
-commit lock: one writer at a time.
+A table is a folder ``path`` of Parquet files partitioned by one column.  Its history is two plain
+tables that the caller keeps wherever it likes, with the columns of ``SNAPSHOT_SCHEMA`` and
+``MANIFEST_SCHEMA``: a snapshot per change, and for each snapshot all files the table then had.  The
+functions here take such tables, do the file work as Spark jobs and return the rows to append.  There is no lock: one writer at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.operators import lake
-from harborline.operators.ordered import asof_join, running, with_group_columns
+from harborline.operators.ordered import running, with_group_columns
 from harborline.session import literal_table, stage
-from harborline.sources.files import delete_files, list_files
+from harborline.sources.files import delete_files, list_files, parquet_footers
 
 SNAPSHOT_SCHEMA = (
-    "table_name string, snapshot_id bigint, parent_snapshot_id bigint, version bigint, "
-    "committed_at timestamp, operation string, added_records bigint, added_data_files bigint, "
-    "summary map<string,string>, schema_json string"
-)
-LOG_SCHEMA = (
-    "table_name string, snapshot_id bigint, action string, file_path string, dt string, "
-    "record_count bigint, file_size bigint"
+    "table_name string, snapshot_id bigint, parent_snapshot_id bigint, version bigint, committed_at timestamp, "
+    "operation string, added_records bigint, added_data_files bigint, manifest_list string"
 )
+MANIFEST_SCHEMA = "table_name string, snapshot_id bigint, file_path string, record_count bigint, file_size bigint, dt string"
 
-
-class NothingToCompact(ValueError):
-    """No partition has two small files."""
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass(frozen=True)
 class Cleanup:
-    """Long tables of one clean-up, and its one-row report."""
+    """Long tables of one clean-up, and its report per table."""
 
     classified: DataFrame
+    manifests: DataFrame
     outcomes: DataFrame
     report: DataFrame
 
 
-def warehouse_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshots of all tables that lie directly below ``root``; feed for ``lake.list_tables``."""
-    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{root.rstrip('/')}/*/metadata/snapshots")
-
+def _decoded(text: Column) -> Column:
+    """A path's text without ``%`` escapes; a plus is a plus."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
-class LakeTable:
-    def __init__(self, spark: SparkSession, name: str, location: str):
-        self.spark, self.name, self.location = spark, name, location.rstrip("/")
-        self.data = f"{self.location}/data"
 
-    # -- metadata ---------------------------------------------------------------------------
+def table_files(spark: SparkSession, path: str, partition: str = "dt") -> DataFrame:
+    """``file_path, file_size, record_count, dt`` of every file now below ``path``, from listing and footers.
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.location}/metadata/{part}")
-        except AnalysisException as err:
-            if err.getCondition() == "PATH_NOT_FOUND":
-                return literal_table(self.spark, [], schema)
+    ``dt`` is the partition's value as text, null where rows have none.  A missing folder has no files.
+    """
+    try:
+        listed = list_files(spark, path, "*.parquet")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
             raise
-
-    def _append(self, part: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.location}/metadata/{part}")
-
-    def snapshots(self) -> DataFrame:
-        expired = self._read("expired", "snapshot_id bigint")
-        return self._read("snapshots", SNAPSHOT_SCHEMA).join(expired, "snapshot_id", "left_anti")
-
-    def _snapshot(self, version: int | None) -> T.Row:
-        """Row of a version that is published and not expired, or of the current one."""
-        found = self.current() if version is None else self.snapshots().where(F.col("version") == version).first()
-        if found is None:
-            what = "no snapshot" if version is None else f"no version {version}, or it has expired"
-            raise LookupError(f"table '{self.name}' has {what}")
-        return found
-
-    def current(self) -> T.Row | None:
-        """Row of the current snapshot."""
-        return self._read("snapshots", SNAPSHOT_SCHEMA).orderBy(F.col("version").desc()).first()
-
-    def detail(self) -> tuple[DataFrame, DataFrame]:
-        """The current snapshot's row, and its files."""
-        head = self.current()
-        if head is None:
-            raise LookupError(f"table '{self.name}' has no snapshot")
-        return self.snapshots().where(F.col("snapshot_id") == head["snapshot_id"]), self.live_files()
-
-    def _published_log(self) -> DataFrame:
-        versions = self._read("snapshots", SNAPSHOT_SCHEMA).select("snapshot_id", "version")
-        return self._read("manifest_log", LOG_SCHEMA).join(versions, "snapshot_id")
-
-    def live_files(self, version: int | None = None) -> DataFrame:
-        """Files of the current or of the given version."""
-        log = self._published_log()
-        if version is not None:
-            log = log.where(F.col("version") <= version)
-        rest = ["table_name", "action", "dt", "record_count", "file_size"]
-        return (
-            log.groupBy("file_path")
-            .agg(F.max_by(F.struct(*rest), "version").alias("f"))
-            .where("f.action = 'add'")
-            .select("f.table_name", "file_path", "f.dt", "f.record_count", "f.file_size")
-        )
-
-    # -- reading ----------------------------------------------------------------------------
-
-    def _scan(self, commits: list[str], schema_json: str) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(schema_json))
-        return (
-            self.spark.read.schema(schema).option("basePath", self.data)
-            .parquet(*[f"{self.data}/commit_id={c}" for c in commits])
-        )
-
-    def _commit_states(self, version: int | None) -> list[T.Row]:
-        """Per commit, whether all of its files are still live.  One row per commit, not per file."""
-        commit = F.regexp_extract("file_path", "/commit_id=([0-9]+)/", 1).alias("commit")
-        live = self.live_files(version).groupBy(commit).agg(F.count(F.lit(1)).alias("live"))
-        written = (
-            self._published_log().where("action = 'add'").groupBy(commit)
-            .agg(F.count(F.lit(1)).alias("written"))
-        )
-        return (
-            live.join(written, "commit")
-            .select("commit", (F.col("live") == F.col("written")).alias("whole")).collect()
+        return literal_table(spark, [], "file_path string, file_size bigint, record_count bigint, dt string")
+    value = F.regexp_extract(F.col("path"), f"/{partition}=([^/]*)/[^/]*$", 1)
+    # Escaped once by the partition writer and once as a URI.
+    text = _decoded(_decoded(value))
+    return parquet_footers(listed.select("path", "length")).select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size"), "record_count",
+        F.when(text != _NO_VALUE, text).alias("dt"),
+    )
+
+
+def append_rows(rows: DataFrame, path: str, partition: str = "dt") -> None:
+    """Add ``rows`` to the table's files, which are left as they are."""
+    if partition not in rows.columns:
+        raise ValueError(f"rows need a {partition} column")
+    rows.write.mode("append").partitionBy(partition).parquet(path)
+
+
+def manifest(files: DataFrame, table_name: str, snapshot_id: int) -> DataFrame:
+    """Rows of ``MANIFEST_SCHEMA``: the files of a snapshot."""
+    return files.select(
+        F.lit(table_name).alias("table_name"), F.lit(snapshot_id).cast("bigint").alias("snapshot_id"), "file_path", "record_count", "file_size", "dt"
+    )
+
+
+def snapshot(
+    files: DataFrame, parent: DataFrame, snapshots: DataFrame, table_name: str, snapshot_id: int, operation: str, now: dt.datetime
+) -> DataFrame:
+    """The row of ``SNAPSHOT_SCHEMA`` for a table that now has ``files``.
+
+    ``parent`` holds the files of the snapshot before; what it lacks was added.  The version follows
+    the latest of ``snapshots``.
+    """
+    added = files.join(parent.select("file_path"), "file_path", "left_anti")
+    last = snapshots.where(F.col("table_name") == table_name).agg(
+        F.max("version").alias("version"), F.max_by("snapshot_id", "version").alias("id")
+    ).select(F.struct("*")).scalar()
+    return added.agg(
+        F.coalesce(F.sum("record_count"), F.lit(0)).alias("added_records"), F.count(F.lit(1)).alias("added_data_files")
+    ).select(
+        F.lit(table_name).alias("table_name"), F.lit(snapshot_id).cast("bigint").alias("snapshot_id"), last["id"].alias("parent_snapshot_id"),
+        (F.coalesce(last["version"], F.lit(0)) + 1).alias("version"), F.lit(now).cast("timestamp").alias("committed_at"),
+        F.lit(operation).alias("operation"), "added_records", "added_data_files", F.lit(f"{table_name}/{snapshot_id}").alias("manifest_list"),
+    )
+
+
+def read_files(spark: SparkSession, path: str, files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of those files of the table that a manifest lists, with the given columns.
+
+    A semi join on the files' paths, so that a manifest of any size stays a table; columns that older
+    files lack are null.
+    """
+    scan = spark.read.schema(schema).parquet(path).withColumn("__file", F.col("_metadata.file_path"))
+    return scan.join(files.select("file_path"), F.col("__file") == F.col("file_path"), "left_semi").select(*schema.names)
+
+
+def compaction_plan(
+    files: DataFrame, threshold: int = lake.SMALL_FILE_BYTES, target: int = lake.TARGET_FILE_BYTES
+) -> DataFrame:
+    """``file_path``, ``dt`` and output ``bin`` of every file in the partitions that :func:`lake.compaction_groups` picks.
+
+    Bins are numbered through all partitions.  Small files share the bins of their partition by running size, so files
+    stay in order and a bin holds about ``target`` bytes; each larger file has a bin of its own.
+    """
+    keys = ["table_name", "dt"]
+    groups = stage(lake.compaction_groups(files, threshold, target), "compaction-groups")
+    chosen = with_group_columns(files.select(*keys, "file_path", "file_size"), groups, keys)
+    small = F.col("file_size") < threshold
+    bytes_of = F.when(small, F.col("file_size")).otherwise(F.lit(0))
+    sized = running(
+        chosen, keys, ["file_path"],
+        {"__end": ("sum", bytes_of), "__large": ("sum", F.when(small, 0).otherwise(1).cast("bigint"))},
+    )
+    place = F.floor((F.col("__end") - F.col("file_size")) * F.col("bins") / F.col("small_bytes"))
+    of_partition = F.when(small, F.least(place, F.col("bins") - 1)).otherwise(F.col("bins") + F.col("__large") - 1)
+    # Staged: bins, rows and files are all counted from it.
+    placed = stage(sized.select(*keys, "file_path", "file_size", of_partition.cast("bigint").alias("__place")), "compaction-places")
+    ends = placed.groupBy(*keys).agg((F.max("__place") + 1).alias("__bins"))
+    firsts = running(ends, [], keys, {"__upto": ("sum", F.col("__bins"))}).select(*keys, (F.col("__upto") - F.col("__bins")).alias("__first"))
+    return with_group_columns(placed, firsts, keys).select(
+        *keys, "file_path", "file_size", (F.col("__first") + F.col("__place")).cast("int").alias("bin")
+    )
+
+
+def compact_partitions(
+    spark: SparkSession, path: str, files: DataFrame, schema: T.StructType, table_name: str = "", partition: str = "dt",
+    threshold: int = lake.SMALL_FILE_BYTES, target: int = lake.TARGET_FILE_BYTES,
+) -> DataFrame:
+    """Rewrite the partitions that have two or more small files, in place; returns the report per partition.
+
+    ``files`` are the table's files (:func:`table_files`).  Every bin goes to one task, in the order of files and of rows within
+    them, and becomes one file.  The write replaces exactly the partitions it has rows of (dynamic
+    overwrite): Spark writes new files beside the table and moves them in when all tasks are done, so
+    lost tasks are repeated and a failed job changes nothing.  Readers of the old files must be done.
+    The report counts what was really written; without such partitions nothing is written and it is empty.
+    """
+    known = stage(files.withColumn("table_name", F.lit(table_name)), "compaction-files")
+    plan = stage(compaction_plan(known, threshold, target), "compaction-plan")
+    bins = plan.agg(F.max("bin") + 1).first()[0]
+    if bins:
+        scan = (
+            spark.read.schema(schema).parquet(path)
+            .withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index"))
         )
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a snapshot, with the columns the table had then.
-
-        A version that was never published or has expired is a ``LookupError``.
-        Commits whose files are all live are read as folders; in commits that lost files to a
-        compaction, rows are kept by a semi join on their file's path.
-        """
-        head = self._snapshot(version)
-        states = self._commit_states(version)
-        whole = [s["commit"] for s in states if s["whole"]]
-        partial = [s["commit"] for s in states if not s["whole"]]
-        parts = []
-        schema = T.StructType.fromJson(json.loads(head["schema_json"]))
-        if whole:
-            parts.append(self._scan(whole, head["schema_json"]).select(*schema.names))
-        if partial:
-            live = self.live_files(version).select("file_path")
-            parts.append(
-                self._scan(partial, head["schema_json"])
-                .withColumn("__file", F.col("_metadata.file_path"))
-                .join(live, F.col("__file") == F.col("file_path"), "left_semi")
-                .select(*schema.names)
-            )
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    # -- writing ----------------------------------------------------------------------------
-
-    def _written_files(self, commit: int, schema: T.StructType) -> DataFrame:
-        """Row count and size of each file of a new commit; no data column is read."""
-        return (
-            self.spark.read.schema(schema).option("basePath", self.data)
-            .parquet(f"{self.data}/commit_id={commit}")
-            .groupBy(
-                F.col("_metadata.file_path").alias("file_path"), F.col("dt").cast("string").alias("dt"),
-                F.col("_metadata.file_size").alias("file_size"),
-            )
-            .agg(F.count(F.lit(1)).alias("record_count"))
-        )
-
-    def _publish(
-        self, commit: int, schema: T.StructType, operation: str, now: dt.datetime,
-        removed: DataFrame | None = None, extra: dict[str, str] | None = None,
-    ) -> DataFrame:
-        head = self.current()
-        added = stage(self._written_files(commit, schema), "manifest")
-        log = added.withColumn("action", F.lit("add"))
-        if removed is not None:
-            log = log.unionByName(removed.select("file_path", "dt", "file_size", "record_count")
-                                  .withColumn("action", F.lit("remove")))
-        self._append(
-            "manifest_log",
-            log.select(
-                F.lit(self.name).alias("table_name"), F.lit(commit).cast("bigint").alias("snapshot_id"),
-                "action", "file_path", "dt", "record_count", "file_size",
-            ),
-        )
-        totals = added.agg(
-            F.coalesce(F.sum("record_count"), F.lit(0)).alias("r"), F.count(F.lit(1)).alias("f")
-        ).first()
-        summary = {
-            "operation": operation, "added-records": str(totals["r"]),
-            "added-data-files": str(totals["f"]), **(extra or {}),
-        }
-        row = (
-            self.name, commit, head["snapshot_id"] if head else None,
-            (head["version"] if head else 0) + 1, now, operation, totals["r"], totals["f"],
-            list(summary.items()), schema.json(),
-        )
-        snapshot = literal_table(self.spark, [row], SNAPSHOT_SCHEMA)
-        self._append("snapshots", snapshot)
-        return snapshot
-
-    def append(self, rows: DataFrame, now: dt.datetime) -> DataFrame:
-        """Write ``rows`` (with a ``dt`` column) as a new snapshot; returns its row."""
-        if "dt" not in rows.columns:
-            raise ValueError("rows need a dt column")
-        schema = self._merged_schema(rows.schema)
-        commit = time.time_ns()
-        rows.write.partitionBy("dt").parquet(f"{self.data}/commit_id={commit}")
-        return self._publish(commit, schema, "append", now)
-
-    def _merged_schema(self, new: T.StructType) -> T.StructType:
-        """The table's columns and then new ones, which older files lack and so are null there.
-
-        Columns keep their type, and none may be missing from the new rows.
-        """
-        head = self.current()
-        if head is None:
-            return new
-        old = T.StructType.fromJson(json.loads(head["schema_json"]))
-        given = {f.name: f for f in new.fields}
-        for f in old.fields:
-            if f.name not in given:
-                raise ValueError(f"rows lack the table's column '{f.name}'")
-            if given[f.name].dataType != f.dataType:
-                raise ValueError(
-                    f"column '{f.name}' is {f.dataType.simpleString()}, not {given[f.name].dataType.simpleString()}"
-                )
-        added = [T.StructField(f.name, f.dataType, True) for f in new.fields if f.name not in old.names]
-        return T.StructType([*old.fields, *added])
-
-    def compact(
-        self, now: dt.datetime, threshold: int = lake.SMALL_FILE_BYTES,
-        target: int = lake.TARGET_FILE_BYTES,
-    ) -> DataFrame:
-        """Rewrite small files per partition into files of about ``target`` bytes.
-
-        Whole files go to the bins of their partition by running size, so that rows keep their order,
-        a partition holding most of the data is written by many tasks, and a retried task sees the
-        same rows.  Inputs are dropped from the new snapshot only; :meth:`clean` removes
-        them once no retained snapshot needs them.
-        """
-        head = self.current()
-        if head is None:
-            raise LookupError(f"table '{self.name}' has no snapshot")
-        files = stage(lake.small_files(self.live_files(), threshold, target), "small-files")
-        groups = stage(
-            running(
-                lake.compaction_groups(files, threshold, target), [], ["table_name", "dt"],
-                {"__upto": ("sum", F.col("bins").cast("bigint"))},
-            ).withColumn("first_bin", F.col("__upto") - F.col("bins")).drop("__upto"),
-            "groups",
-        )
-        bins = groups.agg(F.sum("bins")).first()[0]
-        if not bins:
-            raise NothingToCompact("no partition has two files below the threshold")
-        sized = running(
-            files.select("file_path", "table_name", "dt", "file_size"), ["table_name", "dt"], ["file_path"],
-            {"__end": ("sum", F.col("file_size")), "__all": ("group_sum", F.col("file_size"))},
-        )
-        place = F.floor((F.col("__end") - F.col("file_size")) * F.col("bins") / F.col("__all"))
-        plan = with_group_columns(sized, groups.select("table_name", "dt", "bins", "first_bin"), ["table_name", "dt"]).select(
-            "file_path", (F.col("first_bin") + F.least(place, F.col("bins") - 1)).cast("int").alias("__bin")
-        )
-        commits = [
-            r[0] for r in files.select(
-                F.regexp_extract("file_path", "/commit_id=([0-9]+)/", 1)).distinct().collect()
-        ]
-        schema = T.StructType.fromJson(json.loads(head["schema_json"]))
-        rows = (
-            self._scan(commits, head["schema_json"])
-            .where(F.col("_metadata.file_size") < threshold)
-            .withColumn("__file", F.col("_metadata.file_path"))
-            .withColumn("__row", F.col("_metadata.row_index"))
-            .join(plan, F.col("__file") == F.col("file_path"))
-        )
-        commit = time.time_ns()
+        # The partition is joined as well, so that other partitions are not read.
+        wanted = plan.select("file_path", F.col("bin").alias("__bin"), F.col("dt").cast(schema[partition].dataType).alias("__dt"))
+        rows = scan.join(wanted, (F.col("__file") == F.col("file_path")) & F.col(partition).eqNullSafe(F.col("__dt")))
         (
-            rows.repartitionById(int(bins), F.col("__bin"))
-            .sortWithinPartitions("dt", "__file", "__row")
-            .select(*schema.names)
-            .write.partitionBy("dt").parquet(f"{self.data}/commit_id={commit}")
-        )
-        self._publish(
-            commit, schema, "replace", now, removed=files,
-            extra={"replace-mode": "compaction", "compacted-files-count": str(files.count())},
-        )
-        written = self._published_log().where((F.col("snapshot_id") == commit) & (F.col("action") == "add"))
-        return lake.compaction_report(groups, written).withColumn("new_snapshot_id", F.lit(commit))
-
-    # -- clean-up ---------------------------------------------------------------------------
-
-    def _referenced(self, retained: DataFrame) -> DataFrame:
-        """Files live in at least one retained version.
-
-        A file is live from the version adding it up to the one removing it; it is referenced if
-        the latest retained version before its removal is not older than its addition.
-        """
-        still_live = 1 << 62
-        spans = (
-            self._published_log().groupBy("table_name", "file_path")
-            .agg(
-                F.min(F.when(F.col("action") == "add", F.col("version"))).alias("added"),
-                (F.coalesce(F.max(F.when(F.col("action") == "remove", F.col("version"))), F.lit(still_live)) - 1)
-                .alias("last_version"),
-            )
+            rows.repartitionById(int(bins), F.col("__bin")).sortWithinPartitions("__bin", "__file", "__row").select(*schema.names)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         )
-        seen = retained.select("table_name", "version", F.col("version").alias("seen_version"))
-        matched = asof_join(spans, seen, ["table_name"], "last_version", "version", ["seen_version"])
-        return matched.where(F.col("seen_version") >= F.col("added")).select("file_path")
-
-    def clean(
-        self, now: dt.datetime, retain_last_n: int, max_age: dt.timedelta, apply: bool = False
-    ) -> Cleanup:
-        """Expire snapshots and find, or with ``apply`` delete, the files none of the others needs."""
-        cutoff = F.lit(now - max_age)
-        classified = stage(lake.classify_snapshots(self.snapshots(), retain_last_n, cutoff), "classified")
-        retained = classified.where(~F.col("expired"))
-        try:
-            listed = list_files(self.spark, self.data, "*.parquet")
-        except AnalysisException:
-            listed = self.spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
-        referenced = self._referenced(retained).withColumnRenamed("file_path", "path")
-        # Written down before anything is deleted: a listing taken later would differ.
-        orphans = stage(lake.orphan_files(listed, referenced), "orphans")
-        if apply:
-            self._append("expired", classified.where("expired").select("snapshot_id"))
-        outcomes = stage(delete_files(orphans, dry_run=not apply), "outcomes")
-        done = orphans.join(outcomes.where("outcome IN ('deleted', 'absent', 'planned')"), "path")
-        return Cleanup(classified, outcomes, lake.cleanup_report(classified, done))
+    # Staged: the folder may change again before the report is read.
+    now = stage(table_files(spark, path, partition).withColumn("table_name", F.lit(table_name)), "compaction-written")
+    written = now.join(known.select("file_path"), "file_path", "left_anti")
+    groups = plan.groupBy("table_name", "dt").agg(F.count(F.lit(1)).alias("small_files"), F.sum("file_size").alias("small_bytes"))
+    return lake.compaction_report(groups, written)
+
+
+def clean_up(
+    spark: SparkSession, path: str, snapshots: DataFrame, manifests: DataFrame, table_name: str,
+    retain_last_n: int, cutoff: dt.datetime, apply: bool = False,
+) -> Cleanup:
+    """Find, or with ``apply`` delete, the files that no retained snapshot of the table at ``path`` has.
+
+    These are files below ``path`` and files of expired manifests, for instance inputs of a
+    compaction; one that is gone already counts as done, but not its bytes.  Manifests that only
+    expired snapshots use are listed, for the caller to drop with the expired rows.
+    """
+    own = F.col("table_name") == table_name
+    classified = stage(lake.classify_snapshots(snapshots.where(own), retain_last_n, F.lit(cutoff).cast("timestamp")), "classified")
+    fate = classified.select("snapshot_id", "expired")
+    listed = manifests.where(own).join(fate, "snapshot_id").select(F.col("file_path").alias("path"), F.col("file_size").alias("length"), "expired")
+    now = table_files(spark, path).select(F.col("file_path").alias("path"), F.col("file_size").alias("length"))
+    known = now.unionByName(listed.where("expired").drop("expired")).groupBy("path").agg(F.max("length").alias("length"))
+    # Written down before anything is deleted: a listing taken later would differ.
+    doomed = stage(lake.orphan_files(known, listed.where(~F.col("expired"))), "orphans")
+    outcomes = stage(delete_files(doomed, dry_run=not apply), "outcomes")
+    done = doomed.join(outcomes.where("outcome IN ('deleted', 'absent', 'planned')"), "path").select(
+        F.lit(table_name).alias("table_name"), F.when(F.col("outcome") == "absent", 0).otherwise(F.col("length")).alias("length")
+    )
+    dropped = lake.orphan_manifests(classified).withColumn("table_name", F.lit(table_name))
+    return Cleanup(classified, dropped, outcomes, lake.cleanup_by_table(classified, done, dropped))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from harborline.operators import lake
-from harborline.operators.maintenance import LakeTable
+from harborline.operators import lake, maintenance
 from harborline.plans.registry import Tables, query
-from harborline.session import new_folder
+from harborline.session import literal_table, new_folder, stage
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -72,15 +72,59 @@ def l2_table_detail(t: Tables):
     return lake.table_detail(snapshots, files).drop("committed_at")
 
 
-def _event_table(t: Tables, *conditions: str) -> LakeTable:
-    """Events appended in one commit per condition on ``part``, the remainder of the event's number."""
-    lake_table = LakeTable(t.spark, "warehouse.events", new_folder(t.spark, "lake"))
-    rows = t.events.withColumn("dt", F.date_format("ts", "yyyy-MM-dd")).withColumn(
-        "part", F.coalesce(F.col("event_id"), F.lit(0)) % len(conditions)
-    )
-    for i, condition in enumerate(conditions):
-        lake_table.append(rows.where(condition).drop("part"), NOW + dt.timedelta(days=i))
-    return lake_table
+class EventTable:
+    """Events in a partitioned folder, with snapshots and manifests as plain tables beside it."""
+
+    name = "warehouse.events"
+
+    def __init__(self, t: Tables):
+        self.spark, self.base = t.spark, new_folder(t.spark, "lake")
+        self.path = f"{self.base}/data"
+        self.rows = t.events.withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
+        self.schema = self.rows.schema
+
+    def _read(self, part: str, schema: str):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{part}")
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return literal_table(self.spark, [], schema)
+
+    def snapshots(self):
+        return self._read("snapshots", maintenance.SNAPSHOT_SCHEMA)
+
+    def manifests(self):
+        return self._read("manifests", maintenance.MANIFEST_SCHEMA)
+
+    def commit(self, number: int, operation: str) -> None:
+        """Note the files that are there now as snapshot ``number``; the snapshot's row comes last."""
+        files = stage(maintenance.table_files(self.spark, self.path), "commit-files")
+        parent = self.manifests().where(F.col("snapshot_id") == number - 1)
+        row = maintenance.snapshot(files, parent, self.snapshots(), self.name, number, operation, NOW + dt.timedelta(days=number))
+        noted = stage(row, "commit-snapshot")
+        maintenance.manifest(files, self.name, number).write.mode("append").parquet(f"{self.base}/manifests")
+        noted.write.mode("append").parquet(f"{self.base}/snapshots")
+
+    def append(self, *conditions: str) -> EventTable:
+        """One commit per condition on ``part``, the remainder of the event's number."""
+        numbered = self.rows.withColumn("part", F.coalesce(F.col("event_id"), F.lit(0)) % len(conditions))
+        for i, condition in enumerate(conditions):
+            maintenance.append_rows(numbered.where(condition).drop("part"), self.path)
+            self.commit(i + 1, "append")
+        return self
+
+    def files(self, number: int):
+        return self.manifests().where(F.col("snapshot_id") == number)
+
+    def read(self, number: int):
+        return maintenance.read_files(self.spark, self.path, self.files(number), self.schema)
+
+    def compact(self, number: int, **sizes: int):
+        known = stage(maintenance.table_files(self.spark, self.path), "before")
+        report = maintenance.compact_partitions(self.spark, self.path, known, self.schema, self.name, **sizes)
+        self.commit(number, "replace")
+        return report
 
 
 @query(
@@ -92,7 +136,7 @@ def _event_table(t: Tables, *conditions: str) -> LakeTable:
     """,
 )
 def l3_append_snapshot(t: Tables):
-    snapshots = _event_table(t, "part = 0", "part = 1").snapshots()
+    snapshots = EventTable(t).append("part = 0", "part = 1").snapshots()
     return snapshots.select(
         "version", "operation", "added_records",
         (F.col("parent_snapshot_id").isNull() == (F.col("version") == 1)).alias("first_has_no_parent"),
@@ -124,12 +168,12 @@ def l4_snapshot_summary(t: Tables):
     """,
 )
 def l5_read_snapshot(t: Tables):
-    lake_table = _event_table(t, "part = 0", "part = 1")
+    events = EventTable(t).append("part = 0", "part = 1")
 
-    def totals(version):
-        return lake_table.read(version).groupBy("event_type").agg(
+    def totals(number):
+        return events.read(number).groupBy("event_type").agg(
             F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")
-        ).select(F.lit(version).cast("bigint").alias("version"), "event_type", "n", "ids")
+        ).select(F.lit(number).cast("bigint").alias("version"), "event_type", "n", "ids")
 
     return totals(1).union(totals(2))
 
@@ -172,6 +216,33 @@ def l9_cleanup_report(t: Tables):
     return lake.cleanup_report(classified(t), orphans(t))
 
 
+@query(
+    "l9_cleanup_by_table",
+    f"""
+    WITH snapshots AS (
+        SELECT user_id AS table_name, count(*) FILTER (WHERE expired) AS expired_snapshots,
+               count(*) FILTER (WHERE NOT expired) AS retained_snapshots, max(event_id) AS metadata_version
+        FROM ({_CLASSIFIED}) GROUP BY user_id),
+    manifests AS (
+        SELECT user_id AS table_name, count(*) AS deleted_manifests FROM (
+            SELECT user_id, manifest_list FROM ({_CLASSIFIED}) GROUP BY ALL HAVING bool_and(expired)) GROUP BY user_id),
+    files AS (
+        SELECT o_custkey AS table_name, count(*) AS orphan_files, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS reclaimed_bytes
+        FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY o_custkey)
+    SELECT s.table_name, expired_snapshots, retained_snapshots, metadata_version, coalesce(orphan_files, 0) AS orphan_files,
+           coalesce(reclaimed_bytes, 0) AS reclaimed_bytes, coalesce(deleted_manifests, 0) AS deleted_manifests
+    FROM snapshots s LEFT JOIN files f ON f.table_name IS NOT DISTINCT FROM s.table_name
+    LEFT JOIN manifests m ON m.table_name IS NOT DISTINCT FROM s.table_name
+    """,
+)
+def l9_cleanup_by_table(t: Tables):
+    """Users as tables: their events as snapshots, their orders without items as orphan files."""
+    snapshots = classified(t).withColumn("version", F.col("snapshot_id"))
+    lost = t.orders.select(F.col("o_custkey").alias("table_name"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("length"))
+    unused = lake.orphan_files(lost, t.lineitem.select(F.col("l_orderkey").alias("path")))
+    return lake.cleanup_by_table(snapshots, unused, lake.orphan_manifests_by_table(snapshots))
+
+
 _SMALL = """
 SELECT o_orderdate AS dt, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS b
 FROM orders WHERE floor(o_totalprice) < 100000 GROUP BY o_orderdate HAVING count(*) >= 2
@@ -201,47 +272,52 @@ def l10_small_files(t: Tables):
 )
 def l11_compact(t: Tables):
     """Rows and files per partition after compacting three commits; every row is still there once."""
-    lake_table = _event_table(t, "part = 0", "part = 1", "part = 2")
-    lake_table.compact(NOW + dt.timedelta(days=5))
-    files = lake_table.live_files().groupBy("dt").agg(F.count(F.lit(1)).alias("files"))
-    return lake_table.read().groupBy("dt").agg(
+    events = EventTable(t).append("part = 0", "part = 1", "part = 2")
+    events.compact(4)
+    files = events.files(4).groupBy(F.col("dt").alias("file_dt")).agg(F.count(F.lit(1)).alias("files"))
+    return events.read(4).groupBy("dt").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
-    ).join(files.withColumnRenamed("dt", "file_dt"), F.col("dt").eqNullSafe(F.col("file_dt"))).drop("file_dt")
+    ).join(files, F.col("dt").eqNullSafe(F.col("file_dt"))).drop("file_dt")
 
 
 @query(
     "l12_compaction_report",
-    f"""
-    SELECT dt, n AS files_merged, b AS original_bytes, CAST(bins AS BIGINT) AS new_files,
-           CAST((b // bins) * bins AS BIGINT) AS compacted_bytes
-    FROM (SELECT *, CAST(greatest(1, ceil(b / 250000.0)) AS BIGINT) AS bins FROM ({_SMALL}))
+    """
+    SELECT strftime(ts, '%Y-%m-%d') AS dt, count(DISTINCT coalesce(event_id, 0) % 3) AS files_merged, CAST(1 AS BIGINT) AS new_files,
+           true AS bytes_are_those_of_the_files
+    FROM events GROUP BY 1
     """,
 )
 def l12_compaction_report(t: Tables):
-    """Report over planned groups, with each output file taken to hold an even share of the bytes."""
-    groups = lake.compaction_groups(order_files(t), threshold=100_000, target=250_000)
-    written = groups.select(
-        "table_name", "dt", F.expr("small_bytes DIV bins").alias("file_size"),
-        F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("_"),
-    )
-    return lake.compaction_report(groups, written).drop("table_name")
+    """Report over files really written; its bytes are compared with the files listed before and after."""
+    events = EventTable(t).append("part = 0", "part = 1", "part = 2")
+    report = events.compact(4)
+
+    def bytes_in(number):
+        return events.files(number).groupBy(F.col("dt").alias(f"dt{number}")).agg(F.sum("file_size").alias(f"bytes{number}"))
+
+    both = report.join(bytes_in(3), F.col("dt").eqNullSafe(F.col("dt3"))).join(bytes_in(4), F.col("dt").eqNullSafe(F.col("dt4")))
+    same = (F.col("original_bytes") == F.col("bytes3")) & (F.col("compacted_bytes") == F.col("bytes4"))
+    return both.select("dt", "files_merged", "new_files", same.alias("bytes_are_those_of_the_files"))
 
 
 @query(
     "l11_clean_after_compaction",
     """
-    SELECT CAST(3 AS BIGINT) AS expired_snapshots, CAST(1 AS BIGINT) AS retained_snapshots, true AS only_inputs_deleted,
-           count(*) AS rows_kept FROM events
+    SELECT CAST(3 AS BIGINT) AS expired_snapshots, CAST(1 AS BIGINT) AS retained_snapshots, CAST(3 AS BIGINT) AS deleted_manifests,
+           true AS only_inputs_deleted, count(*) AS rows_kept FROM events
     """,
 )
 def l11_clean_after_compaction(t: Tables):
-    """Compaction inputs go once no retained snapshot needs them, and no row goes with them."""
-    lake_table = _event_table(t, "part = 0", "part = 1", "part = 2")
-    report = lake_table.compact(NOW + dt.timedelta(days=5)).agg(F.sum("files_merged")).first()[0]
-    done = lake_table.clean(NOW + dt.timedelta(days=9), 1, dt.timedelta(days=1), apply=True)
-    rows = lake_table.read().agg(F.count(F.lit(1)).alias("rows_kept"))
+    """Files and manifests of the snapshots before the compaction go, and no row goes with them."""
+    events = EventTable(t).append("part = 0", "part = 1", "part = 2")
+    merged = events.compact(4).agg(F.sum("files_merged")).first()[0]
+    done = maintenance.clean_up(
+        t.spark, events.path, events.snapshots(), events.manifests(), events.name, 1, NOW + dt.timedelta(days=8), apply=True
+    )
+    rows = t.spark.read.schema(events.schema).parquet(events.path).agg(F.count(F.lit(1)).alias("rows_kept"))
     return done.report.select(
-        "expired_snapshots", "retained_snapshots", (F.col("orphan_files") == report).alias("only_inputs_deleted"),
+        "expired_snapshots", "retained_snapshots", "deleted_manifests", (F.col("orphan_files") == merged).alias("only_inputs_deleted"),
         rows.scalar().alias("rows_kept"),
     )

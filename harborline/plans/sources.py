@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborline.plans.registry import Tables, query
-from harborline.session import new_folder
+from harborline.session import new_folder, stage
 from harborline.sources import files, tables
 
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in tables.TABLES)
@@ -37,7 +37,7 @@ def s3_write_parquet(t: Tables):
 
 @query("s4_parquet_summary", "SELECT 'lineitem.parquet' AS file_name, count(*) AS record_count FROM lineitem")
 def s4_parquet_summary(t: Tables):
-    return tables.parquet_summary(t.lineitem).select(
+    return tables.parquet_summary(t.spark, f"{t.root.rstrip('/')}/lineitem.parquet").select(
         F.substring_index("file_path", "/", -1).alias("file_name"), "record_count"
     )
 
@@ -87,22 +87,23 @@ def s8_read_text(t: Tables):
     )
 
 
-@query("s9_delete_files", "SELECT true AS all_deleted, true AS repeat_harmless, CAST(0 AS BIGINT) AS left_over FROM labels LIMIT 1")
+@query(
+    "s9_delete_files",
+    "SELECT CAST(quality AS VARCHAR) AS quality, CAST(1 AS BIGINT) AS deleted, CAST(1 AS BIGINT) AS absent_again FROM labels GROUP BY quality",
+)
 def s9_delete_files(t: Tables):
-    """A copy of ``labels`` is written, deleted, and deleted again as a retried task would."""
+    """A copy of ``labels``, one file per quality, is deleted, and deleted again as a retried task would."""
     path = new_folder(t.spark, "doomed")
-    tables.write_parquet(t.labels, path, partition_by=["quality"])
-    listed = tables.parquet_summary(t.spark.read.parquet(path)).select(F.col("file_path").alias("path"))
-    stored = new_folder(t.spark, "doomed-list")
-    listed.write.parquet(stored)
-    doomed = t.spark.read.parquet(stored)
-
-    def all_outcomes(wanted):
-        return files.delete_files(doomed, dry_run=False).agg(F.bool_and(F.col("outcome") == wanted)).first()[0]
-
-    first, second = all_outcomes("deleted"), all_outcomes("absent")
-    left = files.list_files(t.spark, path, "*.parquet").agg(F.count(F.lit(1)).alias("left_over"))
-    return left.select(F.lit(first).alias("all_deleted"), F.lit(second).alias("repeat_harmless"), "left_over")
+    tables.write_parquet(t.labels.repartition("quality"), path, partition_by=["quality"])
+    doomed = stage(files.list_files(t.spark, path, "*.parquet").select("path"), "doomed-list")
+    rounds = [stage(files.delete_files(doomed, dry_run=False).withColumn("round", F.lit(i)), "deletes") for i in range(2)]
+    if not files.list_files(t.spark, path, "*.parquet").isEmpty():
+        raise RuntimeError("files are left")
+    value = F.regexp_extract("path", "/quality=([^/]*)/", 1)
+    return rounds[0].union(rounds[1]).groupBy(F.when(value != "__HIVE_DEFAULT_PARTITION__", value).alias("quality")).agg(
+        F.count_if((F.col("round") == 0) & (F.col("outcome") == "deleted")).alias("deleted"),
+        F.count_if((F.col("round") == 1) & (F.col("outcome") == "absent")).alias("absent_again"),
+    )
 
 
 @query(

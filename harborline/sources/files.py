@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,24 +56,29 @@ _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 _BY_BUCKET = ("s3", "gs")
 
 
-def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from urllib.parse import unquote, urlparse
+class _Stores:
+    """Arrow's file systems by URI, each opened once per task."""
+
+    def __init__(self) -> None:
+        self._open: dict[tuple[str, str], fs.FileSystem] = {}
 
-    from pyarrow import fs
+    def locate(self, uri: str) -> tuple[fs.FileSystem, str]:
+        parsed = urlparse(uri)
+        place = (_SCHEMES.get(parsed.scheme, parsed.scheme), parsed.netloc)
+        if place[0] in ("", "file"):
+            return fs.LocalFileSystem(), unquote(parsed.path)
+        name = f"{place[1]}{unquote(parsed.path)}" if place[0] in _BY_BUCKET else unquote(parsed.path)
+        if place not in self._open:
+            self._open[place] = fs.FileSystem.from_uri(f"{place[0]}://{place[1]}/")[0]
+        return self._open[place], name
 
-    stores: dict[tuple[str, str], fs.FileSystem] = {}
+
+def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stores = _Stores()
 
     def remove(uri: str) -> str:
         try:
-            parsed = urlparse(uri)
-            place = (_SCHEMES.get(parsed.scheme, parsed.scheme), parsed.netloc)
-            if place[0] in ("", "file"):
-                store, name = fs.LocalFileSystem(), unquote(parsed.path)
-            else:
-                name = f"{place[1]}{unquote(parsed.path)}" if place[0] in _BY_BUCKET else unquote(parsed.path)
-                if place not in stores:
-                    stores[place] = fs.FileSystem.from_uri(f"{place[0]}://{place[1]}/")[0]
-                store = stores[place]
+            store, name = stores.locate(uri)
             store.delete_file(name)
             return "deleted"
         except FileNotFoundError:
@@ -81,6 +90,30 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(outcome=[remove(p) for p in pdf["path"]])
 
 
+def _footer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stores = _Stores()
+    for batch in batches:
+        found = []
+        for uri in batch.column("path").to_pylist():
+            store, name = stores.locate(uri)
+            with store.open_input_file(name) as file:
+                footer = pq.read_metadata(file)
+            found.append((footer.num_rows, footer.num_row_groups))
+        for i, name in enumerate(("record_count", "row_groups")):
+            batch = batch.append_column(name, pa.array([f[i] for f in found], pa.int64()))
+        yield batch
+
+
+def parquet_footers(files: DataFrame) -> DataFrame:
+    """``files`` (as listed: ``path``, ...) with the ``record_count`` and ``row_groups`` their footers state.
+
+    Executors open each file and read its footer only; no row group is touched.  A file that is not
+    Parquet or is gone fails the job.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(_footer_batches, f"{schema}, record_count bigint, row_groups bigint")
+
+
 def delete_files(doomed: DataFrame, dry_run: bool = True) -> DataFrame:
     """``(path, outcome)`` per path of ``doomed``; deletes on the executors unless ``dry_run``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.session import literal_table
-from harborline.sources.files import list_files
+from harborline.sources.files import list_files, parquet_footers
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -45,13 +45,9 @@ def write_parquet(
     return list_files(df.sparkSession, path, "*.parquet").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def parquet_summary(df: DataFrame) -> DataFrame:
-    """Rows per Parquet file of a file-backed DataFrame."""
-    return (
-        df.select(F.col("_metadata.file_path").alias("file_path"))
-        .groupBy("file_path")
-        .agg(F.count(F.lit(1)).alias("record_count"))
-    )
+def parquet_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per Parquet file of a file or folder, from the footers."""
+    return parquet_footers(list_files(spark, path, "*.parquet")).select(F.col("path").alias("file_path"), "record_count")
 
 
 def _json_ready(field: T.StructField) -> Column:

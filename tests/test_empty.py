@@ -4,11 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from harborline.operators import lake, metrics, series
+from harborline.operators import maintenance, metrics, series
 from harborline.operators.joins import interval_join, range_join
-from harborline.operators.maintenance import LakeTable
 from harborline.operators.ordered import asof_join, exact_quantiles, peer_ranks, rows_frame, running, trailing_sum
 from harborline.operators.topn import latest_per_key, newest_per_key
+from harborline.session import literal_table
 
 
 def empty(events):
@@ -44,13 +44,11 @@ def test_series_and_metrics(spark, events):
 
 
 def test_lake(spark, folder, events):
-    table = LakeTable(spark, "t", folder)
     rows = events.withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
-    now = dt.datetime(2024, 2, 1)
-    snapshot = table.append(rows.where("event_id < 0"), now).first()
-    assert (snapshot["added_records"], snapshot["added_data_files"]) == (0, 0)
-    assert table.read().columns == rows.columns and table.read().isEmpty()
-    assert table.clean(now, 1, dt.timedelta(0)).report.first()["orphan_files"] == 0
-    table.append(rows, now)
-    assert table.read().count() == rows.count()
-    assert lake.compaction_groups(table.live_files().limit(0)).isEmpty()
+    maintenance.append_rows(rows.where("event_id < 0"), folder)
+    files = maintenance.table_files(spark, folder)
+    assert files.isEmpty() and maintenance.read_files(spark, folder, files, rows.schema).isEmpty()
+    assert maintenance.compact_partitions(spark, folder, files, rows.schema).isEmpty()
+    none = [literal_table(spark, [], schema) for schema in (maintenance.SNAPSHOT_SCHEMA, maintenance.MANIFEST_SCHEMA)]
+    done = maintenance.clean_up(spark, folder, *none, "t", 1, dt.datetime(2024, 2, 1))
+    assert done.outcomes.isEmpty() and done.report.isEmpty()

@@ -5,10 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.operators import lake
-from harborline.operators.maintenance import LakeTable, NothingToCompact, warehouse_snapshots
-from harborline.session import literal_table
-from harborline.sources.files import list_files
+from harborline.operators import lake, maintenance
+from harborline.session import literal_table, stage
 from tests.conftest import same_rows
 
 NOW = dt.datetime(2024, 2, 1)
@@ -63,115 +61,154 @@ def rows(events):
 
 @pytest.fixture()
 def table(spark, folder, rows):
-    made = LakeTable(spark, "a.b", folder)
+    """Three appends, each a version with the files it added to the ones before."""
+    path, versions = f"{folder}/data", []
     for i in range(3):
-        made.append(rows.where(f"event_id % 3 = {i}"), NOW + DAY * i)
-    return made
+        maintenance.append_rows(rows.where(f"event_id % 3 = {i}"), path)
+        versions.append(stage(maintenance.table_files(spark, path), "test-files"))
+    return path, versions
 
 
-def test_read_without_snapshot_is_an_error(spark, folder):
-    with pytest.raises(LookupError):
-        LakeTable(spark, "none", folder).read()
+def history(spark, versions, operations):
+    """Snapshots and manifests of a table named ``t``, a day apart."""
+    snapshots, manifests = literal_table(spark, [], maintenance.SNAPSHOT_SCHEMA), literal_table(spark, [], maintenance.MANIFEST_SCHEMA)
+    for i, (files, operation) in enumerate(zip(versions, operations)):
+        parent = manifests.where(F.col("snapshot_id") == i)
+        row = maintenance.snapshot(files, parent, snapshots, "t", i + 1, operation, NOW + DAY * i)
+        snapshots = stage(snapshots.unionByName(row), "test-snapshots")
+        manifests = stage(manifests.unionByName(maintenance.manifest(files, "t", i + 1)), "test-manifests")
+    return snapshots, manifests
 
 
-def test_append_needs_a_partition_column(spark, folder, events):
+def test_append_needs_a_partition_column(folder, events):
     with pytest.raises(ValueError):
-        LakeTable(spark, "a", folder).append(events, NOW)
+        maintenance.append_rows(events, folder)
 
 
-def test_each_version_reads_its_rows(table, rows):
-    assert same_rows(table.read(), rows)
-    assert same_rows(table.read(1), rows.where("event_id % 3 = 0"))
-    parents = [(r["version"], r["parent_snapshot_id"] is None) for r in table.snapshots().orderBy("version").collect()]
-    assert parents == [(1, True), (2, False), (3, False)]
+def test_missing_folder_has_no_files(spark, folder):
+    assert maintenance.table_files(spark, f"{folder}/none").isEmpty()
 
 
-def test_unpublished_log_entries_are_ignored(table, rows):
-    files = table.live_files().limit(1).select(
-        "table_name", F.lit(1).cast("bigint").alias("snapshot_id"), F.lit("remove").alias("action"), "file_path", "dt",
-        "record_count", "file_size")
-    table._append("manifest_log", files)
-    assert same_rows(table.read(), rows)
+def test_each_version_reads_its_rows(spark, table, rows):
+    path, versions = table
+    assert same_rows(maintenance.read_files(spark, path, versions[2], rows.schema), rows)
+    assert same_rows(maintenance.read_files(spark, path, versions[0], rows.schema), rows.where("event_id % 3 = 0"))
 
 
-def test_compaction_and_cleanup_keep_rows(spark, table, rows):
-    before = list_files(spark, table.data, "*.parquet").count()
-    report = table.compact(NOW + DAY * 4, target=8_000)
-    merged, made = report.agg(F.sum("files_merged"), F.sum("new_files")).first()
-    assert merged > made
-    hot = report.where("dt = '2024-01-01 10:00'").first()
-    assert hot["new_files"] > 1, "a large partition is written as several files"
-    assert same_rows(table.read(), rows)
-    assert same_rows(table.read(3), rows), "inputs stay until clean-up"
-
-    dry = table.clean(NOW + DAY * 9, 1, DAY)
-    assert dry.report.first()["orphan_files"] == merged
-    assert list_files(spark, table.data, "*.parquet").count() == before + made
-
-    done = table.clean(NOW + DAY * 9, 1, DAY, apply=True)
-    first = done.report.first()
-    assert (first["expired_snapshots"], first["retained_snapshots"], first["orphan_files"]) == (3, 1, merged)
-    assert first["reclaimed_bytes"] == report.agg(F.sum("original_bytes")).first()[0]
-    assert list_files(spark, table.data, "*.parquet").count() == made
-    assert same_rows(table.read(), rows)
-    assert table.clean(NOW + DAY * 9, 1, DAY, apply=True).report.first()["orphan_files"] == 0
-
+def test_files_have_their_partitions_value(table, rows):
+    _, versions = table
+    counted = versions[2].groupBy("dt").agg(F.sum("record_count").alias("n"))
+    assert same_rows(counted, rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n")))
 
-def test_files_of_a_retained_snapshot_survive(table, rows):
-    """Only some of the snapshots that hold the compaction's inputs are expired."""
-    table.compact(NOW + DAY * 4)
-    table.clean(NOW + DAY * 9, 2, DAY, apply=True)
-    assert same_rows(table.read(3), rows)
 
+def test_escaped_and_missing_partition_values(spark, folder):
+    kept = literal_table(spark, [(1, "a+b %2F/ü:"), (2, None), (3, "x=y")], "id bigint, dt string")
+    for _ in range(2):
+        maintenance.append_rows(kept.coalesce(1), folder)
+    files = maintenance.table_files(spark, folder)
+    assert {(r["dt"], r["n"]) for r in files.groupBy("dt").agg(F.sum("record_count").alias("n")).collect()} == {("a+b %2F/ü:", 2), (None, 2), ("x=y", 2)}
+    report = maintenance.compact_partitions(spark, folder, files, kept.schema)
+    assert {(r["dt"], r["files_merged"], r["new_files"]) for r in report.collect()} == {("a+b %2F/ü:", 2, 1), (None, 2, 1), ("x=y", 2, 1)}
+    assert same_rows(spark.read.schema(kept.schema).parquet(folder), kept.union(kept))
 
-def test_partly_compacted_commit_is_read_by_file(table, rows):
-    sizes = [r["file_size"] for r in table.live_files().collect()]
-    table.compact(NOW + DAY * 4, threshold=max(sizes))
-    table.append(rows.where("event_id < 5"), NOW + DAY * 5)
-    assert same_rows(table.read(), rows.unionByName(rows.where("event_id < 5")))
 
+def test_snapshot_rows(spark, table):
+    _, versions = table
+    snapshots, _ = history(spark, versions, ["append"] * 3)
+    found = [(r["version"], r["parent_snapshot_id"]) for r in snapshots.orderBy("version").collect()]
+    assert found == [(1, None), (2, 1), (3, 2)]
+    added = versions[1].join(versions[0].select("file_path"), "file_path", "left_anti")
+    second = snapshots.where("version = 2").first()
+    assert (second["added_data_files"], second["added_records"]) == added.agg(F.count("*"), F.sum("record_count")).first()[0:2]
 
-def test_wrong_and_expired_versions_are_errors(spark, table, rows):
-    with pytest.raises(LookupError, match="no version 99"):
-        table.read(99)
-    table.clean(NOW + dt.timedelta(days=400), 1, dt.timedelta(days=1), apply=True)
-    with pytest.raises(LookupError, match="no version 1"):
-        table.read(1)
 
-
-def test_added_columns_survive_and_changed_ones_are_refused(spark, folder):
-    table = LakeTable(spark, "t", folder)
+def test_compaction_keeps_rows_and_their_order(spark, table, rows):
+    path, versions = table
+    report = maintenance.compact_partitions(spark, path, versions[2], rows.schema, target=8_000)
+    merged, made = report.agg(F.sum("files_merged"), F.sum("new_files")).first()
+    assert merged > made
+    hot = report.where("dt = '2024-01-01 10:00'").first()
+    assert hot["new_files"] > 1, "a large partition is written as several files"
+    now = spark.read.schema(rows.schema).parquet(path)
+    assert same_rows(now, rows)
+    listed = maintenance.table_files(spark, path)
+    single = report.where("new_files = 1").select(F.col("dt").alias("d"))
+    assert listed.join(single, F.col("dt").eqNullSafe(F.col("d"))).count() == single.count()
+    place = now.select("dt", "event_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    # Within an output file, each input's rows stay in their order.
+    runs = place.groupBy("f", (F.col("event_id") % 3).alias("input")).agg(F.sort_array(F.collect_list(F.struct("r", "event_id"))).alias("s"))
+    for run in runs.collect():
+        ids = [e["event_id"] for e in run["s"]]
+        assert ids == sorted(ids)
+
+
+def test_large_files_and_other_partitions_stay(spark, folder):
+    """A file above the threshold gets a file of its own; partitions without two small files are not touched."""
+    kinds = "id bigint, pad string, dt string"
+    big = spark.range(20_000).selectExpr("id", "uuid() AS pad", "'a' AS dt")
+    small = literal_table(spark, [(-1, "x", "a"), (-2, "y", "b")], kinds)
+    for part in (big, small, small.where("id = -1")):
+        maintenance.append_rows(part.coalesce(1), folder)
+    files = stage(maintenance.table_files(spark, folder), "test-before")
+    report = maintenance.compact_partitions(spark, folder, files, small.schema, threshold=100_000).collect()
+    assert [(r["dt"], r["files_merged"], r["new_files"]) for r in report] == [("a", 3, 2)]
+    after = maintenance.table_files(spark, folder)
+    assert after.where("dt = 'b'").first()["file_path"] == files.where("dt = 'b'").first()["file_path"]
+    assert sorted(r["record_count"] for r in after.where("dt = 'a'").collect()) == [2, 20_000]
+
+
+def test_nothing_to_compact(spark, table, rows):
+    path, versions = table
+    assert maintenance.compact_partitions(spark, path, versions[2], rows.schema, threshold=1).isEmpty()
+    assert same_rows(maintenance.table_files(spark, path).select("file_path"), versions[2].select("file_path"))
+
+
+def test_clean_up_after_compaction(spark, table, rows):
+    path, versions = table
+    merged = maintenance.compact_partitions(spark, path, versions[2], rows.schema, "t").agg(F.sum("files_merged")).first()[0]
+    now = stage(maintenance.table_files(spark, path), "test-now")
+    snapshots, manifests = history(spark, [*versions, now], ["append"] * 3 + ["replace"])
+    stray = spark.range(3).withColumn("dt", F.lit("2024-01-09")).coalesce(1)
+    stray.write.mode("append").partitionBy("dt").parquet(path)
+
+    dry = maintenance.clean_up(spark, path, snapshots, manifests, "t", 1, NOW + DAY * 9)
+    assert {r["outcome"] for r in dry.outcomes.select("outcome").distinct().collect()} == {"planned"}
+    done = maintenance.clean_up(spark, path, snapshots, manifests, "t", 1, NOW + DAY * 9, apply=True)
+    report = done.report.first()
+    assert (report["expired_snapshots"], report["retained_snapshots"], report["deleted_manifests"]) == (3, 1, 3)
+    assert report["orphan_files"] == merged + 1
+    outcomes = {r["outcome"]: r["count"] for r in done.outcomes.groupBy("outcome").count().collect()}
+    assert outcomes == {"absent": merged, "deleted": 1}
+    assert same_rows(spark.read.schema(rows.schema).parquet(path), rows)
+
+
+def test_files_of_a_retained_snapshot_survive(spark, table, rows):
+    path, versions = table
+    snapshots, manifests = history(spark, versions, ["append"] * 3)
+    done = maintenance.clean_up(spark, path, snapshots, manifests, "t", 1, NOW + DAY * 9, apply=True)
+    assert (done.report.first()["expired_snapshots"], done.outcomes.count()) == (2, 0)
+    assert same_rows(spark.read.schema(rows.schema).parquet(path), rows)
+
+
+def test_added_columns_survive(spark, folder):
     first = literal_table(spark, [(1, "2024-01-01"), (2, None)], "id bigint, dt string")
-    table.append(first, NOW)
-    table.append(literal_table(spark, [(3, "2024-01-01", "n"), (4, None, "m")], "id bigint, dt string, note string"), NOW)
-    with pytest.raises(ValueError, match="lack the table's column 'note'"):
-        table.append(first, NOW)
-    with pytest.raises(ValueError, match="'id' is bigint, not string"):
-        table.append(literal_table(spark, [("x", "d", "n")], "id string, dt string, note string"), NOW)
-    table.compact(NOW + dt.timedelta(days=1))
-    table.clean(NOW + dt.timedelta(days=9), 1, dt.timedelta(days=1), apply=True)
-    got = sorted((r["id"], r["note"], r["dt"]) for r in table.read().collect())
+    second = literal_table(spark, [(3, "n", "2024-01-01"), (4, "m", None)], "id bigint, note string, dt string")
+    for part in (first, second):
+        maintenance.append_rows(part.coalesce(1), folder)
+    maintenance.compact_partitions(spark, folder, maintenance.table_files(spark, folder), second.schema)
+    got = sorted((r["id"], r["note"], r["dt"]) for r in spark.read.schema(second.schema).parquet(folder).collect())
     assert got == [(1, None, "2024-01-01"), (2, None, None), (3, "n", "2024-01-01"), (4, "m", None)]
 
 
 def test_cleanup_by_table(spark):
-    classified = literal_table(spark, [("a", 1, True), ("a", 2, False), ("b", 1, False)], "table_name string, version bigint, expired boolean")
-    orphans = literal_table(spark, [("a", 10), ("a", 5)], "table_name string, length bigint")
+    classified = literal_table(spark, [("a", 1, True), ("a", 2, False), ("b", 1, False), (None, 1, True)], "table_name string, version bigint, expired boolean")
+    orphans = literal_table(spark, [("a", 10), ("a", 5), (None, 7)], "table_name string, length bigint")
     manifests = literal_table(spark, [("a", "m")], "table_name string, manifest_list string")
-    report = lake.cleanup_by_table(classified, orphans, manifests).orderBy("table_name").collect()
-    assert [tuple(r) for r in report] == [("a", 1, 1, 2, 2, 15, 1), ("b", 0, 1, 1, 0, 0, 0)]
-
-
-def test_nothing_to_compact(table):
-    with pytest.raises(NothingToCompact):
-        table.compact(NOW, threshold=1)
+    report = lake.cleanup_by_table(classified, orphans, manifests).orderBy(F.col("table_name").asc_nulls_last()).collect()
+    assert [tuple(r) for r in report] == [("a", 1, 1, 2, 2, 15, 1), ("b", 0, 1, 1, 0, 0, 0), (None, 1, 0, 1, 1, 7, 0)]
 
 
-def test_detail_and_table_names(spark, folder, rows):
-    for name in ("one", "two"):
-        LakeTable(spark, name, f"{folder}/{name}").append(rows.where("event_id < 9"), NOW)
-    assert sorted(r[0] for r in lake.list_tables(warehouse_snapshots(spark, folder)).collect()) == ["one", "two"]
-    snapshot, files = LakeTable(spark, "one", f"{folder}/one").detail()
-    assert snapshot.first()["added_records"] == files.agg(F.sum("record_count")).first()[0] == 9
-    with pytest.raises(LookupError):
-        LakeTable(spark, "none", f"{folder}/none").detail()
+def test_manifests_by_table(spark):
+    rows = [("a", "m1", True), ("a", "m1", False), ("a", "m2", True), ("b", "m1", True), (None, "m1", True)]
+    found = lake.orphan_manifests_by_table(literal_table(spark, rows, "table_name string, manifest_list string, expired boolean"))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([("a", "m2"), ("b", "m1"), (None, "m1")], key=str)
