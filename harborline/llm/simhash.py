@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from harborline.llm.components import components
-from harborline.llm.textio import byte_chunks, same
+from harborline.llm.textio import byte_chunks, free_name, same
 from harborline.session import stage
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -191,22 +191,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the document with the smallest id (nulls last).
+def keep_firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group ``root`` of ``found`` (``doc_id``, ``text_hash``).
 
-    Of several texts under that id the one with the smallest hash stays, and of equal rows one.
+    All columns of ``docs`` are kept, whatever their names.
     """
-    return keep_firsts(docs, stage(near_duplicates(docs), "simhash-groups"))
-
-
-def keep_firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that come first in their group ``root`` of ``found`` (``doc_id``, ``text_hash``)."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
-    kept = best.select("best.doc_id", F.col("best.text_hash").alias("__text_hash"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    out = hashed.join(kept, same(hashed, kept, ["doc_id", "__text_hash"]), "left_semi")
+    own = free_name("text_hash", docs)
+    kept = best.select("best.doc_id", F.col("best.text_hash").alias(own))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    out = hashed.join(kept, same(hashed, kept, ["doc_id", own]), "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__text_hash"])
-    return out.drop("__text_hash")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)

@@ -44,6 +44,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores after it as make it differ from all columns, in any case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
     """Join condition on columns of both sides where null equals null."""
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))

@@ -39,6 +39,27 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text: str | None, n: int = 5) -> set[str]:
+    """Word shingles of a lower-cased text; fewer words are one shingle."""
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
+
+
+def near_pairs(texts: list[str | None], similarity: float = 0.8) -> list[tuple[int, int]]:
+    """Pairs of texts with equal or similar shingle sets, found through the shingles they share."""
+    sets = [frozenset(shingles(t)) for t in texts]
+    shared: dict[tuple[int, int], int] = {}
+    where: dict[str, list[int]] = {}
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    for i, s in enumerate(sets):
+        for shingle in s if first[s] == i else ():
+            for j in where.setdefault(shingle, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            where[shingle].append(i)
+    near = [(j, i) for (j, i), n in shared.items() if n >= similarity * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    return near + [(first[s], i) for i, s in enumerate(sets) if first[s] != i]
+
+
 def smallest_reachable(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     root = list(range(n))
 

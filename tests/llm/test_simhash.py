@@ -11,6 +11,10 @@ from tests.llm import brute
 KIND = "doc_id long, text string"
 
 
+def keep_one(docs):
+    return simhash.keep_firsts(docs, simhash.near_duplicates(docs))
+
+
 def expected(rows):
     prints = [brute.fingerprint(t) for _, t in rows]
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
@@ -63,17 +67,17 @@ def test_links_of_large_buckets_are_whole(spark, monkeypatch, block):
 def test_one_of_each_group_stays(spark):
     text = "the quick brown fox jumps over the lazy dog again and again"
     rows = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (9, "another text with other words in it", "d"), (None, "x y z w", None)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, f"{KIND}, source string")).collect()
+    kept = keep_one(spark.createDataFrame(rows, f"{KIND}, source string")).collect()
     assert sorted((r.doc_id or 0, r.source or "") for r in kept) == [(0, ""), (3, "b"), (9, "d")]
 
 
 def test_texts_under_one_id_stay_beside_a_repeated_row(spark):
     texts = ["alpha beta gamma delta", "one two three four five", "red green blue", "x y z w v u"]
     rows = [(None, texts[0], "a"), (None, texts[1], "b"), (7, texts[2], "c"), (7, texts[3], "d"), (None, texts[0], "a")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, f"{KIND}, source string")).collect()
+    kept = keep_one(spark.createDataFrame(rows, f"{KIND}, source string")).collect()
     assert sorted(r.source for r in kept) == ["a", "b", "c", "d"]
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], KIND)
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
