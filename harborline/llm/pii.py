@@ -11,7 +11,7 @@ from harborline.session import stage
 KINDS = ("email", "ip", "card", "phone")
 #: Forms an unseen identifier may have, each its own kind of span.
 SHAPES = ("number", "address", "code")
-#: Rounds of scoring, seeds a pattern needs, and the score from which it finds identifiers.
+#: Rounds of scoring in a generation, seeds a pattern needs, and the score from which it finds identifiers.
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.9
 #: Characters beside a match in which its neighbouring words are looked for.
 CONTEXT = 64
@@ -82,9 +82,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     for kind in forms:
         valid = F.when(F.col("kind") == kind, _valid(kind, F.col("text"))).otherwise(valid)
     both = placed.where(valid).withColumn("base", F.col("kind").isin(*_BASE)).drop("i", "gap")
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.col("base").desc(), "end", "kind")
-    until = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    text = Window.partitionBy("doc_id", "text_hash")
+    earlier = text.orderBy("start", F.col("base").desc(), "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    # from the end, as Spark evaluates a frame that is open to the end anew for every row
+    behind = text.orderBy(F.col("start").desc(), "base", F.col("end").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(F.when(F.col("base"), F.col("end"))).over(earlier)
+    later = F.min(F.when(F.col("base"), F.col("start"))).over(behind)
     free = (F.coalesce(until, F.lit(0)) <= F.col("start")) & (F.coalesce(later, F.col("end")) >= F.col("end"))
     return both.withColumn("__free", free).where(F.col("base") | F.col("__free")).drop("__free")
 
@@ -101,14 +104,8 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.withColumn("pattern", F.explode(F.filter(patterns, lambda p: p.isNotNull())))
 
 
-def confident_patterns(edges: DataFrame) -> DataFrame:
-    """Patterns with a score of ``MIN_SCORE`` or more after ``ROUNDS`` rounds over the graph.
-
-    ``edges`` has ``pattern``, ``instance`` and ``seed``.  A pattern scores the sum of its instances'
-    scores over their number and one; it needs ``MIN_SEEDS`` seeds.  A seed scores one, any other
-    instance the mean of its patterns, nothing at first.
-    """
-    graph = stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+def _scores(graph: DataFrame) -> DataFrame:
+    """``trust`` and ``seeds`` of every pattern after ``ROUNDS`` rounds over the graph."""
     scored = graph.withColumn("score", F.col("seed").cast("double"))
     for step in range(ROUNDS):
         scores = scored.groupBy("pattern").agg(
@@ -124,7 +121,29 @@ def confident_patterns(edges: DataFrame) -> DataFrame:
         scored = graph.join(instances, "instance", "left").withColumn(
             "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0)))
         )
-    return patterns.where((F.col("seeds") >= MIN_SEEDS) & (F.col("trust") >= MIN_SCORE)).select("pattern")
+    return patterns
+
+
+def confident_patterns(edges: DataFrame) -> DataFrame:
+    """Patterns with a score of ``MIN_SCORE`` or more, found generation by generation.
+
+    ``edges`` has ``pattern``, ``instance`` and ``seed``.  A pattern scores the sum of its instances'
+    scores over their number and one; it needs ``MIN_SEEDS`` seeds.  A seed scores one, any other
+    instance the mean of its patterns, nothing at first.  The instances of confident patterns are
+    seeds of the next generation, until none adds a pattern; seeds only raise scores, so a pattern once
+    confident stays so.
+    """
+    graph = stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+    known = 0
+    while True:
+        confident = _scores(graph).where((F.col("seeds") >= MIN_SEEDS) & (F.col("trust") >= MIN_SCORE)).select("pattern")
+        count = confident.count()
+        if count == known:
+            return confident
+        known = count
+        accepted = graph.join(confident, "pattern", "left_semi").select("instance").distinct().withColumn("accepted", F.lit(True))
+        joined = graph.join(accepted, "instance", "left")
+        graph = stage(joined.select("pattern", "instance", (F.col("seed") | F.col("accepted").isNotNull()).alias("seed")), "pii-graph")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -133,7 +152,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Spans have kind, start, end (code points, end exclusive), base and text, by kind in the order of
     ``KINDS`` and ``SHAPES``, then start.  Base kinds are fixed forms.  Their matches are the seeds:
     the words beside them are patterns, patterns and instances score each other, and patterns that
-    nearly always stand beside seeds add the matches of open shapes that they stand beside.
+    nearly always stand beside seeds add the matches of open shapes that they stand beside.  What was
+    added supports further patterns in turn.
 
     One row per input row: null and empty texts have no spans, equal rows have equal spans.  Other
     columns are ignored; an empty table gives no rows.

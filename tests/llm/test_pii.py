@@ -1,6 +1,9 @@
 import hashlib
+import time
 import re
 
+from pyspark.sql import functions as F
+
 from harborline.llm.pii import KINDS, find_pii
 from harborline.llm.queries import op3_pii
 from tests.conftest import SF
@@ -70,5 +73,25 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert not any(got[i] for i in (101, 103, *range(30), *range(200, 208)))
 
 
+def test_discoveries_support_further_patterns(spark):
+    """Numbers after "tel:" are found beside seeds; they make "ring" a pattern, which finds codes no seed stands beside."""
+    seeds = [(i + 500, f"order {i} tel: +1 (212) 555-{1000 + i} thanks") for i in range(400)]
+    first = [(100 + i, f"x{i} tel: 300-400-{1000 + i} y{i}") for i in range(40)]
+    again = [(200 + i, f"u{i} ring 300-400-{1000 + i} w{i}") for i in range(40)]
+    second = [(300, "a0 ring 777-888-1234 b0"), (301, "a1 size 777-888-4321 b1")]
+    frame = spark.createDataFrame(seeds + first + again + second, "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.spans if not s.base] for r in find_pii(frame).collect()}
+    assert got[100] == ["300-400-1000"] and got[200] == ["300-400-1000"]
+    assert got[300] == ["777-888-1234"] and got[301] == []
+
+
+def test_many_matches_in_one_text(spark):
+    """A log-like text of 100,000 addresses takes seconds: windows run once over its matches."""
+    text = " ".join(f"u{i}@h{i % 97}.example.org 10.{i % 256}.0.1" for i in range(50_000))
+    start = time.time()
+    (row,) = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("spans").alias("n")).collect()
+    assert row.n == 100_000 and time.time() - start < 60
+
+
 def test_empty_table(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
