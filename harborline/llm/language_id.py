@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ PIECE_BYTES = 1024
 #: Predictions whose best size is below the second best by a smaller share than this are rejected.
 MIN_MARGIN = 0.002
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are Unicode's category L here and in SQL's patterns alike.
+_NO_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
 def plain(text: str | None) -> bytes:
@@ -81,19 +82,21 @@ def classify(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]
 
 
 def detect(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``rejected`` in place of such columns.
+    """``docs`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``rejected`` in place of such columns, in any case.
 
     Texts that are null or have no letter are ``und``; they and narrow margins are rejected.  Only
     the text decides.  Every row gets its own result; an empty table or model gives none or ``und``.
     """
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score", "rejected")]
     kept = docs.select(*[f"`{f.name}`" for f in fields])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
+    place = [f.name.lower() for f in fields].index("text")
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = _compressors(model)
         for part in parts:
-            found = [classify(t.as_py(), coders) for t in part.column("text")]
+            found = [classify(t.as_py(), coders) for t in part.column(place)]
             extra = [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
