@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from harborline.llm.textio import byte_chunks, mix64
+from harborline.llm.textio import byte_chunks, free_name, mix64, same
 from harborline.session import stage
 
 SHINGLE_WORDS, MIN_CONTAINMENT = 5, 0.8
@@ -203,8 +204,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, text_hash long, item_id {item_type}, n_shingles int, n_shared int, containment double"
     wanted = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
-    item_arrow = pa.string() if item_type == "string" else pa.int64() if item_type == "bigint" else pa.int32()
-    arrow = pa.schema([("item_id", item_arrow), ("n_shingles", pa.int32()), ("n_shared", pa.int32()), ("containment", pa.float64())])
+    arrow = pa.schema([("item_id", to_arrow_type(benchmark.schema["item_id"].dataType)), ("n_shingles", pa.int32()), ("n_shared", pa.int32()), ("containment", pa.float64())])
 
     def blocks() -> Iterator[list[tuple[object, str]]]:
         block, size = [], 0
@@ -216,19 +216,25 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
                 block, size = [], 0
         yield block
 
-    found = None
+    found: DataFrame | None = None
+    last = None
     for block in blocks():
-        part = _search(docs, build_index(block, containment), schema, arrow, containment)
-        found = part if found is None else stage(found, "contained").union(part)
-    return found
+        if last is not None:  # each block's rows are written once
+            written = stage(last, "contained")
+            found = written if found is None else found.union(written)
+        last = _search(docs, build_index(block, containment), schema, arrow, containment)
+    return last if found is None else found.union(last)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; see :func:`contained_items`."""
-    bad = contained_items(docs, benchmark).select("doc_id", F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    match = hashed["doc_id"].eqNullSafe(bad["doc_id"]) & (hashed["__hash"] == bad["__hash"])
-    return hashed.join(bad, match, "left_anti").drop("__hash")
+    """``docs`` without the rows that hold a benchmark item; see :func:`contained_items`.
+
+    All columns of ``docs`` are kept, whatever their names.
+    """
+    own = free_name("text_hash", docs)
+    bad = contained_items(docs, benchmark).select("doc_id", F.col("text_hash").alias(own)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    return hashed.join(bad, same(hashed, bad, ["doc_id", own]), "left_anti").drop(own)
 
 
 ORACLE = r"""

@@ -7,7 +7,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.textio import same
+from harborline.llm.textio import free_name, same
 from harborline.session import stage
 
 #: A line on this many different sources is boilerplate.
@@ -51,8 +51,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     that nothing is lost altogether; all later ones go.  ``n_chars`` follows the text if it exists.
 
     A null text stays null and has no lines.  Texts under one id are told apart by their hash; equal
-    rows are treated alike.  Other columns pass through; own ``n_lines`` and ``n_removed`` are
-    replaced.  An empty table gives no rows.
+    rows are treated alike.  Other columns pass through, whatever their names; own ``n_lines`` and
+    ``n_removed`` are replaced.  An empty table gives no rows.
     """
     lines = stage(_parts(docs), "lines")
     spread = stage(spread_lines(lines, min_sites), "lines-spread")
@@ -61,26 +61,27 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     # written, so that Spark knows its size and need not bring a frequent line's rows together for the join
     firsts = stage(found.groupBy("line").agg(F.min(place).alias("first")), "lines-first")
     later = found.join(firsts, "line").where(place != F.col("first"))
-    removed = later.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("__removed"))
-    keys = ["doc_id", "__text_hash"]
-    base = docs.drop("n_lines", "n_removed").withColumn("__text_hash", F.xxhash64("text"))
-    removed = removed.withColumnRenamed("text_hash", "__text_hash")
-    joined = base.join(removed, same(base, removed, keys), "left").drop(removed["doc_id"]).drop(removed["__text_hash"])
+    removed = later.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("gone"))
+    own_hash, gone = free_name("text_hash", docs), free_name("gone", docs)
+    keys = ["doc_id", own_hash]
+    base = docs.drop("n_lines", "n_removed").withColumn(own_hash, F.xxhash64("text"))
+    removed = removed.withColumnsRenamed({"text_hash": own_hash, "gone": gone})
+    joined = base.join(removed, same(base, removed, keys), "left").drop(removed["doc_id"]).drop(removed[own_hash])
     split = F.split("text", _SEPARATOR)
 
     def rest(lines):
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), _SEPARATOR)
 
     # an array of one binds the lines to a name, so that the text is split once
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(split), rest), F.lit(0)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(split), rest), F.lit(0)))
     counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn(
-        "n_removed", F.coalesce(F.size("__removed"), F.lit(0)).cast("long")
+        "n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long")
     )
     out = counted.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop("__removed", "__text_hash")
+    return out.drop(gone, own_hash)
 
 
 ORACLE = r"""

@@ -61,3 +61,12 @@ def test_empty_tables(spark):
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e f")], DOCS)
     assert contamination.contained_items(none, spark.createDataFrame([(1, "a b")], ITEMS)).count() == 0
     assert contamination.contained_items(some, spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_clashing_names_and_small_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x", 2), (2, "z", "y", 3)], "doc_id smallint, text string, text_hash string, __hash int")
+    items = spark.createDataFrame([(7, "b c d e f"), (8, "q r s t u")], "item_id smallint, text string")
+    found = contamination.contained_items(docs, items).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]
+    kept = contamination.without_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "z", "y", 3)]

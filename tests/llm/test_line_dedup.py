@@ -28,5 +28,14 @@ def test_threshold_is_exact(spark):
         assert removed == (n - 1 if n >= 10 else 0)
 
 
+def test_clashing_names_pass_through(spark):
+    kinds = "doc_id long, text string, source string, text_hash int, TEXT_HASH_ int, gone string, __removed int, __text_hash int, n_lines string"
+    rows = [(i, f"line\nown {i}", f"s{i}", 1, 2, "g", 3, 4, "old") for i in range(12)]
+    out = remove_boilerplate(spark.createDataFrame(rows, kinds))
+    assert out.columns == ["doc_id", "text", "source", "text_hash", "TEXT_HASH_", "gone", "__removed", "__text_hash", "n_lines", "n_removed"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got[0] == (0, "line\nown 0", "s0", 1, 2, "g", 3, 4, 2, 0) and got[5] == (5, "own 5", "s5", 1, 2, "g", 3, 4, 2, 1)
+
+
 def test_empty_table(spark):
     assert remove_boilerplate(spark.createDataFrame([], KIND)).count() == 0
