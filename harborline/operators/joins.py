@@ -15,9 +15,10 @@ _OPEN_LEVEL = 99
 
 
 def range_join(
-    points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float
+    points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float,
+    keys: Sequence[str] = (), open_low: bool = False,
 ) -> DataFrame:
-    """Points with every range that holds ``low <= value < high``.
+    """Points with every range of the same ``keys`` that holds ``low <= value < high``; with ``open_low``, ``low < value``.
 
     A range is joined on the two or three cells it touches at the level whose cells, ``width`` times a
     power of four, are as wide as it is.  Points are spelled out once per level that ranges have, so
@@ -38,12 +39,31 @@ def range_join(
     return (
         points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
         .withColumn("__bucket", F.when(open_level, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(value) / cell)))
-        .join(placed, ["__level", "__bucket"])
-        .where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+        .join(placed, [*keys, "__level", "__bucket"])
+        .where((F.col(value) > F.col(low) if open_low else F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
         .drop("__level", "__bucket")
     )
 
 
+def overlap_join(
+    left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Pairs of rows of the same ``keys`` whose ranges ``[low, high)`` overlap, each pair once.
+
+    Two ranges that overlap do so where the later of them begins: the right one begins inside the left
+    one, or the left one begins inside the right one and after its beginning.  These are two joins of
+    points with ranges, and no pair is in both, so neither copies of pairs nor a pass to remove them
+    are needed.  Bounds are numbers; all columns but ``keys`` must differ in name.  Empty ranges and
+    nulls match nothing.
+    """
+    (a, b), (c, d) = left_range, right_range
+    lefts, rights = left.where(F.col(a) < F.col(b)), right.where(F.col(c) < F.col(d))
+    names = [*left.columns, *[n for n in right.columns if n not in keys]]
+    begins_in_left = range_join(rights, lefts, c, a, b, width, keys)
+    begins_in_right = range_join(lefts, rights, a, c, d, width, keys, open_low=True)
+    return begins_in_left.select(*names).unionByName(begins_in_right.select(*names))
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
     before_seconds: int, after_seconds: int,

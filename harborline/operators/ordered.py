@@ -254,32 +254,6 @@ def peer_ranks(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float],
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Exact interpolated quantiles per key, from value counts instead of a per-key value list."""
-    keys = list(keys)
-    valued = df.where(F.col(value).isNotNull())
-    counts = stage(valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "value-counts")
-    positioned = running(
-        counts, keys, [value],
-        {"__upto": ("sum", F.col("__n")), "__total": ("group_sum", F.col("__n"))}, max_group_rows,
-    )
-
-    def value_at(position: Column) -> Column:
-        hit = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
-        return F.max(F.when(hit, F.col(value)))
-
-    outputs = []
-    for name, p in probabilities.items():
-        spot = F.lit(p) * (F.col("__total") - 1)
-        low, high = value_at(F.floor(spot)), value_at(F.ceil(spot))
-        share = F.max(spot - F.floor(spot))
-        outputs.append((low + (high - low) * share).alias(name))
-    return positioned.groupBy(*keys).agg(*outputs)
-
-
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
     right_columns: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS,
@@ -310,6 +284,43 @@ def asof_join(
     )
 
 
+def trailing_extrema(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, value: Column,
+    min_name: str, max_name: str, max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Least and greatest value over ``RANGE BETWEEN seconds PRECEDING AND CURRENT ROW``.
+
+    Extrema cannot be taken back when a row leaves, so time is cut into blocks as long as the frame.  A
+    frame is then the end of one block and the beginning of the next: a scan of each block forwards
+    gives the beginnings with the row's peers, and one backwards, in which every row asks at the time
+    its frame opens, the ends.  No frame is evaluated by itself; rows of a block are at most two.
+    Rows without a time are each other's frame, as in SQL.
+    """
+    keys, columns = list(keys), list(df.columns)
+    kind = df.select(value).schema[0].dataType
+    length = seconds * 1_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    placed = df.withColumns({"__at": micros, "__block": F.floor(micros / length), "__v": value})
+    begun = running(
+        placed, [*keys, "__block"], ["__at"], {"__min": ("min", F.col("__v")), "__max": ("max", F.col("__v"))}, max_group_rows, peers=True
+    )
+    # Backwards: the values of a block, and after those of its time the rows whose frames open there.
+    asked = F.array(
+        F.struct((-F.col("__at")).alias("back"), F.col("__block").alias("block"), F.lit(0).alias("phase"), F.col("__v").alias("v")),
+        F.struct((length - F.col("__at")).alias("back"), (F.col("__block") - 1).alias("block"), F.lit(1).alias("phase"), F.lit(None).cast(kind).alias("v")),
+    )
+    both = begun.withColumn("__e", F.explode(asked)).select(
+        *[(F.when(F.col("__e.phase") == 1, F.col(c)) if c not in keys else F.col(c)).alias(c) for c in (*columns, "__min", "__max")],
+        F.col("__e.block").alias("__block"), F.col("__e.back").alias("__back"), F.col("__e.phase").alias("__phase"), F.col("__e.v").alias("__v"),
+    )
+    ended = running(
+        both, [*keys, "__block"], ["__back", "__phase"], {"__low": ("min", F.col("__v")), "__high": ("max", F.col("__v"))}, max_group_rows
+    )
+    return ended.where("__phase = 1").select(
+        *columns, F.least("__min", "__low").alias(min_name), F.greatest("__max", "__high").alias(max_name)
+    )
+
+
 def trailing_sum(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: int, value: Column,
     sum_name: str, count_name: str, max_group_rows: int = MAX_GROUP_ROWS,

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from harborline.operators.joins import interval_join, not_in, path_prefixes, range_join
+from harborline.operators.aggregates import cube_sets, distinct_aggregates, grouping_sets, rollup_sets
+from harborline.operators.hierarchy import roots
+from harborline.operators.joins import interval_join, not_in, overlap_join, path_prefixes, range_join
 from harborline.operators.ordered import (
     asof_join,
-    exact_quantiles,
     peer_ranks,
     rows_frame,
     running,
+    trailing_extrema,
     trailing_sum,
     with_group_columns,
 )
+from harborline.operators.quantiles import exact_quantiles
 from harborline.operators.sets import except_all, intersect_all
 from harborline.operators.sql import run_sql, service_stats
 from harborline.plans.registry import Tables, query
-from harborline.session import literal_table, stage
+from harborline.session import literal_table, new_folder, stage
+from harborline.sources.tables import write_bucketed
 
 
 @query(
@@ -228,6 +234,66 @@ def b07_range_join(t: Tables):
     )
 
 
+_SHIPPING = """
+SELECT o_custkey AS cust, l_orderkey, l_linenumber, o_orderkey
+FROM (SELECT o_custkey AS c, l_orderkey, l_linenumber, l_shipdate AS s, l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY AS e
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+JOIN orders ON c = o_custkey AND o_orderkey <> l_orderkey AND s < o_orderdate + INTERVAL 30 DAY AND o_orderdate < e AND s < e
+"""
+
+
+def _days(column):
+    return F.unix_micros(F.col(column).cast("timestamp")) / 86_400_000_000.0
+
+
+@query("b07_overlap_join", _SHIPPING)
+def b07_overlap_join(t: Tables):
+    """Line items under way (a day per piece from shipping) while another order of the same customer was open (30 days)."""
+    sent = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("cust"), "l_orderkey", "l_linenumber",
+        _days("l_shipdate").alias("s"), (_days("l_shipdate") + F.col("l_quantity").cast("int")).alias("e"),
+    )
+    opened = t.orders.select(F.col("o_custkey").alias("cust"), "o_orderkey", _days("o_orderdate").alias("o"), (_days("o_orderdate") + 30).alias("c"))
+    pairs = overlap_join(sent, opened, ("s", "e"), ("o", "c"), 16.0, ["cust"])
+    return pairs.where(F.col("o_orderkey") != F.col("l_orderkey")).select("cust", "l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query(
+    "b07_overlap_join_without_key",
+    """
+    SELECT p.p_partkey, band FROM part p
+    JOIN (SELECT o_orderkey AS band, o_totalprice / 128 AS low, o_totalprice / 128 + 0.25 AS high FROM orders) b
+      ON p.p_retailprice - 0.25 < high AND low < p.p_retailprice
+    """,
+)
+def b07_overlap_join_without_key(t: Tables):
+    """Price ranges below parts that overlap ranges above order totals over 128: two inequalities and no equality."""
+    below = t.part.select("p_partkey", (F.col("p_retailprice") - 0.25).alias("a"), F.col("p_retailprice").alias("b"))
+    bands = t.orders.select(F.col("o_orderkey").alias("band"), (F.col("o_totalprice") / 128).alias("low"), (F.col("o_totalprice") / 128 + 0.25).alias("high"))
+    return overlap_join(below, bands, ("a", "b"), ("low", "high"), 0.25).select("p_partkey", "band")
+
+
+_BUCKETED = """
+SELECT o_orderkey, o_orderpriority, count(*) AS line_items, CAST(sum(l_linenumber) AS BIGINT) AS line_numbers
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority
+"""
+
+
+@query("b08_bucketed_join", _BUCKETED)
+def b08_bucketed_join(t: Tables):
+    """Both tables bucketed and sorted by the order: the join and the grouping move no row."""
+    buckets = max(8, t.spark.sparkContext.defaultParallelism)
+    label = uuid.uuid4().hex
+    items, orders = (
+        write_bucketed(df, f"bucketed_{name}_{label}", new_folder(t.spark, name), [key], buckets)
+        for df, name, key in (
+            (t.lineitem.select("l_orderkey", "l_linenumber"), "lineitem", "l_orderkey"), (t.orders.select("o_orderkey", "o_orderpriority"), "orders", "o_orderkey"),
+        )
+    )
+    joined = items.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("line_items"), F.sum("l_linenumber").alias("line_numbers"))
+
+
 @query(
     "b08_sort_merge_join",
     """
@@ -326,9 +392,10 @@ def b11_hash_aggregate(t: Tables):
     """,
 )
 def b12_distinct_aggregates(t: Tables):
-    return t.events.groupBy("event_type").agg(
-        F.count_distinct("user_id").alias("users"), F.sum_distinct("user_id").alias("user_sum"),
-        F.count_distinct("props").alias("distinct_props"), F.count(F.lit(1)).alias("n"),
+    return distinct_aggregates(
+        t.events, ["event_type"],
+        {"users": ("count", "user_id"), "user_sum": ("sum", "user_id"), "distinct_props": ("count", "props")},
+        {"n": F.count(F.lit(1))},
     )
 
 
@@ -378,23 +445,29 @@ def b14_exact_quantiles(t: Tables):
 @query(
     "b14_approx_aggregates",
     """
-    SELECT event_type, true AS users_close, true AS median_close, true AS p90_close
+    SELECT event_type, count(DISTINCT user_id) AS exact_users, true AS users_close,
+           count(*) FILTER (WHERE value IS NOT NULL) AS n, true AS median_close, true AS p90_close
     FROM events GROUP BY event_type
     """,
 )
 def b14_approx_aggregates(t: Tables):
-    """The sketches agree with the exact answers within their error bounds."""
+    """Sketches beside exact counts; a sketched quantile is close if its exact rank is within a hundredth."""
     sketched = t.events.groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("users"), F.count_distinct("user_id").alias("exact_users"),
-        F.percentile_approx("value", 0.5, 10000).alias("p50"), F.percentile_approx("value", 0.9, 10000).alias("p90"),
+        F.approx_count_distinct("user_id", 0.02).alias("users"), F.count("value").alias("n"),
+        F.kll_sketch_agg_double("value", F.lit(2000)).alias("s"),
+    )
+    marks = stage(sketched.select(
+        "event_type", "users", "n", *[F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(c) for c, p in (("p50", 0.5), ("p90", 0.9))]
+    ), "sketched")
+    exact = distinct_aggregates(t.events, ["event_type"], {"exact_users": ("count", "user_id")}, {})
+    ranks = with_group_columns(t.events.select("event_type", "value"), marks.select("event_type", "p50", "p90"), ["event_type"]).groupBy("event_type").agg(
+        F.count_if(F.col("value") <= F.col("p50")).alias("upto50"), F.count_if(F.col("value") <= F.col("p90")).alias("upto90")
     )
-    exact = exact_quantiles(t.events, ["event_type"], "value",
-                            {"low": 0.49, "high": 0.51, "low90": 0.89, "high90": 0.91})
-    return with_group_columns(sketched, exact, ["event_type"]).select(
-        "event_type",
-        (F.abs(F.col("users") - F.col("exact_users")) <= 0.1 * F.col("exact_users")).alias("users_close"),
-        F.col("p50").between(F.col("low"), F.col("high")).alias("median_close"),
-        F.col("p90").between(F.col("low90"), F.col("high90")).alias("p90_close"),
+    every = with_group_columns(with_group_columns(marks, exact, ["event_type"]), ranks, ["event_type"])
+    return every.select(
+        "event_type", "exact_users", (F.abs(F.col("users") - F.col("exact_users")) <= 0.1 * F.col("exact_users")).alias("users_close"), "n",
+        (F.abs(F.col("upto50") / F.col("n") - 0.5) <= 0.01 + 1 / F.col("n")).alias("median_close"),
+        (F.abs(F.col("upto90") / F.col("n") - 0.9) <= 0.01 + 1 / F.col("n")).alias("p90_close"),
     )
 
 
@@ -433,14 +506,27 @@ FROM {orders} GROUP BY {spec}
 _YEARLESS = _CUBE.replace("year(o_orderdate) AS order_year, ", "")
 
 
+_STATUS = ["o_orderstatus", "o_orderpriority"]
+
+
+def _priced(t: Tables, sets):
+    """Order counts and totals for grouping sets of status and priority, from the finest aggregate."""
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    found = grouping_sets(t.orders, _STATUS, sets, {"n": ("count", F.lit(1)), "total": ("sum", price)})
+    return found.select(
+        *_STATUS, "n", F.col("total").cast("double").alias("total"),
+        F.col("g_o_orderstatus").alias("g_status"), F.col("g_o_orderpriority").alias("g_priority"),
+    )
+
+
 @query("b16_cube", _YEARLESS.format(orders="orders", spec="CUBE (o_orderstatus, o_orderpriority)"))
 def b16_cube(t: Tables):
-    return t.sql(_YEARLESS.replace("{spec}", "CUBE (o_orderstatus, o_orderpriority)"), "orders")
+    return _priced(t, cube_sets(_STATUS))
 
 
 @query("b16_rollup", _YEARLESS.format(orders="orders", spec="ROLLUP (o_orderstatus, o_orderpriority)"))
 def b16_rollup(t: Tables):
-    return t.sql(_YEARLESS.replace("{spec}", "ROLLUP (o_orderstatus, o_orderpriority)"), "orders")
+    return _priced(t, rollup_sets(_STATUS))
 
 
 _SETS = "GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())"
@@ -448,7 +534,7 @@ _SETS = "GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())
 
 @query("b16_grouping_sets", _YEARLESS.format(orders="orders", spec=_SETS))
 def b16_grouping_sets(t: Tables):
-    return t.sql(_YEARLESS.replace("{spec}", _SETS), "orders")
+    return _priced(t, [["o_orderstatus", "o_orderpriority"], ["o_orderpriority"], []])
 
 
 @query(
@@ -583,6 +669,21 @@ def b20_range_frame(t: Tables):
     return summed.select("event_id", (F.col("day_cents") / 100.0).alias("day_sum"), "day_count")
 
 
+@query(
+    "b20_range_extrema",
+    """
+    SELECT event_id, min(value) OVER w AS day_min, max(value) OVER w AS day_max
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts
+                             RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)
+    """,
+)
+def b20_range_extrema(t: Tables):
+    found = trailing_extrema(
+        t.events.select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", 86400, F.col("value"), "day_min", "day_max"
+    )
+    return found.select("event_id", "day_min", "day_max")
+
+
 @query(
     "b20_running_total",
     """
@@ -786,6 +887,27 @@ def b24_recursive_cte(t: Tables):
     return own.sql(_ANCESTORS.replace("rtrim({strip}, '/')", stripped), "pages")
 
 
+@query(
+    "b24_recursion_over_parents",
+    """
+    WITH RECURSIVE parents AS (
+        SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_id FROM events),
+    down(node, root, depth) AS (
+        SELECT event_id, event_id, CAST(0 AS BIGINT) FROM parents WHERE parent_id IS NULL
+        UNION ALL
+        SELECT p.event_id, d.root, d.depth + 1 FROM down d JOIN parents p ON p.parent_id = d.node)
+    SELECT node, root, depth FROM down
+    """,
+)
+def b24_recursion_over_parents(t: Tables):
+    """Events as a chain of snapshots per user, each naming the one before: first snapshot and number of steps to it."""
+    chained = rows_frame(
+        t.events.select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], 1, 0,
+        {"parent_id": lambda w: F.lag("event_id").over(w)},
+    )
+    return roots(chained, "event_id", "parent_id")
+
+
 @query("b24_ancestors_without_recursion", _ANCESTORS_SQL)
 def b24_ancestors_without_recursion(t: Tables):
     """The same rows in one pass: the steps depend on no other row, so each is spelled out in place."""

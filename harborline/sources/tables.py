@@ -50,6 +50,17 @@ def parquet_summary(spark: SparkSession, path: str) -> DataFrame:
     return parquet_footers(list_files(spark, path, "*.parquet")).select(F.col("path").alias("file_path"), "record_count")
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` as a catalog table in ``path``, hashed to ``buckets`` by ``keys`` and sorted by them within each.
+
+    Tables bucketed alike join and group by these keys without moving a row.  The one shuffle is here; every
+    bucket is one file of one task.  ``name`` must be new.
+    """
+    placed = df.repartition(buckets, *keys)
+    placed.write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _json_ready(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):

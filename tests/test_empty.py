@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from harborline.operators import maintenance, metrics, series
 from harborline.operators.joins import interval_join, range_join
-from harborline.operators.ordered import asof_join, exact_quantiles, peer_ranks, rows_frame, running, trailing_sum
+from harborline.operators.ordered import asof_join, peer_ranks, rows_frame, running, trailing_extrema, trailing_sum
+from harborline.operators.quantiles import exact_quantiles
 from harborline.operators.topn import latest_per_key, newest_per_key
 from harborline.session import literal_table
 

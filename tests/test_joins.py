@@ -1,10 +1,11 @@
 import itertools
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from harborline.operators.joins import interval_join, longest_prefix_join, not_in, range_join
+from harborline.operators.joins import interval_join, longest_prefix_join, not_in, overlap_join, range_join
 from harborline.operators.sets import except_all, intersect_all
 from harborline.session import literal_table
 from tests.conftest import same_rows
@@ -93,3 +94,30 @@ def test_multiset_copies_span_pieces(spark, monkeypatch):
     monkeypatch.setattr(sets, "_PIECE", 3)
     a = spark.range(10).selectExpr("1 AS v")
     assert except_all(a, spark.range(2).selectExpr("1 AS v")).count() == 8
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_overlap_join_equals_all_pairs(spark, keys):
+    """Wide, narrow, touching, equal, empty, open and null ranges; each overlapping pair once."""
+    import random
+
+    draw = random.Random(4)
+    inf = float("inf")
+    odd = [(1, 0.0, 10.0), (1, 10.0, 20.0), (1, 0.0, 10.0), (2, 5.0, 5.0), (2, 7.0, 3.0), (1, -inf, inf), (1, 3.0, inf), (None, 0.0, 9.0), (1, None, 4.0)]
+    sides = []
+    for n in range(2):
+        rows = odd + [(draw.randint(1, 3), a, a + draw.choice([0.01, 1.0, 30.0, 500.0])) for a in (draw.uniform(-300, 300) for _ in range(60))]
+        sides.append([(*r, i) for i, r in enumerate(rows)])
+    left = spark.createDataFrame(sides[0], "k int, a double, b double, x int")
+    right = spark.createDataFrame(sides[1], "k int, c double, d double, y int")
+    if not keys:
+        right = right.withColumnRenamed("k", "k2")
+    got = sorted((r["x"], r["y"]) for r in overlap_join(left, right, ("a", "b"), ("c", "d"), 2.0, keys).collect())
+
+    def meet(p, q):
+        (k, a, b, _), (k2, c, d, _) = p, q
+        if None in (a, b, c, d) or a >= b or c >= d or (keys and (k is None or k != k2)):
+            return False
+        return a < d and c < b
+
+    assert got == sorted((p[3], q[3]) for p in sides[0] for q in sides[1] if meet(p, q))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from harborline.operators.ordered import (
     asof_join,
-    exact_quantiles,
     peer_ranks,
     row_index,
     rows_frame,
     running,
+    trailing_extrema,
     trailing_sum,
     with_group_columns,
 )
@@ -88,15 +88,6 @@ def test_peer_ranks_with_many_ties(skewed, limit):
     assert same_rows(ours, expected)
 
 
-@pytest.mark.parametrize("limit", [CHUNKED, PLAIN])
-def test_exact_quantiles(skewed, limit):
-    ours = exact_quantiles(skewed, ["kind"], "value", {"a": 0.5, "b": 0.9, "c": 1.0}, limit)
-    expected = skewed.groupBy("kind").agg(
-        *[F.round(F.percentile("value", p), 9) for p in (0.5, 0.9, 1.0)]
-    )
-    assert same_rows(ours.select("kind", *[F.round(c, 9) for c in "abc"]), expected)
-
-
 @pytest.mark.parametrize("limit", [CHUNKED, PLAIN])
 def test_asof_join_against_brute_force(spark, limit):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, "a", 7), (5, "c", 4)], "id int, k string, t int")
@@ -114,6 +105,20 @@ def test_trailing_sum_counts_peers_and_the_far_edge(spark, limit):
     assert {r["id"]: (r["s"], r["c"]) for r in got.collect()} == {1: (1, 1), 2: (7, 3), 3: (7, 3), 4: (14, 3), 5: (16, 1)}
 
 
+@pytest.mark.parametrize("limit", [CHUNKED, PLAIN])
+def test_trailing_extrema_equal_a_range_frame(spark, skewed, limit):
+    """Ties, nulls in key, time and value, and frames that open at a block's edge."""
+    odd = skewed.select(
+        F.when(F.col("event_id") % 17 > 0, F.col("kind")).alias("kind"), "event_id",
+        F.when(F.col("event_id") % 19 > 0, F.date_trunc("minute", "ts").cast("timestamp_ntz")).alias("ts"),
+        F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("value"),
+    )
+    got = trailing_extrema(odd, ["kind"], "ts", 6 * 3600, F.col("value"), "low", "high", limit)
+    w = Window.partitionBy("kind").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-6 * 3600, 0)
+    expected = odd.withColumns({"low": F.min("value").over(w), "high": F.max("value").over(w)})
+    assert same_rows(got, expected)
+
+
 @pytest.mark.parametrize("n", [1, 50, 10_000])
 def test_newest_per_key(skewed, n):
     newest = Window.partitionBy("kind").orderBy(F.desc("ts"), F.desc("event_id"))

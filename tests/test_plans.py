@@ -64,3 +64,33 @@ def test_interval_and_range_joins_are_equi_joins(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for plan in (joined, ranged):
         assert "SortMergeJoin" in plan and "__bucket" in plan
+
+
+@pytest.mark.parametrize("name", ["b16_cube", "b16_rollup", "b16_grouping_sets"])
+def test_groupings_copy_aggregated_rows_only(spark, name):
+    """Read from the top: the copies are made above an aggregate and an exchange, not above the scan."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    below = plan[plan.index("Expand"):]
+    assert plan.count("Expand") == 1 and "HashAggregate" in below and below.index("Exchange") < below.index("FileScan")
+
+
+def test_distinct_counts_copy_no_rows(spark):
+    assert "Expand" not in plan_of(QUERIES["b12_distinct_aggregates"](spark, SF))
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["b08_bucketed_join"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_overlap_joins_are_equi_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("b07_overlap_join", "b07_overlap_join_without_key"):
+            assert "NestedLoop" not in plan_of(QUERIES[name](spark, SF)) and "Cartesian" not in plan_of(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
