@@ -112,14 +112,15 @@ def encrypt_rows(
             F.raise_error(F.concat(F.lit("no key for zone "), F.col("zone_path"))),
         ).otherwise(F.col("__master")),
     )
-    fresh = data_key(secret, F.col(path))
     plain = F.col(payload).cast("binary")
     inside = F.col("__master").isNotNull()
-    return guarded.select(
+    # A column of its own, so that the key is derived once for payload and header.
+    derived = guarded.withColumn("__fresh", F.when(inside, data_key(secret, F.col(path))))
+    return derived.select(
         *[c for c in rows.columns if c != payload],
-        F.when(inside, F.aes_encrypt(plain, fresh, F.lit("GCM"))).otherwise(plain).alias(payload),
+        F.when(inside, F.aes_encrypt(plain, F.col("__fresh"), F.lit("GCM"))).otherwise(plain).alias(payload),
         "key_name", "key_version",
-        F.when(inside, wrap_key(fresh, F.col("__master"))).alias("wrapped_key"),
+        F.when(inside, wrap_key(F.col("__fresh"), F.col("__master"))).alias("wrapped_key"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import crypto
 from harborline.plans.registry import Tables, query
-from harborline.session import stage
+from harborline.session import spread, stage
 
 SECRET = b"a job secret given by the caller"
 
@@ -31,19 +31,19 @@ _KEYS_SQL = "SELECT DISTINCT o_orderpriority AS key_name, CAST(year(o_orderdate)
 
 
 def order_headers(t: Tables, keys):
-    """A header per order: its data key wrapped under the version of the order's year.
+    """A header per order: its data key wrapped under the version of the order's year, and the plain key to compare with.
 
     An order without date or priority has no key, and so no header.
     """
-    placed = t.orders.where("o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL").select(
+    placed = spread(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority")).where("o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL").select(
         F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
         F.col("o_orderpriority").alias("key_name"),
         F.concat(F.lit("v"), (F.year("o_orderdate") - 1994).cast("string")).alias("key_version"),
     )
     masters = keys.select("key_name", F.col("version").alias("key_version"), "key_bytes")
-    return placed.join(masters, ["key_name", "key_version"]).select(
-        "path", "key_name", "key_version",
-        crypto.wrap_key(crypto.data_key(SECRET, F.col("path")), F.col("key_bytes")).alias("wrapped_key"),
+    keyed = placed.join(masters, ["key_name", "key_version"])
+    return keyed.withColumn("plain_key", crypto.data_key(SECRET, F.col("path"))).select(
+        "path", "key_name", "key_version", "plain_key", crypto.wrap_key(F.col("plain_key"), F.col("key_bytes")).alias("wrapped_key")
     )
 
 
@@ -76,7 +76,7 @@ def e1_assign_zone(t: Tables):
 
 
 def _document_rows(t: Tables):
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "lang", "source", "text")).select(
         "doc_id", F.concat_ws("/", F.lit(""), "lang", "source", F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("payload"),
     )
@@ -141,7 +141,7 @@ def e3_wrap_and_unwrap_keys(t: Tables):
     )
     return opened.select(
         F.substring_index("path", "/", -1).cast("bigint").alias("o_orderkey"), "key_version",
-        (F.col("plain") == crypto.data_key(SECRET, F.col("path"))).alias("opens"),
+        (F.col("plain") == F.col("plain_key")).alias("opens"),
         F.octet_length("plain").cast("bigint").alias("key_length"),
     )
 
@@ -207,7 +207,7 @@ def e6_rewrap_zone(t: Tables):
     moved = crypto.rewrap_zone(order_headers(t, keys), keys, ZONE)
     return moved.join(masters, ["key_name", "key_version"]).select(
         "path", "key_version", "rewrapped",
-        (crypto.unwrap_key(F.col("wrapped_key"), F.col("key_bytes")) == crypto.data_key(SECRET, F.col("path"))).alias("opens"),
+        (crypto.unwrap_key(F.col("wrapped_key"), F.col("key_bytes")) == F.col("plain_key")).alias("opens"),
     )
 
 

@@ -102,6 +102,15 @@ def clear_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan in at least as many tasks as there are cores, for work that is dear per row.
+
+    A file of one row group is one task however many cores wait; a table of enough files is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of the caller's own values.
 

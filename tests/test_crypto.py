@@ -113,3 +113,18 @@ def test_data_keys_are_whole_and_differ(spark):
     a, b = [bytes(r["k"]) for r in row.collect()]
     assert len(a) == len(b) == 32 and a != b
     assert row.select(crypto.valid_key_length(F.col("k")).alias("v")).first()["v"]
+
+
+def test_data_keys_are_derived_once_per_row(spark):
+    """Each derivation hashes twice; header and payload of a row share one."""
+    from harborline.plans import QUERIES
+    from harborline.plans.registry import Tables
+    from harborline.plans import encryption
+    from tests.conftest import SF
+
+    t = Tables(spark, SF)
+    zones = encryption._document_zones(t)
+    sealed = crypto.encrypt_rows(encryption._document_rows(t), zones, encryption._document_keys(zones), encryption.SECRET)
+    for df in (sealed, QUERIES["e6_rewrap_zone"](spark, SF)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha2(") == 2
