@@ -172,6 +172,16 @@ def compact_partitions(
     return lake.compaction_report(groups, written)
 
 
+def without_expired(snapshots: DataFrame, manifests: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables without the snapshots that ``classified`` calls expired, and without their manifests' rows.
+
+    Write them anew where a clean-up was applied; a snapshot that was committed since stays.
+    """
+    gone = classified.where("expired").select(F.col("table_name").alias("__table"), F.col("snapshot_id").alias("__id"))
+    owned = F.col("table_name").eqNullSafe(F.col("__table")) & (F.col("snapshot_id") == F.col("__id"))
+    return snapshots.join(gone, owned, "left_anti"), manifests.join(gone, owned, "left_anti")
+
+
 def clean_up(
     spark: SparkSession, path: str, snapshots: DataFrame, manifests: DataFrame, table_name: str,
     retain_last_n: int, cutoff: dt.datetime, apply: bool = False,
@@ -180,7 +190,7 @@ def clean_up(
 
     These are files below ``path`` and files of expired manifests, for instance inputs of a
     compaction; one that is gone already counts as done, but not its bytes.  Manifests that only
-    expired snapshots use are listed, for the caller to drop with the expired rows.
+    expired snapshots use are listed; :func:`without_expired` drops their rows.
     """
     own = F.col("table_name") == table_name
     classified = stage(lake.classify_snapshots(snapshots.where(own), retain_last_n, F.lit(cutoff).cast("timestamp")), "classified")

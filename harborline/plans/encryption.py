@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from harborline.operators import crypto
 from harborline.plans.registry import Tables, query
-from harborline.session import spread, stage
+from harborline.session import literal_table, spread, stage
 
 SECRET = b"a job secret given by the caller"
 
 
+def secret(t: Tables):
+    """The job's secret from a stored table of one row, so that plans hold a reference to it and not its bytes."""
+    return stage(literal_table(t.spark, [(SECRET,)], "secret binary"), "secret").scalar()
+
+
 def order_keys(t: Tables):
     """One key per order priority, one version per year in which it was used; a stored table."""
     keys = (
@@ -27,7 +32,7 @@ def order_keys(t: Tables):
     return stage(keys, "keys")
 
 
-_KEYS_SQL = "SELECT DISTINCT o_orderpriority AS key_name, CAST(year(o_orderdate) - 1994 AS BIGINT) AS version_number FROM orders"
+KEYS_SQL = "SELECT DISTINCT o_orderpriority AS key_name, CAST(year(o_orderdate) - 1994 AS BIGINT) AS version_number FROM orders"
 
 
 def order_headers(t: Tables, keys):
@@ -42,7 +47,7 @@ def order_headers(t: Tables, keys):
     )
     masters = keys.select("key_name", F.col("version").alias("key_version"), "key_bytes")
     keyed = placed.join(masters, ["key_name", "key_version"])
-    return keyed.withColumn("plain_key", crypto.data_key(SECRET, F.col("path"))).select(
+    return keyed.withColumn("plain_key", crypto.data_key(secret(t), F.col("path"))).select(
         "path", "key_name", "key_version", "plain_key", crypto.wrap_key(F.col("plain_key"), F.col("key_bytes")).alias("wrapped_key")
     )
 
@@ -116,7 +121,7 @@ def e2_encrypt_and_decrypt_rows(t: Tables):
     zones = _document_zones(t)
     keys = _document_keys(zones)
     sealed = stage(
-        crypto.encrypt_rows(_document_rows(t), zones, keys, SECRET)
+        crypto.encrypt_rows(_document_rows(t), zones, keys, secret(t))
         .withColumn("sealed_digest", F.md5("payload")).withColumn("version_used", F.col("key_version")),
         "sealed",
     )
@@ -149,20 +154,23 @@ def e3_wrap_and_unwrap_keys(t: Tables):
 @query(
     "e4_roll_key",
     f"""
-    SELECT key_name, count(*) + 1 AS version_number, 'v' || (count(*) + 1) AS version FROM ({_KEYS_SQL}) GROUP BY key_name
+    SELECT key_name, count(*) + 1 AS version_number, 'v' || (count(*) + 1) AS version FROM ({KEYS_SQL}) GROUP BY key_name
     """,
 )
 def e4_roll_key(t: Tables):
+    return rolled_keys(t, order_keys(t), F.expr("TIMESTAMP_NTZ '2024-01-31'")).select("key_name", "version_number", "version")
+
+
+def rolled_keys(t: Tables, keys, time):
     material = t.orders.select(F.col("o_orderpriority").alias("key_name")).distinct().withColumn(
         "key_bytes", F.unhex(F.sha2(F.concat(F.lit("next"), "key_name"), 256))
     )
-    rolled, _ = crypto.roll_keys(order_keys(t), material, F.expr("TIMESTAMP_NTZ '2024-01-31'"))
-    return rolled.select("key_name", "version_number", "version")
+    return crypto.roll_keys(keys, material, time)[0]
 
 
 @query(
     "e5_latest_key",
-    f"SELECT key_name, max(version_number) AS version_number, 'v' || max(version_number) AS version FROM ({_KEYS_SQL}) GROUP BY key_name",
+    f"SELECT key_name, max(version_number) AS version_number, 'v' || max(version_number) AS version FROM ({KEYS_SQL}) GROUP BY key_name",
 )
 def e5_latest_key(t: Tables):
     return crypto.latest_keys(order_keys(t)).select("key_name", "version_number", "version")
@@ -175,7 +183,7 @@ def e5_latest_key(t: Tables):
            CASE WHEN key_name = 'none' THEN 'key ''none'' not found'
                 WHEN version_number IS NULL THEN 'version ''' || version || ''' of key ''' || key_name || ''' not found' END AS error
     FROM (SELECT DISTINCT CASE WHEN o_custkey % 50 = 0 THEN 'none' ELSE o_orderpriority END AS key_name, 'v' || (o_custkey % 10) AS version FROM orders)
-    LEFT JOIN (SELECT key_name, version_number, 'v' || version_number AS version FROM ({_KEYS_SQL})) USING (key_name, version)
+    LEFT JOIN (SELECT key_name, version_number, 'v' || version_number AS version FROM ({KEYS_SQL})) USING (key_name, version)
     """,
 )
 def e5_key_version(t: Tables):
@@ -187,7 +195,7 @@ def e5_key_version(t: Tables):
 
 
 ZONE = "/2-HIGH"
-_REWRAPPED = """
+REWRAPPED_SQL = """
 SELECT '/' || o_orderpriority || '/' || o_orderkey AS path, o_orderpriority AS key_name,
        o_orderpriority = '2-HIGH' AND year(o_orderdate) < (SELECT max(year(o_orderdate)) FROM orders WHERE o_orderpriority = '2-HIGH') AS rewrapped,
        year(o_orderdate) - 1994 AS v, (SELECT max(year(o_orderdate)) - 1994 FROM orders WHERE o_orderpriority = '2-HIGH') AS latest
@@ -198,7 +206,7 @@ FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL
 @query(
     "e6_rewrap_zone",
     f"""
-    SELECT path, 'v' || CASE WHEN rewrapped THEN latest ELSE v END AS key_version, rewrapped, true AS opens FROM ({_REWRAPPED})
+    SELECT path, 'v' || CASE WHEN rewrapped THEN latest ELSE v END AS key_version, rewrapped, true AS opens FROM ({REWRAPPED_SQL})
     """,
 )
 def e6_rewrap_zone(t: Tables):
@@ -215,11 +223,14 @@ def e6_rewrap_zone(t: Tables):
     "e7_rewrap_summary",
     f"""
     SELECT '{ZONE}' AS zone_path, key_name, 'v' || latest AS target_version, count(*) AS rewrapped_count
-    FROM ({_REWRAPPED}) WHERE rewrapped GROUP BY key_name, latest
+    FROM ({REWRAPPED_SQL}) WHERE rewrapped GROUP BY key_name, latest
     """,
 )
 def e7_rewrap_summary(t: Tables):
-    keys = order_keys(t)
+    return rewraps(t, order_keys(t))
+
+
+def rewraps(t: Tables, keys):
     return crypto.rewrap_summary(crypto.rewrap_zone(order_headers(t, keys), keys, ZONE), ZONE)
 
 
@@ -244,7 +255,7 @@ def e9_list_zones(t: Tables):
 
 @query(
     "e9_list_keys",
-    f"SELECT key_name, version_number, 'v' || version_number AS version, 'AES/GCM' AS cipher FROM ({_KEYS_SQL})",
+    f"SELECT key_name, version_number, 'v' || version_number AS version, 'AES/GCM' AS cipher FROM ({KEYS_SQL})",
 )
 def e9_list_keys(t: Tables):
     return crypto.list_keys(order_keys(t))
@@ -255,7 +266,7 @@ def e9_list_keys(t: Tables):
     f"""
     SELECT path, 'v' || CASE WHEN rewrapped AND v > 1 THEN latest ELSE v END AS key_version, rewrapped AND v > 1 AS rewrapped,
            CASE WHEN rewrapped AND v = 1 THEN 'missing key ' || key_name || ' v1' END AS error
-    FROM ({_REWRAPPED})
+    FROM ({REWRAPPED_SQL})
     """,
 )
 def e6_rewrap_with_a_lost_version(t: Tables):

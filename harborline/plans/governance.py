@@ -207,19 +207,22 @@ def g10_role_users(t: Tables):
     return gov.role_users(leases(t), now()).withColumn("privileges", F.array_join("privileges", "|"))
 
 
-@query(
-    "g11_valid_tickets",
-    f"""
-    SELECT 'krbtgt/' || realm || '@' || realm AS server, client, start_time, start_time + INTERVAL 10 HOUR AS end_time,
-           start_time + INTERVAL 70 HOUR AS renew_till, start_time + INTERVAL 10 HOUR > TIMESTAMP '{NOW}' AS valid
-    FROM (SELECT 'R' || user_id AS realm, event_type AS client, ts AS start_time,
-                 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
-    """,
-)
-def g11_valid_tickets(t: Tables):
+TICKETS_SQL = """
+SELECT 'krbtgt/' || realm || '@' || realm AS server, client, start_time, start_time + INTERVAL 10 HOUR AS end_time,
+       start_time + INTERVAL 70 HOUR AS renew_till
+FROM (SELECT 'R' || user_id AS realm, event_type AS client, ts AS start_time,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
+"""
+
+
+def current_tickets(t: Tables):
     requests = t.events.select(
         F.col("event_type").alias("client"), F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("realm"),
         F.col("ts").alias("start_time"),
     )
-    tickets = gov.current_tickets(gov.issue_tickets(requests, 36_000))
-    return gov.valid_tickets(tickets, now()).drop("realm")
+    return gov.current_tickets(gov.issue_tickets(requests, 36_000))
+
+
+@query("g11_valid_tickets", f"SELECT *, end_time > TIMESTAMP '{NOW}' AS valid FROM ({TICKETS_SQL})")
+def g11_valid_tickets(t: Tables):
+    return gov.valid_tickets(current_tickets(t), now()).drop("realm")

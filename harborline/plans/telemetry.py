@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harborline.operators import metrics, series
+from harborline.operators import annotations as notes
+from harborline.operators import governance, metrics, series
 from harborline.operators.lake import compaction_groups
 from harborline.operators.sql import query_log_metrics
-from harborline.plans.lake import order_files
+from harborline.plans.encryption import KEYS_SQL, REWRAPPED_SQL, ZONE, order_keys, rewraps, rolled_keys
+from harborline.plans.governance import LEASES_SQL, NOW, TICKETS_SQL, current_tickets, leases
+from harborline.plans.lake import CLEANUP_SQL, event_snapshots, l9_cleanup_by_table, order_files
 from harborline.plans.registry import Tables, query
 from harborline.session import literal_table, new_folder
 
@@ -111,11 +114,7 @@ FROM orders WHERE floor(o_totalprice) < 100000 GROUP BY o_orderdate HAVING count
 
 def _merge_annotations(t: Tables):
     groups = compaction_groups(order_files(t), threshold=100_000, target=250_000)
-    return series.annotations(
-        groups, F.col("dt"), F.lit("Partition Compaction"),
-        F.concat(F.lit("Merged "), F.col("small_files").cast("string"), F.lit(" small files")),
-        F.array(F.lit("lake"), F.lit("compaction")),
-    )
+    return notes.of_compaction(groups, F.col("dt"))
 
 
 @query("t7_append_annotation", _MERGES)
@@ -125,6 +124,57 @@ def t7_append_annotation(t: Tables):
     return t.spark.read.parquet(path).withColumn("tags", F.array_join("tags", ","))
 
 
+_CHECKED = "2024-01-31"
+_OPERATIONS = f"""
+SELECT ts AS time, 'Snapshot Commit' AS title, user_id || ': append with ' || 1 || ' records in ' || 1 || ' files' AS text, 'lake,commit' AS tags
+FROM events
+UNION ALL
+SELECT TIMESTAMP '{_CHECKED}', 'Orphan Purge', 'Reclaimed ' || reclaimed_bytes || ' bytes in ' || orphan_files || ' files, '
+       || expired_snapshots || ' snapshots expired', 'lake,cleanup'
+FROM ({CLEANUP_SQL}) WHERE orphan_files > 0 OR expired_snapshots > 0
+UNION ALL
+SELECT issue_time, 'Credential Issued', 'Lease ' || lease_id || ' for role ' || role || ', ' || ttl_secs || ' seconds', 'lease,issue' FROM ({LEASES_SQL})
+UNION ALL
+SELECT expire_time, 'Credential Expired', 'Lease ' || lease_id || ' for role ' || role, 'lease,expiry'
+FROM ({LEASES_SQL}) WHERE expire_time <= TIMESTAMP '{NOW}'
+UNION ALL
+SELECT TIMESTAMP '{_CHECKED}', 'Credential Revoked', 'Lease ' || o_orderkey, 'lease,revocation'
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL
+SELECT TIMESTAMP '{_CHECKED}', 'Master Key Rolled', 'Key ' || key_name || ' has version v' || (count(*) + 1), 'keys,roll'
+FROM ({KEYS_SQL}) GROUP BY key_name
+UNION ALL
+SELECT TIMESTAMP '{_CHECKED}', 'Data Keys Rewrapped', count(*) || ' data keys below {ZONE} moved to v' || latest || ' of ' || key_name, 'keys,rewrap'
+FROM ({REWRAPPED_SQL}) WHERE rewrapped GROUP BY key_name, latest
+UNION ALL
+SELECT start_time, 'Ticket Issued', server || ' for ' || client || ' until ' || strftime(end_time, '%Y-%m-%d %H:%M:%S'), 'ticket' FROM ({TICKETS_SQL})
+"""
+
+
+@query("t7_operation_annotations", _OPERATIONS)
+def t7_operation_annotations(t: Tables):
+    """What commits, clean-ups, leases, keys and tickets leave in the log of annotations."""
+    time = F.expr(f"TIMESTAMP_NTZ '{_CHECKED}'")
+    commits = event_snapshots(t).select(
+        F.col("table_name").cast("string").alias("table_name"), "committed_at", F.lit("append").alias("operation"),
+        F.lit(1).cast("bigint").alias("added_records"), F.lit(1).cast("bigint").alias("added_data_files"),
+    )
+    issued, keys = leases(t), order_keys(t)
+    ended = governance.expire_leases(issued, F.expr(f"TIMESTAMP_NTZ '{NOW}'"))
+    revoked = t.orders.select(F.col("o_orderkey").alias("lease_id")).join(
+        t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("lease_id")), "lease_id", "left_semi"
+    )
+    made = [
+        notes.of_snapshots(commits), notes.of_cleanup(l9_cleanup_by_table(t), time), notes.of_leases(issued), notes.of_expired_leases(ended),
+        notes.of_revocations(revoked, time), notes.of_rolled_keys(rolled_keys(t, keys, time)), notes.of_rewraps(rewraps(t, keys), time),
+        notes.of_tickets(current_tickets(t)),
+    ]
+    path = new_folder(t.spark, "operations")
+    for rows in made:
+        series.append_annotations(rows, path)
+    return t.spark.read.parquet(path).withColumn("tags", F.array_join("tags", ","))
+
+
 @query("t8_get_annotations", _MERGES)
 def t8_get_annotations(t: Tables):
     other = series.annotations(

@@ -124,7 +124,8 @@ def test_data_keys_are_derived_once_per_row(spark):
 
     t = Tables(spark, SF)
     zones = encryption._document_zones(t)
-    sealed = crypto.encrypt_rows(encryption._document_rows(t), zones, encryption._document_keys(zones), encryption.SECRET)
+    sealed = crypto.encrypt_rows(encryption._document_rows(t), zones, encryption._document_keys(zones), encryption.secret(t))
     for df in (sealed, QUERIES["e6_rewrap_zone"](spark, SF)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("sha2(") == 2
+        assert encryption.SECRET.hex().upper() not in plan.upper(), "the secret's bytes are not part of the plan"

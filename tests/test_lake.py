@@ -179,6 +179,9 @@ def test_clean_up_after_compaction(spark, table, rows):
     assert report["orphan_files"] == merged + 1
     outcomes = {r["outcome"]: r["count"] for r in done.outcomes.groupBy("outcome").count().collect()}
     assert outcomes == {"absent": merged, "deleted": 1}
+    kept, files = maintenance.without_expired(snapshots, manifests, done.classified)
+    assert [r["snapshot_id"] for r in kept.collect()] == [4]
+    assert same_rows(files.select("file_path"), now.select("file_path"))
     assert same_rows(spark.read.schema(rows.schema).parquet(path), rows)
 
 
