@@ -23,7 +23,7 @@ DEFAULT_CONF = {
 
 
 _LOCAL_DIR = "spark.harborline.localDir"
-_staged: dict[str, list[str]] = {}
+_staged: dict[str, dict[str, None]] = {}
 
 
 def build_session(app: str = "harborline", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,8 +54,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh, not yet existing folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh, not yet existing folder name under the shared folder; :func:`clear_staged` deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _own(spark)[path] = None
+    return path
+
+
+def _own(spark: SparkSession) -> dict[str, None]:
+    """Folders this session made, in order."""
+    return _staged.setdefault(spark.sparkContext.applicationId, {})
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -65,7 +72,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     executors are lost between them.
     """
     path = new_folder(df.sparkSession, label)
-    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _own(df.sparkSession)[path] = None
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._staged_path = path
@@ -78,10 +85,10 @@ def unstage(spark: SparkSession, *frames: DataFrame) -> None:
     For steps of an operator that runs its jobs one by one; no lazy DataFrame may still need them.
     Spark drops the shuffle files of a collected plan, so a collection is asked for.
     """
-    mine = _staged.get(spark.sparkContext.applicationId, [])
+    mine = _own(spark)
     for frame in frames:
         _delete(spark, frame._staged_path)
-        mine.remove(frame._staged_path)
+        mine.pop(frame._staged_path, None)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -92,11 +99,11 @@ def _delete(spark: SparkSession, name: str) -> None:
 
 
 def clear_staged(spark: SparkSession) -> int:
-    """Delete the tables :func:`stage` wrote for this session; call it when their results are used up.
+    """Delete what this session wrote to folders of its own; call it when the results are used up.
 
-    Staged tables must outlive the lazy DataFrames built on them, so nothing deletes them earlier.
+    Staged tables and the folders of streams and maintenance must outlive the lazy DataFrames built on them, so nothing deletes them earlier.
     """
-    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    paths = _staged.pop(spark.sparkContext.applicationId, {})
     for name in paths:
         _delete(spark, name)
     return len(paths)

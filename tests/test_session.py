@@ -23,6 +23,13 @@ def test_unstage_deletes_only_what_it_is_given(spark, folder, monkeypatch):
     assert session.clear_staged(spark) == 1
 
 
+def test_folders_of_streams_and_jobs_are_cleared_too(spark):
+    session.clear_staged(spark)
+    path = session.new_folder(spark, "job")
+    spark.range(3).write.parquet(f"{path}/data")
+    assert session.clear_staged(spark) == 1 and not os.path.exists(path)
+
+
 def test_literal_tables_have_a_known_size(spark):
     df = session.literal_table(spark, [(1, None)], "a bigint, b map<string,string>")
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
