@@ -102,13 +102,12 @@ def running(
     if not keys:
         return _running_in_chunks(ready, columns, keys, order_by, kinds, peers, df.count())
 
-    # Written, so that the input is counted once and the size of the hot key list is known to joins.
-    sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
-    is_large = F.col("__n") > max_group_rows
-    hot_rows = sizes.agg(F.sum(F.when(is_large, F.col("__n")))).first()[0]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_group_rows)
+    hot_rows = sizes.agg(F.sum("__n")).first()[0]
     if not hot_rows:
         return _running_whole_keys(ready, columns, keys, order_by, kinds, peers)
-    hot = sizes.where(is_large).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+    # Written, so that the list's size is known to the joins and it is made once for both.
+    hot = stage(sizes.select(*[F.col(k).alias(f"__h_{k}") for k in keys]), "hot-keys")
     is_hot = F.lit(True)
     for k in keys:
         is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"__h_{k}"))

@@ -102,9 +102,8 @@ class EventTable:
         files = stage(maintenance.table_files(self.spark, self.path), "commit-files")
         parent = self.manifests().where(F.col("snapshot_id") == number - 1)
         row = maintenance.snapshot(files, parent, self.snapshots(), self.name, number, operation, NOW + dt.timedelta(days=number))
-        noted = stage(row, "commit-snapshot")
         maintenance.manifest(files, self.name, number).write.mode("append").parquet(f"{self.base}/manifests")
-        noted.write.mode("append").parquet(f"{self.base}/snapshots")
+        row.write.mode("append").parquet(f"{self.base}/snapshots")
 
     def append(self, *conditions: str) -> EventTable:
         """One commit per condition on ``part``, the remainder of the event's number."""
