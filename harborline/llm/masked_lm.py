@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from math import ceil, sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from harborline.llm.contamination import word_hashes
 from harborline.llm.textio import byte_chunks
+from harborline.session import stage
 
-#: Words are counted in this many buckets of their hash.
+#: The network sees words in this many buckets of their hash.
 BUCKETS = 1 << 16
-#: Output words stand in clusters; the most frequent buckets have a word each, the rest share words.
+#: Its outputs are classes of words, which stand in clusters; the most frequent buckets have a class each, the rest share classes.
 CLUSTERS, CLUSTER_WORDS = 32, 64
 SHARED_WORDS = 512
 WORDS = CLUSTERS * CLUSTER_WORDS
 PAD = WORDS
+#: The most frequent words go to every task with their share of their class; all others are looked up in the counted vocabulary.
+KNOWN_WORDS = 1 << 16
+#: Log-shares are whole multiples of one over this, so that sums do not depend on their order.
+SHARE_UNIT = 1 << 32
+#: Words that a task counts before it sends what it has.
+COUNT_WORDS = 1 << 21
 #: Neighbours that predict a word, left and right.
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 32
 #: In each round every MASK_EVERY-th word is masked and learnt from, others each round; the rounds mask every word once.
-ROUNDS, MASK_EVERY, BATCH, RATE = 2, 2, 2048, 0.1
+ROUNDS, MASK_EVERY, BATCH, RATE = 2, 2, 8192, 0.1
 #: Parameters in one row on their way to the average.
 BLOCK = 2048
 SEED = 4
@@ -57,34 +65,80 @@ class Weights:
 
 @dataclass
 class Model:
-    """``word_of`` maps hash buckets to word numbers."""
+    """``word_of`` maps hash buckets to classes; ``known`` and ``shares`` are the most frequent words and their log-shares.
+
+    ``vocabulary`` is the stored table of all words: ``hash``, ``n`` and ``share``, the logarithm of the word's part in its
+    class in ``SHARE_UNIT``.  It grows with the corpus and stays a table.
+    """
 
     word_of: np.ndarray
     weights: Weights
+    known: np.ndarray
+    shares: np.ndarray
+    vocabulary: DataFrame | None = None
 
+    def local(self) -> Model:
+        """What tasks need: all but the table."""
+        return Model(self.word_of, self.weights, self.known, self.shares)
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Words of all texts by hash bucket.  Tasks count in fixed arrays; the sums are one row a bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """``hash`` and number of every word of all texts, summed in each task first."""
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], schema=schema)
+
         for part in parts:
             for _, _, data, offsets in byte_chunks(part.column(0), 1 << 17):
                 hashes, _ = word_hashes(data, offsets)
-                total += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=schema)
+                held.append(hashes)
+                size += len(hashes)
+                if size >= COUNT_WORDS:
+                    yield sent()
+                    held, size = [], 0
+        if size:
+            yield sent()
+
+    return docs.select("text").mapInArrow(work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
-    counted = docs.select("text").mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+def bucket_counts(counted: DataFrame) -> np.ndarray:
+    """Counts by hash bucket: at most BUCKETS rows."""
     out = np.zeros(BUCKETS, np.int64)
-    for row in counted.collect():  # at most BUCKETS rows
+    for row in counted.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
     return out
 
 
-def start(counts: np.ndarray) -> Model:
-    """Word numbers by frequency, and weights that predict the plain frequencies of words."""
+def _bucket() -> Column:
+    return F.col("hash").bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def vocabulary(docs: DataFrame) -> Model:
+    """The counted vocabulary with each word's share of its class, and the network before training."""
+    counted = stage(count_words(docs), "lm-counts")
+    counts = bucket_counts(counted)
+    classes, weights = start(counts)
+    totals = np.bincount(classes, weights=counts, minlength=WORDS)
+    of_bucket = counted.sparkSession.createDataFrame(
+        pa.table({"bucket": np.arange(BUCKETS), "total": totals[classes].astype(np.int64)})  # of fixed size
+    )
+    share = F.round(F.log(F.col("n") / F.col("total")) * SHARE_UNIT).cast("long")
+    words = counted.withColumn("bucket", _bucket()).join(of_bucket, "bucket").select("hash", "n", share.alias("share"))
+    words = stage(words, "lm-vocabulary")
+    top = words.orderBy(F.col("n").desc(), "hash").limit(KNOWN_WORDS).select("hash", "share").toArrow()
+    hashes = top.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Model(classes, weights, hashes[order], top.column("share").to_numpy()[order], words)
+
+
+def start(counts: np.ndarray) -> tuple[np.ndarray, Weights]:
+    """Classes of buckets by frequency, and weights that predict the plain frequencies of classes."""
     order = np.argsort(-counts, kind="stable")
     word_of = np.empty(BUCKETS, np.int32)
     own = WORDS - SHARED_WORDS
@@ -93,12 +147,9 @@ def start(counts: np.ndarray) -> Model:
     words = np.bincount(word_of, weights=counts, minlength=WORDS).reshape(CLUSTERS, CLUSTER_WORDS) + 1.0
     made = np.random.default_rng(SEED)
     draw = lambda *shape: (made.standard_normal(shape) * 0.1).astype(np.float32)
-    return Model(
-        word_of,
-        Weights(
-            draw(len(WINDOW), WORDS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLUSTERS),
-            np.log(words.sum(1)).astype(np.float32), draw(CLUSTERS, HIDDEN, CLUSTER_WORDS), np.log(words).astype(np.float32),
-        ),
+    return word_of, Weights(
+        draw(len(WINDOW), WORDS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLUSTERS),
+        np.log(words.sum(1)).astype(np.float32), draw(CLUSTERS, HIDDEN, CLUSTER_WORDS), np.log(words).astype(np.float32),
     )
 
 
@@ -115,16 +166,26 @@ def neighbours(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _by_cluster(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cluster = words // CLUSTER_WORDS
-    return np.argsort(cluster, kind="stable"), np.searchsorted(np.sort(cluster), np.arange(CLUSTERS + 1))
+    """Order by cluster, and where each cluster begins in it.  Short numbers are sorted by counting."""
+    cluster = (words // CLUSTER_WORDS).astype(np.int16)
+    order = np.argsort(cluster, kind="stable")
+    return order, np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray) -> np.ndarray:
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
     return logits
 
 
+def _log_chosen(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one column of each row."""
+    logits -= logits.max(axis=1, keepdims=True)
+    at = logits[np.arange(len(logits)), chosen]
+    return at - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
 def _hidden(w: Weights, around: np.ndarray) -> np.ndarray:
     total = w.near[0][around[:, 0]]
     for k in range(1, len(WINDOW)):
@@ -134,62 +195,69 @@ def _hidden(w: Weights, around: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(w: Weights, words: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Log-probability of each word given the words around it."""
-    hidden = _hidden(w, around)
-    index = np.arange(len(words))
-    out = _log_softmax(hidden @ w.cluster + w.cluster_bias)[index, words // CLUSTER_WORDS].astype(np.float64)
+    """Log-probability of each word's class given the words around it."""
     order, ends = _by_cluster(words)
+    words, hidden = words[order], _hidden(w, around[order])
+    logs = _log_chosen(hidden @ w.cluster + w.cluster_bias, words // CLUSTER_WORDS).astype(np.float64)
+    place = words % CLUSTER_WORDS
     for c in range(CLUSTERS):
-        at = order[ends[c] : ends[c + 1]]
-        if len(at):
-            logits = _log_softmax(hidden[at] @ w.word[c] + w.word_bias[c])
-            out[at] += logits[index[: len(at)], words[at] % CLUSTER_WORDS]
+        a, b = ends[c], ends[c + 1]
+        if a < b:
+            logs[a:b] += _log_chosen(hidden[a:b] @ w.word[c] + w.word_bias[c], place[a:b])
+    out = np.empty(len(words))
+    out[order] = logs
     return out
 
 
 def learn_batch(w: Weights, past: Weights, words: np.ndarray, around: np.ndarray) -> None:
     """One step on masked ``words``, with step lengths by the sums ``past`` of squared gradients."""
     n = len(words)
+    order, ends = _by_cluster(words)
+    words, around = words[order], around[order]
     hidden = _hidden(w, around)
-    index = np.arange(n)
-    error = np.exp(_log_softmax(hidden @ w.cluster + w.cluster_bias))
+    index, place = np.arange(n), words % CLUSTER_WORDS
+    error = _softmax(hidden @ w.cluster + w.cluster_bias)
     error[index, words // CLUSTER_WORDS] -= 1
     error /= n
-
-    def move(name: str, gradient: np.ndarray, part=...) -> None:
-        square = getattr(past, name)
-        square[part] += gradient * gradient
-        getattr(w, name)[part] -= RATE * gradient / np.sqrt(square[part] + 1e-10)
-
     back = error @ w.cluster.T
-    order, ends = _by_cluster(words)
+    gradient, bias = np.zeros_like(w.word), np.zeros_like(w.word_bias)
     for c in range(CLUSTERS):
-        at = order[ends[c] : ends[c + 1]]
-        if not len(at):
+        a, b = ends[c], ends[c + 1]
+        if a == b:
             continue
-        wrong = np.exp(_log_softmax(hidden[at] @ w.word[c] + w.word_bias[c]))
-        wrong[index[: len(at)], words[at] % CLUSTER_WORDS] -= 1
+        wrong = _softmax(hidden[a:b] @ w.word[c] + w.word_bias[c])
+        wrong[index[: b - a], place[a:b]] -= 1
         wrong /= n
-        back[at] += wrong @ w.word[c].T
-        move("word", hidden[at].T @ wrong, c)
-        move("word_bias", wrong.sum(0), c)
+        back[a:b] += wrong @ w.word[c].T
+        np.matmul(hidden[a:b].T, wrong, out=gradient[c])
+        bias[c] = wrong.sum(0)
+
+    def move(name: str, step: np.ndarray) -> None:
+        square = getattr(past, name)
+        square += step * step
+        getattr(w, name)[...] -= RATE * step / np.sqrt(square + 1e-10)
+
+    move("word", gradient)
+    move("word_bias", bias)
     move("cluster", hidden.T @ error)
     move("cluster_bias", error.sum(0))
     back *= 1 - hidden * hidden
     move("hidden", back.sum(0))
     for k in range(len(WINDOW)):
-        order = np.argsort(around[:, k], kind="stable")
-        first = np.flatnonzero(np.diff(around[order, k], prepend=-1))
-        gradient = np.add.reduceat(back[order], first, axis=0)
-        near, square = w.near[k], past.near[k]
-        rows = around[order[first], k]
-        square[rows] += gradient * gradient
-        near[rows] -= RATE * gradient / np.sqrt(square[rows] + 1e-10)
-
-
-def _words(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = around[:, k].astype(np.int16)
+        order = np.argsort(column, kind="stable")
+        first = np.flatnonzero(np.diff(column[order], prepend=-1))
+        step = np.add.reduceat(back[order], first, axis=0)
+        rows = column[order[first]]
+        square = past.near[k][rows] + step * step
+        past.near[k][rows] = square
+        w.near[k][rows] -= RATE * step / np.sqrt(square + 1e-10)
+
+
+def _words(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, rows and hashes of the words of a run of texts."""
     hashes, rows = word_hashes(data, offsets)
-    return model.word_of[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], rows
+    return model.word_of[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], rows, hashes
 
 
 def _round(docs: DataFrame, model: Model, turn: int) -> Weights:
@@ -199,7 +267,7 @@ def _round(docs: DataFrame, model: Model, turn: int) -> Weights:
     tasks and then in total, so that no task sees more than about the root of their number.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    shared = spark.sparkContext.broadcast(model.local())  # of fixed size
     schema = pa.schema([("block", pa.int32()), ("task", pa.int32()), ("n", pa.float64()), ("sums", pa.list_(pa.float64()))])
     kind = "block int, task int, n double, sums array<double>"
 
@@ -212,7 +280,7 @@ def _round(docs: DataFrame, model: Model, turn: int) -> Weights:
         learnt, held_words, held_around, held = 0, [], [], 0
         for part in parts:
             for _, _, data, offsets in byte_chunks(part.column(0), 1 << 17):
-                words, rows = _words(known, data, offsets)
+                words, rows, _ = _words(known, data, offsets)
                 at = np.arange(turn * MASK_EVERY // ROUNDS, len(words), MASK_EVERY)
                 held_words.append(words[at])
                 held_around.append(neighbours(words, rows)[at])
@@ -262,39 +330,70 @@ def train(docs: DataFrame) -> Model:
     The result depends on how the table is cut into tasks, but not on the order in which they end.
     Null and empty texts add nothing; an empty table gives a model of equal frequencies.
     """
-    model = start(bucket_counts(docs))
+    model = vocabulary(docs)
     for turn in range(ROUNDS):
-        model = Model(model.word_of, _round(docs, model, turn))
+        model.weights = _round(docs, model, turn)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``log_likelihood`` (sum over words) and ``score`` (mean) of every row.
 
-    Each word of the whole text is predicted from the words on both sides of it, as if masked.  Texts
-    that are null or without words have likelihood zero and a null score.  Equal rows score equally.
-    Other columns are ignored.
+    Each word of the whole text is predicted from the words on both sides of it, as if masked: the
+    probability of its class there times the word's share of the class in the corpus.  The most
+    frequent words' shares go to every task; the rest of a text's words are joined to the vocabulary.  A
+    word that the model has not counted has a share of 2 to the minus 64.
+
+    Texts that are null or without words have likelihood zero and a null score.  Equal rows score
+    equally.  Other columns are ignored.
     """
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    doc_type = docs.schema["doc_id"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(model.local())  # of fixed size
+    schema = pa.schema([
+        ("doc_id", to_arrow_type(doc_type)), ("n_tokens", pa.int64()), ("classes", pa.float64()), ("shares", pa.int64()),
+        ("rare", pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))),
+    ])
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for part in parts:
-            counts, sums = [], []
+            counts, logs, shares, rare_sizes, rare_hashes, rare_counts = [], [], [], [], [], []
             for first, end, data, offsets in byte_chunks(part.column(1), 1 << 17):
-                words, rows = _words(known, data, offsets)
-                logs = log_probabilities(known.weights, words, neighbours(words, rows))
-                counts.append(np.bincount(rows, minlength=end - first))
-                sums.append(np.bincount(rows, weights=logs, minlength=end - first))
-            count = np.concatenate(counts or [np.empty(0, np.int64)]).astype(np.int64)
-            total = np.concatenate(sums or [np.empty(0)]).astype(np.float64)
+                words, rows, hashes = _words(known, data, offsets)
+                found = log_probabilities(known.weights, words, neighbours(words, rows))
+                size = end - first
+                counts.append(np.bincount(rows, minlength=size))
+                logs.append(np.bincount(rows, weights=found, minlength=size))
+                at = np.minimum(np.searchsorted(known.known, hashes), max(len(known.known) - 1, 0))
+                hit = known.known[at] == hashes if len(known.known) else np.zeros(len(hashes), bool)
+                total = np.zeros(size, np.int64)
+                np.add.at(total, rows[hit], known.shares[at[hit]])
+                shares.append(total)
+                rest, owner = hashes[~hit], rows[~hit]
+                order = np.lexsort((rest, owner))
+                rest, owner = rest[order], owner[order]
+                heads = np.flatnonzero(np.concatenate(([True], (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])))) if len(rest) else np.empty(0, np.int64)
+                rare_hashes.append(rest[heads])
+                rare_counts.append(np.diff(np.append(heads, len(rest))))
+                rare_sizes.append(np.bincount(owner[heads], minlength=size))
+            join = lambda made, kind: np.concatenate(made).astype(kind) if made else np.empty(0, kind)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(join(rare_hashes, np.uint64).view(np.int64)), pa.array(join(rare_counts, np.int64))], fields=list(schema.field("rare").type.value_type)
+            )
+            ends = np.concatenate(([0], np.cumsum(join(rare_sizes, np.int64)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(count), pa.array(total),
-                 pa.array(total / np.maximum(count, 1), mask=count == 0)],
-                names=["doc_id", "n_tokens", "log_likelihood", "score"],
+                [part.column(0), pa.array(join(counts, np.int64)), pa.array(join(logs, np.float64)), pa.array(join(shares, np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                schema=schema,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {doc_type}, n_tokens long, log_likelihood double, score double"
-    )
+    kind = f"doc_id {doc_type.simpleString()}, n_tokens long, classes double, shares long, rare array<struct<hash:long,n:long>>"
+    made = docs.select("doc_id", "text").mapInArrow(work, kind)
+    numbered = stage(made.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rare = numbered.select("row", F.explode("rare").alias("w")).select("row", "w.hash", "w.n")
+    unseen = F.lit(-round(64 * log(2) * SHARE_UNIT))
+    looked = rare.join(model.vocabulary.select("hash", "share"), "hash", "left")
+    sums = looked.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("share", unseen)).alias("more"))
+    total = F.col("classes") + (F.col("shares") + F.coalesce("more", F.lit(0))) / F.lit(float(SHARE_UNIT))
+    summed = numbered.drop("rare").join(sums, "row", "left").withColumn("log_likelihood", total)
+    return summed.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"))
