@@ -139,13 +139,17 @@ def _running_in_chunks(
     ready: DataFrame, columns: list[str], keys: list[str], order_by: list[str], kinds: Mapping[str, str], peers: bool,
     rows: int,
 ) -> DataFrame:
-    """Rows of equal key and order share a chunk, so the carry rows are right for peers as well."""
+    """Rows of equal key and order share a chunk where peers see each other, so the carry rows are right for them.
+
+    Otherwise their order is free, and they are cut by a hash of the row, so that a place shared by many rows spans chunks too.
+    """
     cores = ready.sparkSession.sparkContext.defaultParallelism
     chunks = max(rows // CHUNK_ROWS, 2 * cores)
-    chunked = stage(
-        ready.repartitionByRange(chunks, *_ascending([*keys, *order_by])).withColumn(_CHUNK, F.spark_partition_id()),
-        "chunks",
-    )
+    ranges = _ascending([*keys, *order_by])
+    hashable = [f.name for f in ready.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    if not peers and hashable:
+        ranges.append(F.xxhash64(*hashable))
+    chunked = stage(ready.repartitionByRange(chunks, *ranges).withColumn(_CHUNK, F.spark_partition_id()), "chunks")
     order = _place(order_by)
     folded = chunked.groupBy(*keys, _CHUNK).agg(
         *[_fold(k, F.col(f"__in_{n}"), order).alias(f"__in_{n}") for n, k in kinds.items()]

@@ -22,6 +22,7 @@ def test_ordered_operators(events):
     assert running(e, [], ["ts"], {"n": ("count", F.lit(1))}).columns == [*e.columns, "n"]
     assert rows_frame(e, ["user_id"], ["ts"], 1, 1, {"m": lambda w: F.max("value").over(w)}).isEmpty()
     assert peer_ranks(e, ["user_id"], ["value"]).isEmpty()
+    assert trailing_extrema(e, ["user_id"], "ts", 60, F.col("value"), "low", "high").columns == [*e.columns, "low", "high"]
     assert exact_quantiles(e, ["user_id"], "value", {"q": 0.5}).isEmpty()
     assert trailing_sum(e, ["user_id"], "ts", 60, F.col("event_id"), "s", "c").isEmpty()
     assert newest_per_key(e, ["user_id"], ["ts"], 3).isEmpty()

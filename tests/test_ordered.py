@@ -73,6 +73,21 @@ def test_global_index(skewed, limit):
     assert [r[0] for r in ours.orderBy("ts", "event_id").select("i").collect()] == list(range(1, skewed.count() + 1))
 
 
+def test_rows_of_one_place_span_chunks(spark, skewed, monkeypatch):
+    """A million rows of one time are no one task's: positions are whole, and no chunk holds most rows."""
+    from harborline.operators import ordered
+
+    seen = []
+    keep = ordered.stage
+    monkeypatch.setattr(ordered, "stage", lambda df, label: seen.append((label, keep(df, label))) or seen[-1][1])
+    same_time = skewed.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    found = row_index(same_time, ["kind"], ["ts"], max_group_rows=CHUNKED)
+    places = found.groupBy("kind").agg(F.count_distinct("row_index").alias("a"), F.max("row_index").alias("b"), F.count("*").alias("c"))
+    assert places.where("a <> c OR b <> c").isEmpty()
+    chunks = [df for label, df in seen if label == "chunks"][0]
+    assert chunks.groupBy("__chunk").count().agg(F.max("count")).first()[0] < 0.3 * same_time.count()
+
+
 @pytest.mark.parametrize("limit", [CHUNKED, PLAIN])
 def test_peer_ranks_with_many_ties(skewed, limit):
     tied = skewed.withColumn("band", F.floor(F.col("value") / 25))
