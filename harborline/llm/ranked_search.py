@@ -390,7 +390,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP_DOCUMENTS) -> DataFra
     weight = F.floor(1000 * F.log((2 * F.lit(n).cast("double") + 2) / (2 * F.col("df") + 1)))
     weights = lists.join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).select("term", weight.alias("weight"))
     per_group = terms.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
-    queries = per_group.groupBy("term", "group").agg(F.collect_list("item").alias("items")).join(weights.where("weight > 0"), "term")
+    asked_terms = per_group.groupBy("term", "group").agg(F.collect_list("item").alias("items"))
+    # written, so that Spark knows its size and need not shuffle the whole index where it is small
+    queries = stage(asked_terms.join(weights.where("weight > 0"), "term"), "search-queries")
     heaps = (
         lists.join(queries, "term")
         .select("shard", "group", "weight", "items", "firsts", "lasts", "starts", "tops", "postings")
