@@ -17,7 +17,7 @@ from harborline.session import stage
 
 TOP_DOCUMENTS = 50
 #: A shard is the documents of one task up to this many bytes of text (one document, if longer).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Text is cut into terms this many bytes at a time.
 PIECE_BYTES = 1 << 20
 #: Postings of a block, the unit that is skipped or decompressed.
@@ -167,9 +167,12 @@ class _Shard:
         term = known[np.concatenate([p[0] for p in self.parts])]
         doc = local[np.concatenate([p[1] for p in self.parts])]
         tf = np.concatenate([p[2] for p in self.parts])
+        self.parts, self.terms = [], []  # several times the text's size
         key = term * self.rows + doc
+        del term, doc, known
         sort = np.argsort(key, kind="stable")
         key, tf = key[sort], tf[sort]
+        del sort
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         key, tf = key[first], np.add.reduceat(tf, first)  # a long text comes in several pieces
         term, doc = key // self.rows, key % self.rows
