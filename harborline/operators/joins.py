@@ -12,27 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPEN_LEVEL = 99
+#: Cells of overlap joins are this many times as wide as the ranges of their level, so that few ranges are in two of them.
+_ROOM = 4
 
 
 def range_join(
-    points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float,
-    keys: Sequence[str] = (), open_low: bool = False,
+    points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Points with every range of the same ``keys`` that holds ``low <= value < high``; with ``open_low``, ``low < value``.
+    """Points with every range of the same ``keys`` that holds ``low <= value < high``.
 
     A range is joined on the two or three cells it touches at the level whose cells, ``width`` times a
     power of four, are as wide as it is.  Points are spelled out once per level that ranges have, so
     the copies of a row do not depend on how wide ranges are.  Ranges without an end, or too wide for
     numbered cells, share one cell of a last level.  Empty ranges and nulls match nothing.
     """
-    size = (F.col(high) - F.col(low)) / width
-    exact = (F.greatest(F.abs(F.col(low)), F.abs(F.col(high))) / width) < float(1 << 52)
-    level = F.when(exact, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0))) / 2)).cast("int")).otherwise(_OPEN_LEVEL)
-    cell = width * F.pow(F.lit(4.0), F.col("__level"))
+    cell = _cell(width)
     cells = F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
     open_level = F.col("__level") == _OPEN_LEVEL
     placed = (
-        ranges.where(F.col(low) < F.col(high)).withColumn("__level", level)
+        ranges.where(F.col(low) < F.col(high)).withColumn("__level", _level(low, high, width))
         .withColumn("__bucket", F.explode(F.when(open_level, F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
     )
     levels = [r[0] for r in placed.select("__level").distinct().collect()]  # about 30 at most
@@ -40,28 +38,71 @@ def range_join(
         points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
         .withColumn("__bucket", F.when(open_level, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(value) / cell)))
         .join(placed, [*keys, "__level", "__bucket"])
-        .where((F.col(value) > F.col(low) if open_low else F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+        .where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
         .drop("__level", "__bucket")
     )
 
 
 def overlap_join(
-    left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, keys: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, keys: Sequence[str] = (),
+    left_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of rows of the same ``keys`` whose ranges ``[low, high)`` overlap, each pair once.
 
-    Two ranges that overlap do so where the later of them begins: the right one begins inside the left
-    one, or the left one begins inside the right one and after its beginning.  These are two joins of
-    points with ranges, and no pair is in both, so neither copies of pairs nor a pass to remove them
-    are needed.  Bounds are numbers; all columns but ``keys`` must differ in name.  Empty ranges and
-    nulls match nothing.
+    Two ranges that overlap do so where the later of them begins.  They meet in the cell that holds
+    this place, at the level of the wider one: a range is narrower than the cells of its level, so it
+    has one or two there, and as many at each higher level that ranges of the other side have.  One join finds all pairs, and neither copies of pairs nor a pass to remove them are needed.
+    Levels are read from the tables; ``left_sizes``, with the bounds of the rows of ``left`` and maybe
+    of more, is read instead of a ``left`` that is dear to make.  Bounds are numbers; all columns but
+    ``keys`` must differ in name.  Empty ranges and nulls match nothing.
     """
     (a, b), (c, d) = left_range, right_range
     lefts, rights = left.where(F.col(a) < F.col(b)), right.where(F.col(c) < F.col(d))
     names = [*left.columns, *[n for n in right.columns if n not in keys]]
-    begins_in_left = range_join(rights, lefts, c, a, b, width, keys)
-    begins_in_right = range_join(lefts, rights, a, c, d, width, keys, open_low=True)
-    return begins_in_left.select(*names).unionByName(begins_in_right.select(*names))
+    in_left = _levels(lefts if left_sizes is None else left_sizes.where(F.col(a) < F.col(b)), a, b, width)
+    in_right = _levels(rights, c, d, width)
+    placed_left = _place(lefts, a, b, width, in_left, in_right).withColumnRenamed("__own", "__own_left")
+    placed_right = _place(rights, c, d, width, in_right, in_left).withColumnRenamed("__own", "__own_right")
+    met = (F.col("__level") == _OPEN_LEVEL) | (F.col("__bucket") == F.floor(F.greatest(a, c) / _cell(_ROOM * width)))
+    return (
+        placed_left.join(placed_right, [*keys, "__level", "__bucket"])
+        .where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("__own_left") | F.col("__own_right")) & met)
+        .select(*names)
+    )
+
+
+def _level(low: str, high: str, width: float) -> Column:
+    """The level whose cells, ``width`` times a power of four, are at least as wide as a range; the last one if they have no numbers."""
+    size = (F.col(high) - F.col(low)) / width
+    exact = (F.greatest(F.abs(F.col(low)), F.abs(F.col(high))) / width) < float(1 << 52)
+    return F.when(exact, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0))) / 2)).cast("int")).otherwise(_OPEN_LEVEL)
+
+
+def _cell(width: float) -> Column:
+    return width * F.pow(F.lit(4.0), F.col("__level"))
+
+
+def _levels(ranges: DataFrame, low: str, high: str, width: float) -> list[int]:
+    """The levels that ranges have, about 30 at most."""
+    return sorted(r[0] for r in ranges.select(_level(low, high, width)).distinct().collect())
+
+
+def _place(ranges: DataFrame, low: str, high: str, width: float, levels: list[int], others: list[int]) -> DataFrame:
+    """A row for each cell of a range: at its own level (``__own``), if ranges as wide or narrower wait there, and at all higher ones of the other side."""
+    def meets(n: Column) -> Column:
+        lower = (n == F.col("__least")) & (n > min(others)) if others else F.lit(False)
+        return (n >= F.col("__least")) & (n.isin(others) | lower)
+
+    every = F.array(*[F.lit(n) for n in sorted({*levels, *others})]).cast("array<int>")
+    cells = F.sequence(*[F.floor(F.col(end) / _cell(_ROOM * width)) for end in (low, high)])
+    open_cell = F.array(F.lit(0).cast("bigint"))
+    return (
+        ranges.withColumn("__least", _level(low, high, width))
+        .withColumn("__level", F.explode(F.filter(every, meets)))
+        .withColumn("__own", F.col("__level") == F.col("__least"))
+        .withColumn("__bucket", F.explode(F.when(F.col("__level") == _OPEN_LEVEL, open_cell).otherwise(cells)))
+        .drop("__least")
+    )
 
 
 def interval_join(

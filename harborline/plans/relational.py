@@ -249,12 +249,12 @@ def _days(column):
 @query("b07_overlap_join", _SHIPPING)
 def b07_overlap_join(t: Tables):
     """Line items under way (a day per piece from shipping) while another order of the same customer was open (30 days)."""
+    way = [_days("l_shipdate").alias("s"), (_days("l_shipdate") + F.col("l_quantity").cast("int")).alias("e")]
     sent = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("cust"), "l_orderkey", "l_linenumber",
-        _days("l_shipdate").alias("s"), (_days("l_shipdate") + F.col("l_quantity").cast("int")).alias("e"),
+        F.col("o_custkey").alias("cust"), "l_orderkey", "l_linenumber", *way
     )
     opened = t.orders.select(F.col("o_custkey").alias("cust"), "o_orderkey", _days("o_orderdate").alias("o"), (_days("o_orderdate") + 30).alias("c"))
-    pairs = overlap_join(sent, opened, ("s", "e"), ("o", "c"), 16.0, ["cust"])
+    pairs = overlap_join(sent, opened, ("s", "e"), ("o", "c"), 16.0, ["cust"], left_sizes=t.lineitem.select(*way))
     return pairs.where(F.col("o_orderkey") != F.col("l_orderkey")).select("cust", "l_orderkey", "l_linenumber", "o_orderkey")
 
 

@@ -121,3 +121,17 @@ def test_overlap_join_equals_all_pairs(spark, keys):
         return a < d and c < b
 
     assert got == sorted((p[3], q[3]) for p in sides[0] for q in sides[1] if meet(p, q))
+
+
+def test_overlap_join_places_a_row_once_per_cell(spark):
+    """One join, and no copies of rows for the levels that no range of the other side asks for."""
+    from harborline.operators import joins
+
+    rows = [(1, float(i), float(i) + n, i) for i, n in zip(range(0, 4000, 40), itertools.cycle([2, 30]))]
+    left = spark.createDataFrame(rows, "k int, a double, b double, x int")
+    right = spark.createDataFrame([(1, r[1] + 1, r[1] + 31, r[3]) for r in rows], "k int, c double, d double, y int")
+    joined = overlap_join(left, right, ("a", "b"), ("c", "d"), 16.0, ["k"], left_sizes=left.select("a", "b"))
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert joined.count() == sum(a < d and c < b for _, a, b, _ in rows for c, d in [(r[1] + 1, r[1] + 31) for r in rows])
+    placed = joins._place(left, "a", "b", 16.0, [0, 1], [1])
+    assert placed.count() <= 1.5 * len(rows) and placed.where("__level <> 1").isEmpty()
