@@ -68,6 +68,17 @@ def test_revoking_reports_unknown_leases(spark):
     assert [r[0] for r in kept.collect()] == ["a"] and [r[0] for r in unknown.collect()] == ["x"]
 
 
+def test_revoking_deals_ids_to_tasks_by_rows(spark, monkeypatch):
+    """However few bytes the ids take, a task gets a bounded number of them; nulls and copies count as before."""
+    monkeypatch.setattr(gov, "TASK_ROWS", 50, raising=False)
+    leases = spark.range(1000).selectExpr("nullif(id, 7) AS lease_id").union(spark.range(2).selectExpr("8L"))
+    revoked = spark.range(500, 1500).selectExpr("id AS lease_id").union(spark.range(3).selectExpr("CAST(NULL AS BIGINT)"))
+    kept, unknown = gov.revoke_leases(leases, revoked)
+    assert sorted(r[0] if r[0] is not None else -1 for r in kept.collect()) == sorted([*(set(range(500)) - {7}), 8, 8, -1])
+    assert sorted(r[0] if r[0] is not None else -1 for r in unknown.collect()) == [-1, *range(1000, 1500)]
+    assert all(max(len(part) for part in df.rdd.glom().collect()) < 100 for df in (kept, unknown))
+
+
 def test_a_ticket_ending_now_is_not_valid(spark):
     df = literal_table(spark, [("c", "R", T0), ("d", "R", T0 - dt.timedelta(hours=1))], "client string, realm string, start_time timestamp")
     ticket = gov.current_tickets(gov.issue_tickets(df, 3600))
