@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from harborline.operators import governance, metrics, series
 
-#: Groups that the points of one key are dealt to by their hash, so that a hot key has several state tasks.
+#: Groups that the points of one key, or the leases of one stretch of time, are dealt to by their hash, so that a hot key has several state tasks.
 SALTS = 16
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -136,35 +136,71 @@ def current_histogram(spark: SparkSession, path: str, bounds: Sequence[float] =
     return metrics.cumulate_buckets(latest.select("label", "bucket", "c.n", "c.s"), bounds)
 
 
+LEASE_FIELDS = ("lease_id", "role", "db_name", "ttl_secs", "issued", "ends")
+#: Leases that end within so many microseconds of each other share a key of the state, with ``SALTS`` keys for each stretch of time.
+STRETCH = 600_000_000
+_APPENDED = 10_000
+
+
 class LeaseTimers(StatefulProcessor):
-    """Copies of a lease as value state, and a timer at its end that emits them.
+    """Leases that end in one stretch of time, of one salt, as list state, and a timer at the earliest end that emits those that are over.
 
-    The key is the lease with its times in microseconds.  Timers count whole milliseconds.  A request
-    that was refused, or whose lease has no end, is not kept.
+    Calls to the store are few for each key, not for each lease.  Timers count whole milliseconds.  A
+    request that was refused, or whose lease has no end, is not kept, and a lease that is over already
+    is emitted at once.
     """
 
+    def __init__(self, fields: str):
+        self.fields = fields
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.copies = handle.getValueState("copies", "n long")
+        self.leases = handle.getListState("leases", self.fields)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        end = key[-1]
-        if end is not None:
-            held = self.copies.get()[0] if self.copies.exists() else 0
-            self.copies.update((held + sum(1 for _ in rows),))
-            self.handle.registerTimer(-(-end // 1000))
-        return iter(())
+        now = timerValues.getCurrentWatermarkInMs()
+        over, held, first = [], [], None
+        for row in rows:
+            lease = tuple(row)[: len(LEASE_FIELDS)]
+            if lease[-1] is None:
+                continue
+            end = _whole_ms(lease)
+            if end <= now:
+                over.append(lease)
+                continue
+            first = end if first is None else min(first, end)
+            held.append(lease)
+            if len(held) == _APPENDED:
+                self.leases.appendList(held)
+                held = []
+        if held:
+            self.leases.appendList(held)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return map(_as_row, over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        (copies,) = self.copies.get()
-        self.copies.clear()
-        return (Row(**dict(zip(LEASE_FIELDS, key))) for _ in range(copies))
+        now = timerValues.getCurrentWatermarkInMs()
+        over, rest = [], []
+        for lease in self.leases.get() if self.leases.exists() else ():
+            (over if _whole_ms(lease) <= now else rest).append(lease)
+        if rest:
+            self.handle.registerTimer(min(map(_whole_ms, rest)))
+        if over:
+            self.leases.put(rest) if rest else self.leases.clear()
+        return map(_as_row, over)
 
     def close(self) -> None:
         pass
 
 
-LEASE_FIELDS = ("lease_id", "role", "db_name", "ttl_secs", "issued", "ends")
+def _whole_ms(lease: tuple) -> int:
+    """The first whole millisecond at which a lease is over."""
+    return -(-lease[-1] // 1000)
+
+
+def _as_row(lease: tuple) -> Row:
+    return Row(**dict(zip(LEASE_FIELDS, lease)))
 
 
 def _leases(rows: DataFrame, kind: str) -> DataFrame:
@@ -192,15 +228,17 @@ def stream_lease_expiry(
         F.when(granted, _micros("expire_time")).alias("ends"),
     )
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    over = keyed.groupBy(*LEASE_FIELDS).transformWithState(LeaseTimers(), names, "Append", "EventTime")
+    # Refused ones are dealt by their time of issue, so that they are not all in a few keys.
+    stretch, salt = F.floor(F.coalesce("ends", "issued") / STRETCH), F.pmod(F.xxhash64(*LEASE_FIELDS), F.lit(SALTS))
+    dealt = keyed.select("*", stretch.alias("stretch"), salt.alias("salt"))
+    over = dealt.groupBy("stretch", "salt").transformWithState(LeaseTimers(names), names, "Append", "EventTime")
     writer = _leases(over, kind).writeStream.format("parquet").option("path", f"{path}/expired").outputMode("append")
     return _start_stateful(writer, requests.sparkSession, checkpoint, available_now)
 
 
 def running_leases(spark: SparkSession, checkpoint: str, kind: str = "timestamp_ntz") -> DataFrame:
     """Leases of :func:`stream_lease_expiry` that its timers have not ended yet."""
-    held = _state(spark, checkpoint, "copies").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("value.n"))))
-    return _leases(held.select("key.*"), kind)
+    return _leases(_state(spark, checkpoint, "leases").select("list_element.*"), kind)
 
 
 def expired_leases(spark: SparkSession, path: str) -> DataFrame:

@@ -122,6 +122,25 @@ def test_lease_ends_at_the_millisecond(spark, folder):
     assert [r["lease_id"] for r in jobs.running_leases(spark, f"{folder}/cp").collect()] == [2]
 
 
+def test_leases_share_state_keys(spark, folder, monkeypatch):
+    """State keys follow the time that leases span, not their number; a key's leases end one by one, each once."""
+    monkeypatch.setattr(jobs, "SALTS", 2)
+    kinds = "lease_id bigint, role string, requested_ttl bigint, issue_time timestamp_ntz"
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    parts = [[(i, "r", 60 + i % 120, at(0)) for i in range(300)], [(900, "gone", 1, at(59))], [(901, "r", 600, at(58)), (902, "gone", 1, dt.datetime(2024, 1, 1, 0, 2))]]
+    for rows in parts:
+        literal_table(spark, rows, kinds).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(kinds).parquet(f"{folder}/in")
+        known = literal_table(spark, [("r", "db", 60, 3600)], "role_name string, db_name string, default_ttl_secs bigint, max_ttl_secs bigint")
+        jobs.stream_lease_expiry(source, known, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    ended = [r["lease_id"] for r in jobs.expired_leases(spark, f"{folder}/out").collect()]
+    assert sorted(ended) == [i for i in range(300) if 60 + i % 120 <= 120]
+    running = jobs.running_leases(spark, f"{folder}/cp")
+    assert sorted(r["lease_id"] for r in running.collect()) == [*(i for i in range(300) if 60 + i % 120 > 120), 901]
+    held = spark.read.format("statestore").option("stateVarName", "leases").load(f"{folder}/cp")
+    assert held.select("key").distinct().count() <= 4
+
+
 def test_tumbling_windows(spark, events, source, folder):
     path, add = source
     run_twice(lambda: jobs.stream_tumbling_stats(
