@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands, exact comparison, groups."""
+"""Near-duplicates of word shingle sets: SimHash fingerprints, MinHash bands beyond their radius, exact comparison, groups."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from xxhash import xxh64_intdigest
 
 from harborline.llm.components import components
 from harborline.llm.prefix import prefix_sums
-from harborline.llm.simhash import keep_firsts
+from harborline.llm.simhash import keep_firsts, link_values, majority
 from harborline.llm.textio import byte_chunks, mix64, same
 from harborline.session import stage
 
@@ -54,21 +54,22 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (hash of the shingle set), ``size`` and ``bands`` of every row."""
+    """``doc_id``, ``text_hash``, ``node`` (hash of the shingle set), ``size``, ``fingerprint`` and ``bands`` of every row."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    kinds = (("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())))
+    kinds = (("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fingerprint", pa.int64()), ("bands", pa.list_(pa.int64())))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for found in _sets(part.column(2)):
                 nodes.append(xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(majority(found))
                 keys.append(bands(found).view(np.int64) if len(found) else [])
-            columns = [part.column(0), part.column(1), np.array(nodes, np.uint64).view(np.int64), sizes, keys]
+            columns = [part.column(0), part.column(1), np.array(nodes, np.uint64).view(np.int64), sizes, np.array(prints, np.uint64).view(np.int64), keys]
             yield pa.record_batch([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, kinds)], schema=pa.schema(kinds))
 
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, node long, size long, bands array<long>")
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, node long, size long, fingerprint long, bands array<long>")
 
 
 def _sets_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -182,11 +183,19 @@ def _tile_tasks(placed: DataFrame) -> DataFrame:
     )
 
 
+def _alike(made: DataFrame) -> DataFrame:
+    """Sets that SimHash links, as buckets (number ``BANDS``) of their components: op7's fingerprints, bit planes and links."""
+    sets = made.where("size > 0").select("node", "size", "fingerprint").distinct()
+    roots = components(link_values(sets.select(F.col("fingerprint").alias("v")).distinct())).select(F.col("node").alias("fingerprint"), "root")
+    return sets.join(roots, "fingerprint", "left").select("node", "size", F.lit(BANDS).alias("t"), F.coalesce("root", "fingerprint").alias("key"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Group documents that links of Jaccard similarity ``MIN_SIMILARITY`` or more connect.
 
-    Returns ``doc_id``, ``text_hash`` and ``root`` (the group's key) for every row.  Sets that share a
-    MinHash band are candidates, and every link is checked on the whole sets.  Each set is compared
+    Returns ``doc_id``, ``text_hash`` and ``root`` (the group's key) for every row.  Sets that SimHash
+    groups are candidates, and so are those that share a MinHash band, as sets of that similarity may differ
+    in more bits than fingerprints can be looked up by.  Every link is checked on the whole sets.  Each set is compared
     with the smallest of its buckets first; then those that share a bucket with another group, in
     pairs of tiles of bounded size.  A pair of tiles gives at most as many links as it joins groups,
     however many pairs of sets it compares.  Equal sets are one node, also of different ``doc_id``.
@@ -197,6 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     firsts = stage(made.groupBy("node").agg(F.min(first).alias("first")), "jaccard-nodes")
     keyed = made.select("node", "size", F.posexplode("bands").alias("t", "key")).distinct()
+    keyed = keyed.unionByName(stage(_alike(made), "jaccard-alike"))
     buckets = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
     shared = stage(keyed.join(buckets, ["t", "key"]), "jaccard-buckets")
     sets = _sets_of(shared.select("node").distinct(), firsts, docs)

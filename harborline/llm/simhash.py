@@ -24,6 +24,19 @@ POOL_LANES = 1024
 _SLICE = 1 << 15
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _SLICE):
+        counts += bit_counts(hashes[i : i + _SLICE])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes) -> int:
     """64 majority bits over the hashes of the word shingles of one lower-cased text.
 
@@ -40,9 +53,7 @@ def fingerprint(text: bytes) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, last, _SLICE):
         pieces = zip(starts[i : min(i + _SLICE, last)].tolist(), stop[i : i + _SLICE].tolist())
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in pieces], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += bit_counts(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in pieces], np.uint64))
     return int(np.packbits(2 * counts > last, bitorder="little").view(np.uint64)[0])
 
 

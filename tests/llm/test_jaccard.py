@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harborline.llm import jaccard
@@ -77,3 +78,14 @@ def test_empty_table_and_clashing_names(spark):
     assert sorted(tuple(r) for r in jaccard.keep_one(frame).collect()) == [rows[0], rows[2]]
     assert jaccard.keep_one(frame).columns == frame.columns
     assert jaccard.keep_one(frame.limit(0)).count() == 0
+
+
+def test_simhash_finds_copies_that_share_no_band(spark, monkeypatch):
+    """The fingerprints are a way of their own to the candidates; the exact comparison follows them too."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(1500)] for _ in range(4)]
+    texts = [None, ""] + [" ".join(w) for w in base] + [" ".join(w[:-1] + ["new"]) for w in base]
+    made = jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda docs: made(docs).withColumn("bands", F.array().cast("array<bigint>")))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(frame).collect()) == [0, 2, 3, 4, 5]
