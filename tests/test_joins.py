@@ -135,3 +135,62 @@ def test_overlap_join_places_a_row_once_per_cell(spark):
     assert joined.count() == sum(a < d and c < b for _, a, b, _ in rows for c, d in [(r[1] + 1, r[1] + 31) for r in rows])
     placed = joins._place(left, "a", "b", 16.0, [0, 1], [1])
     assert placed.count() <= 1.5 * len(rows) and placed.where("__level <> 1").isEmpty()
+
+
+def test_overlap_join_of_small_blocks_equals_all_pairs(spark, monkeypatch):
+    """Cells of many parts and blocks: equal rows and ranges, wide and open ones; each pair as often as there are rows for it."""
+    import random
+    from collections import Counter
+
+    from harborline.operators import joins
+
+    for name, value in (("_PART_ROWS", 7), ("_LEFT_BLOCK", 2), ("_RIGHT_BLOCK", 3), ("_TASK_PAIRS", 50)):
+        monkeypatch.setattr(joins, name, value)
+    draw = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    sides = []
+    for n in range(2):
+        rows = [(a, a + draw.choice([0.1, 1.0, 1.0, 1.0, 40.0]), i) for i, a in enumerate(draw.uniform(0, 20) for _ in range(80))]
+        sides.append(rows + rows[:9] + [(3.0, 4.0, 1)] * 12 + [(-inf, 2.0, 90), (5.0, inf, 91), (6.0, nan, 92), (None, 1.0, 93), (1.0, None, None), (2.0, 2.0, 95), (4.0, 5.0, None)])
+    left = spark.createDataFrame(sides[0], "a double, b double, x int")
+    right = spark.createDataFrame(sides[1], "c double, d double, y int")
+    got = Counter(tuple(r) for r in overlap_join(left, right, ("a", "b"), ("c", "d"), 1.0).select("x", "y").collect())
+
+    def less(p, q):
+        return p is not None and q is not None and p == p and (q != q or p < q)
+
+    want = Counter((x, y) for a, b, x in sides[0] for c, d, y in sides[1] if less(a, b) and less(c, d) and less(a, d) and less(c, b))
+    assert got == want
+
+
+def test_overlap_join_without_key_writes_few_bytes_a_pair(spark, folder):
+    """Ranges that share a cell, in no order: pairs come out in the order of blocks, of which Parquet keeps runs and repeats."""
+    import random
+
+    draw = random.Random(6)
+    left, right = (
+        spark.createDataFrame([(n, a, a + 0.25) for n, a in enumerate(draw.uniform(0.0, 1.0) for _ in range(2500))], schema)
+        for schema in ("x bigint, a double, b double", "y bigint, c double, d double")
+    )
+    overlap_join(left, right, ("a", "b"), ("c", "d"), 0.25).select("x", "y").write.parquet(folder)
+    pairs = spark.read.parquet(folder).count()
+    written = sum(r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("length").collect())
+    assert pairs > 2_000_000 and written < 0.5 * pairs
+
+
+def test_overlap_join_without_key_moves_rows_of_shared_cells_only(spark, monkeypatch):
+    """Of the many ranges that are nowhere near one of the other side, none reaches a block."""
+    from harborline.operators import joins
+
+    made, blocks = {}, joins._blocks
+
+    def spy(placed, columns, low, high, side, *rest):
+        made[side] = blocks(placed, columns, low, high, side, *rest)
+        return made[side]
+
+    monkeypatch.setattr(joins, "_blocks", spy)
+    left = spark.createDataFrame([(n, n / 10.0, n / 10.0 + 1.0) for n in range(20)], "x int, a double, b double")
+    right = spark.range(5000).selectExpr("id AS y", "CAST(id AS double) AS c", "id + 1.0D AS d")
+    joined = overlap_join(left, right, ("a", "b"), ("c", "d"), 1.0)
+    assert joined.count() == sum(n / 10.0 < m + 1 and m < n / 10.0 + 1.0 for n in range(20) for m in range(5000))
+    assert made["right"].selectExpr("sum(size(__rows_right))").first()[0] <= 20
